@@ -211,6 +211,18 @@ def office_range(category: Column, type_text: Column, spec_text: Column, materia
     )
 
 
+def with_office_range(df: DataFrame, category: Column, type_text: Column, spec_text: Column, material: Column,
+                      material_set: Column, tag_set: Column) -> DataFrame:
+    """Add ``range``, ``also`` (same main category only) and ``guessed``; all null outside the catalogue.
+
+    The rules are a large expression; a generator evaluates it once per row, where plain columns would be
+    copied into every later filter and projection that reads one of the three.
+    """
+    found = office_range(category, type_text, spec_text, material, material_set, tag_set)
+    out = df.select("*", F.inline_outer(F.array(found)))
+    return out.withColumn("also", keep_same_main(F.col("range"), F.col("also")))
+
+
 def range_main_map() -> dict[str, str]:
     """Range code -> main code; a main without subs is its own range."""
     with_subs = {m for m, *_ in R.SUBS}

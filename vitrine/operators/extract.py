@@ -16,6 +16,7 @@ from vitrine.functions.patterns import extracted, matches
 from vitrine.functions.sizes import axis_measure, axis_of_label, is_size_line, with_parsed_size
 from vitrine.functions.textclean import fix_thai_spacing, search_key, skeleton
 from vitrine.rules import labels as L
+from vitrine.schemas import AXES
 
 
 def lines_of(pages: DataFrame, keys: Sequence[str], text: str, line: str = "line", line_no: str = "line_no") -> DataFrame:
@@ -58,11 +59,10 @@ def parse_sheets(lines: DataFrame, keys: Sequence[str], line: str = "line", line
 
     df = lines.select(*keys, F.col(line_no).alias("__no"), F.trim(F.col(line)).alias("__line")).filter(F.col("__line") != "")
     text = F.col("__line")
-    is_field = text.rlike(L.FIELD_LINE)
-    raw_label = F.regexp_extract(text, L.FIELD_LINE, 1)
-    first_skel = skeleton(F.regexp_replace(raw_label, L.NUMBERING, ""))
-    opener = is_field & ~matches(text, L.LETTERHEAD) & (
-        _in_labels(first_skel, L.TYPE_LABELS) | _in_labels(first_skel, L.CODE_LABELS) | _is_size_label(first_skel))
+    df = df.withColumn("__raw", extracted(text, L.FIELD_LINE))
+    df = df.withColumn("__first", skeleton(F.regexp_replace("__raw", L.NUMBERING, "")))
+    is_field, raw_label, first_skel = text.rlike(L.FIELD_LINE), F.col("__raw"), F.col("__first")
+    opener = F.when(first_skel.isNotNull(), _in_labels(first_skel, [*L.TYPE_LABELS, *L.CODE_LABELS]) | _is_size_label(first_skel)) & ~matches(text, L.LETTERHEAD)
     df = df.withColumn("__start", F.min(F.when(opener, F.col("__no"))).over(doc)).filter(
         (F.col("__no") >= F.col("__start")) & ~text.rlike(L.NUMERIC_LINE))
 
@@ -70,7 +70,7 @@ def parse_sheets(lines: DataFrame, keys: Sequence[str], line: str = "line", line
     kind = (
         F.when(matches(text, L.SECTION_LINE) & (after_colon == ""), "section")
         .when(text.rlike(L.VALUE_LINE), "value")
-        .when(is_field & (F.length(F.trim(raw_label)) <= 40) & ~raw_label.rlike(L.NUMERIC_LABEL), "field")
+        .when(is_field & raw_label.isNotNull() & (F.length(F.trim(raw_label)) <= 40) & ~raw_label.rlike(L.NUMERIC_LABEL), "field")
         .otherwise("wrapped")
     )
     df = df.withColumn("__kind", kind)
@@ -107,21 +107,21 @@ def parse_sheets(lines: DataFrame, keys: Sequence[str], line: str = "line", line
         F.max("__label").alias("label"),
         F.trim(_joined(F.collect_list(F.struct(F.col("__no").alias("no"), F.col("__value").alias("text"))))).alias("text"),
         F.min("__no").alias("no"))
-    fields = values.groupBy(*keys, "__target", "__holder").agg(
-        F.min("no").alias("no"), F.max("label").alias("label"),
-        F.array_sort(F.collect_list(F.struct("no", "text"))).alias("values"))
-    texts = lambda c: F.transform(c, lambda s: s["text"])
-    latest = lambda t: F.max_by(F.array_join(texts(F.col("values")), " "), F.when(F.col("__target") == t, F.col("no")))
-    every = lambda t: F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("__target") == t, F.struct("no", "label", "values")))),
-                                            lambda s: F.transform(s["values"], lambda v: F.struct(s["label"].alias("label"), v["text"].alias("value")))))
-    specs = F.transform(
-        F.array_sort(F.collect_list(F.when(F.col("__target") == "spec", F.struct("no", "label", "values")))),
-        lambda s: F.struct(s["label"].alias("label"), F.transform(s["values"], lambda v: v["text"]).alias("values")))
-    pages = fields.groupBy(*keys).agg(
-        F.trim(latest("code")).alias("code"), F.trim(latest("type")).alias("type"), F.trim(latest("note")).alias("note"),
-        every("size").alias("sizes"), specs.alias("specs"),
-        F.transform(every("features"), lambda s: s["value"]).alias("features"),
-        F.transform(every("section"), lambda s: s["value"]).alias("sections"))
+    # One entry per value, in page order; a page has few of them, so the rest is array work within its row.
+    pages = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "no", F.col("__target").alias("target"), F.col("__holder").alias("holder"), "label", "text"))).alias("__all"))
+    of = lambda t: F.filter("__all", lambda v: v["target"] == t)
+    last_field = lambda t: F.array_max(F.transform(of(t), lambda v: v["holder"]))
+    latest = lambda t: F.trim(F.array_join(F.transform(
+        F.filter("__all", lambda v: (v["target"] == t) & (v["holder"] == F.col(f"__last_{t}"))), lambda v: v["text"]), " "))
+    texts = lambda t: F.transform(of(t), lambda v: v["text"])
+    pages = pages.withColumns({f"__last_{t}": last_field(t) for t in ("code", "type", "note")}).withColumn("__spec", of("spec"))
+    rows = F.array_distinct(F.transform("__spec", lambda v: F.struct(v["holder"], v["label"])))
+    specs = F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.transform(
+        F.filter("__spec", lambda v: v["holder"] == r["holder"]), lambda v: v["text"]).alias("values")))
+    sizes = F.transform(of("size"), lambda v: F.struct(v["label"].alias("label"), v["text"].alias("value")))
+    pages = pages.select(*keys, latest("code").alias("code"), latest("type").alias("type"), latest("note").alias("note"),
+                         sizes.alias("sizes"), specs.alias("specs"), texts("features").alias("features"), texts("section").alias("sections"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     return pages.withColumns({c: blank(c) for c in ("code", "type", "note")}).filter(
         F.col("code").isNotNull() | F.col("type").isNotNull())
@@ -200,23 +200,31 @@ def spec_rows(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def size_sets(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys, set_no, label, axes): axes maps axis -> [min, max] millimetres; sets without axes are dropped."""
+    """(keys, set_no, label, mm): mm holds [min, max] millimetres per axis, a later line overriding an
+    earlier one; sets without axes are dropped."""
     bare = F.replace(F.col("value"), F.lit(","), F.lit(""))
     factor = F.when(F.lower(F.regexp_extract(bare, L.SIZE_TRIPLE, 4)) == "cm", 10).otherwise(1)
     edge = lambda i: F.bround(extracted(bare, L.SIZE_TRIPLE, i).cast("double") * factor, 0).cast("int")
     named = F.when(F.col("variant").isNotNull() & (F.col("variant") != F.col("name")),
                    F.concat_ws(" · ", "variant", "label")).otherwise(F.col("label"))
-    from_triple = F.array(*[F.struct(F.lit(a).alias("axis"), F.array(edge(i), edge(i)).alias("mm"))
-                            for a, i in (("w", 1), ("d", 2), ("h", 3))])
-    from_axis = F.array(F.struct(axis_of_label(F.col("label")).alias("axis"), axis_measure(F.col("value")).alias("mm")))
-    parts = blocks.filter(F.col("kind").isin("axis", "triple")).withColumn(
-        "__m", F.explode(F.when(F.col("kind") == "triple", from_triple).otherwise(from_axis)))
-    parts = parts.filter(F.coalesce(F.get("__m.mm", F.lit(0)), F.lit(None)).isNotNull())
-    axes = parts.groupBy(*keys, "set_no", "__m.axis").agg(F.max_by("__m.mm", "position").alias("mm"))
-    measured = axes.groupBy(*keys, "set_no").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("axis", "mm")))).alias("axes"))
-    opened = blocks.filter(F.col("kind").isin("dimension", "triple")).select(
-        *keys, "set_no", F.when(F.col("kind") == "triple", named).otherwise(F.col("variant")).alias("label"))
-    return measured.join(opened, [*keys, "set_no"])
+    entry = lambda a, pair: F.struct(a.alias("axis"), pair.alias("mm"))
+    parts = (
+        F.when(F.col("kind") == "triple", F.array(*[
+            entry(F.lit(a), F.when(edge(i).isNotNull(), F.array(edge(i), edge(i)))) for a, i in (("w", 1), ("d", 2), ("h", 3))]))
+        .when(F.col("kind") == "axis", F.array(entry(axis_of_label(F.col("label")), axis_measure(F.col("value")))))
+    )
+    label = F.when(F.col("kind") == "triple", named).when(F.col("kind") == "dimension", F.col("variant"))
+    rows = blocks.filter(F.col("kind").isin("dimension", "triple", "axis") & (F.col("set_no") > 0))
+    sets = rows.groupBy(*keys, "set_no").agg(
+        F.max(label).alias("label"),
+        F.array_sort(F.collect_list(F.when(parts.isNotNull(), F.struct("position", parts.alias("parts"))))).alias("__parts"))
+    entries = F.filter(F.flatten(F.transform("__parts", lambda p: p["parts"])), lambda e: e["mm"].isNotNull())
+    sets = sets.withColumn("__entries", entries).filter(F.size("__entries") > 0)
+
+    def latest(axis: str) -> Column:
+        return F.try_element_at(F.filter("__entries", lambda e: e["axis"] == axis), F.lit(-1))["mm"].alias(axis)
+
+    return sets.select(*keys, "set_no", "label", F.struct(*[latest(a) for a in AXES]).alias("mm"))
 
 
 def introduction(pages: DataFrame, keys: Sequence[str], text: str, name: str) -> DataFrame:

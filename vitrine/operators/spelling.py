@@ -5,7 +5,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.textclean import is_mark_subsequence, skeleton, tone_sequence
-from vitrine.operators.ordered import HOT_ROWS
 
 WORD_SPLIT = r"[^\p{L}\p{M}\p{N}]+"
 MAX_WORD = 24
@@ -62,38 +61,38 @@ def choose_spelling(tokens: DataFrame, index: DataFrame, freq: DataFrame, token:
     return candidates.groupBy(token).agg(F.min_by(c, order).alias("spelling"))
 
 
-def unknown_ratio(tokens: DataFrame, known: DataFrame, keep: list[str], token: str = "token") -> DataFrame:
-    """Share of characters in words missing from ``known`` (one column, ``token``), per ``keep``.
+def word_counts(tokens: DataFrame, keep: list[str], token: str = "token") -> DataFrame:
+    """(keep, token, n): the words of each document once. What follows joins these, so a word repeated in a
+    document is one row, and the most common word has at most one row per document."""
+    return tokens.groupBy(*keep, token).agg(F.count(F.lit(1)).alias("n"))
 
-    Words are first counted per (document, word). A word on more than ``HOT_ROWS`` documents would land in
-    one join task, so those are split off: there are at most rows / HOT_ROWS of them, a bounded set to
-    broadcast.
-    """
-    pairs = tokens.groupBy(*keep, token).agg(F.count(F.lit(1)).alias("__n"))
-    marked = known.select(token).distinct().withColumn("__known", F.lit(True))
-    spread = pairs.groupBy(token).agg(F.count(F.lit(1)).alias("__docs")).filter(F.col("__docs") > HOT_ROWS)
-    if spread.isEmpty():
-        joined = pairs.join(marked, token, "left")
-    else:
-        hot = F.broadcast(spread.join(marked, token, "left").select(token, F.col("__known").alias("__hot_known"),
-                                                                    F.lit(True).alias("__hot")))
-        tagged = pairs.join(hot, token, "left")
-        cold = tagged.filter(F.col("__hot").isNull()).drop("__hot", "__hot_known").join(marked, token, "left")
-        joined = cold.unionByName(tagged.filter("__hot").withColumn("__known", F.col("__hot_known")).drop("__hot", "__hot_known"))
-    chars = F.length(token) * F.col("__n")
-    return joined.groupBy(*keep).agg(
+
+def frequency_of_counts(counts: DataFrame, token: str = "token") -> DataFrame:
+    return counts.groupBy(token).agg(F.sum("n").alias("freq"))
+
+
+def _marked(counts: DataFrame, known: DataFrame, token: str) -> DataFrame:
+    """Counts with ``known``. The dictionary side has one row per word, so where a very common word fills a
+    join partition, adaptive execution splits that partition and repeats the one row."""
+    marks = known.select(token).distinct().withColumn("known", F.lit(True))
+    return counts.join(marks, token, "left").withColumn("known", F.coalesce("known", F.lit(False)))
+
+
+def unknown_ratio(counts: DataFrame, known: DataFrame, keep: list[str], token: str = "token") -> DataFrame:
+    """Share of characters in words missing from ``known``, per ``keep``; ``counts`` as from word_counts."""
+    chars = F.length(token) * F.col("n")
+    return _marked(counts, known, token).groupBy(*keep).agg(
         F.sum(chars).cast("long").alias("chars"),
-        F.coalesce(F.sum(F.when(F.col("__known").isNull(), chars)), F.lit(0)).cast("long").alias("unknown_chars"),
+        F.sum(F.when(~F.col("known"), chars).otherwise(0)).cast("long").alias("unknown_chars"),
     ).withColumn("unknown_ratio", F.col("unknown_chars") / F.col("chars"))
 
 
-def name_is_readable(tokens: DataFrame, vocabulary: DataFrame, keep: list[str], token: str = "token",
+def name_is_readable(counts: DataFrame, vocabulary: DataFrame, keep: list[str], token: str = "token",
                      share: float = 0.9, digits: str = "[\u0e50-\u0e59]") -> DataFrame:
     """(keep, readable): at least ``share`` of the words in the vocabulary and no native digits."""
-    marked = vocabulary.select(token).distinct().withColumn("__known", F.lit(1))
+    good = F.sum(F.when(F.col("known"), F.col("n")).otherwise(0))
     return (
-        tokens.join(marked, token, "left").groupBy(*keep)
-        .agg(F.avg(F.coalesce(F.col("__known"), F.lit(0))).alias("__share"),
-             F.max(F.col(token).rlike(digits)).alias("__digits"))
+        _marked(counts, vocabulary, token).groupBy(*keep)
+        .agg((good / F.sum("n")).alias("__share"), F.max(F.col(token).rlike(digits)).alias("__digits"))
         .select(*keep, ((F.col("__share") >= share) & ~F.col("__digits")).alias("readable"))
     )

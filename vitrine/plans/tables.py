@@ -5,6 +5,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vitrine.session import spread
+
 
 class Tables:
     """``tables.part`` reads ``<folder>/part.parquet``."""
@@ -18,6 +20,12 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+    def spread(self, name: str, *columns: str) -> DataFrame:
+        """The named columns of a table, in at least as many splits as there are cores."""
+        table = getattr(self, name)
+        return spread(table.select(*columns) if columns else table)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 

@@ -58,7 +58,7 @@ freq as (select token, count(*)::bigint as freq from tokens group by token)"""
 
 
 def _tokens(t: Tables):
-    return spelling.words(t.documents, "text", ["doc_id", "lang"])
+    return spelling.words(t.spread("documents", "doc_id", "text"), "text", ["doc_id"])
 
 
 @query(f"with {SQL_TOKENS} select token, freq from freq")
@@ -79,9 +79,9 @@ with {SQL_TOKENS} select doc_id, sum(length(token))::bigint as chars, coalesce(s
   round(coalesce(sum(length(token)) filter (where freq < 3), 0) / sum(length(token))::double, 6) as unknown_ratio
 from tokens join freq using (token) group by doc_id""")
 def unknown_ratio(t: Tables):
-    tokens = _tokens(t)
-    known = spelling.word_frequency(tokens).filter(F.col("freq") >= 3)
-    out = spelling.unknown_ratio(tokens, known, ["doc_id"])
+    counts = spelling.word_counts(_tokens(t), ["doc_id"])
+    known = spelling.frequency_of_counts(counts).filter(F.col("freq") >= 3)
+    out = spelling.unknown_ratio(counts, known, ["doc_id"])
     return out.withColumn("unknown_ratio", F.round("unknown_ratio", 6))
 
 
@@ -89,9 +89,9 @@ def unknown_ratio(t: Tables):
 with {SQL_TOKENS} select doc_id, avg(case when freq >= 3 then 1 else 0 end) >= 0.9 and not bool_or(regexp_matches(token, '[0-9]')) as readable
 from tokens join freq using (token) group by doc_id""")
 def name_quality(t: Tables):
-    tokens = _tokens(t)
-    known = spelling.word_frequency(tokens).filter(F.col("freq") >= 3)
-    return spelling.name_is_readable(tokens, known, ["doc_id"], digits="[0-9]")
+    counts = spelling.word_counts(_tokens(t), ["doc_id"])
+    known = spelling.frequency_of_counts(counts).filter(F.col("freq") >= 3)
+    return spelling.name_is_readable(counts, known, ["doc_id"], digits="[0-9]")
 
 
 @query(f"""
@@ -116,7 +116,7 @@ case when regexp_matches({SQL_TYPE} || ' | ' || p_type, '(?i)\bring\b|rod') then
 
 def _categorized(t: Tables):
     type_text = F.when(F.col("p_size") <= 5, "").otherwise(F.col("p_name"))
-    return t.part.withColumn("category", classify.categorize(type_text, F.col("p_type"), F.col("p_brand"), TYPE_RULES, SPEC_RULES))
+    return t.spread("part").withColumn("category", classify.categorize(type_text, F.col("p_type"), F.col("p_brand"), TYPE_RULES, SPEC_RULES))
 
 
 @query(f"select p_partkey, {SQL_CATEGORY} as category from part")
@@ -197,7 +197,7 @@ _WORD_OF = {"red": "wood", "blue": "mesh", "hot": "leather", "cold": "steel", "l
 def _furniture(t: Tables):
     """Parts as furniture: the noun gives the category, the adjective the words in the type."""
     adjective, noun = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
-    return t.part.select(
+    return t.spread("part").select(
         "p_partkey", "p_name", "p_size", "p_type", "p_brand", mapped(noun, _CATEGORY_OF).alias("category"),
         F.concat_ws(" ", mapped(adjective, _WORD_OF), noun).alias("type"),
         F.when(F.col("p_size") > 35, "steel frame").when(F.col("p_size") > 25, "caster").otherwise("").alias("spec"),
@@ -241,17 +241,13 @@ placed as (
 
 
 def _placed(t: Tables):
-    rows = _furniture(t)
-    found = classify.office_range(F.col("category"), F.col("type"), F.col("spec"), F.col("material"), F.col("materials"), F.array().cast("array<string>"))
-    rows = rows.withColumn("r", found)
-    return rows.select("*", "r.range", "r.also", "r.guessed").drop("r")
+    return classify.with_office_range(_furniture(t), F.col("category"), F.col("type"), F.col("spec"), F.col("material"),
+                                      F.col("materials"), F.array().cast("array<string>"))
 
 
 @query(f"with {SQL_FURNITURE} select p_partkey, range, case when range is not null then array_to_string(also, ',') end as also, case when range is not null then guessed end as guessed from placed")
 def range_classify(t: Tables):
-    rows = _placed(t)
-    also = classify.keep_same_main(F.col("range"), F.col("also"))
-    return rows.select("p_partkey", "range", F.array_join(also, ",").alias("also"), "guessed")
+    return _placed(t).select("p_partkey", "range", F.array_join("also", ",").alias("also"), "guessed")
 
 
 def _gaps(t: Tables):

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -45,3 +45,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         folder = tempfile.mkdtemp(prefix="vitrine-checkpoint-")
     sc.setCheckpointDir(folder)
     return folder
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Even out a source that arrives in fewer splits than there are cores, before work that is heavy per
+    row. A source with enough splits, as any large one has, is left as it is: no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
