@@ -6,6 +6,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from vitrine.functions.patterns import mapped
+from vitrine.functions.textclean import plain_skeleton, skeleton
+
 THAI = "[\u0e00-\u0e7f]"
 
 
@@ -32,6 +35,19 @@ def translate_phrases(text: Column, phrases: Sequence[tuple[str, str]], foreign:
     )
 
 
+def translate_label(label: Column, labels: dict[str, str], phrases: Sequence[tuple[str, str]]) -> Column:
+    """A label by its skeleton, else by phrases; text outside the source script passes unchanged."""
+    by_skeleton = {plain_skeleton(k): v for k, v in labels.items()}
+    known = mapped(skeleton(label), by_skeleton) if by_skeleton else F.lit(None).cast("string")
+    return F.when(~label.rlike(THAI), label).otherwise(F.coalesce(known, translate_phrases(label, phrases)))
+
+
+def reverse_label(label: Column, labels: dict[str, str]) -> Column:
+    """English label -> source language; unknown labels pass unchanged."""
+    key = F.regexp_replace(F.lower(F.trim(label)), ":+$", "")
+    return F.coalesce(mapped(key, labels), F.trim(label))
+
+
 def pick_language(th: Column, en: Column, lang: str) -> Column:
     """struct(value, fallback): English where there is some, else the source language, marked."""
     if lang != "en":

@@ -72,6 +72,12 @@ def skeleton(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, SARA_AM + TONE_MARKS, SARA_AA), r"(?U)\s", "")
 
 
+def plain_skeleton(word: str) -> str:
+    """The skeleton of a rule word, for building literal lists."""
+    gone = dict.fromkeys(map(ord, TONE_MARKS))
+    return "".join(word.translate({**gone, ord(SARA_AM): SARA_AA}).split())
+
+
 def tone_sequence(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{TONE_MARKS}]", "")
 

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from vitrine.functions.patterns import extracted, matches
 from vitrine.functions.sizes import axis_measure, axis_of_label, is_size_line, with_parsed_size
-from vitrine.functions.textclean import fix_thai_spacing, search_key, skeleton
+from vitrine.functions.textclean import fix_thai_spacing, plain_skeleton, search_key, skeleton
 from vitrine.rules import labels as L
 from vitrine.schemas import AXES
 
@@ -35,15 +35,13 @@ def _clean(value: Column) -> Column:
 
 
 def _in_labels(skel: Column, words: Sequence[str]) -> Column:
-    from vitrine.functions.textclean import SARA_AA, SARA_AM, TONE_MARKS
-    plain = [w.translate({**{ord(m): None for m in TONE_MARKS}, ord(SARA_AM): SARA_AA}).replace(" ", "") for w in words]
-    return skel.isin(*plain)
+    return skel.isin(*[plain_skeleton(w) for w in words])
 
 
 def _is_size_label(skel: Column) -> Column:
     test = F.lit(False)
     for p in L.SIZE_PREFIXES:
-        test = test | skel.startswith(p)
+        test = test | skel.startswith(plain_skeleton(p))
     return test & ~skel.contains(L.NOT_A_SIZE)
 
 

@@ -96,3 +96,22 @@ def name_is_readable(counts: DataFrame, vocabulary: DataFrame, keep: list[str],
         .agg((good / F.sum("n")).alias("__share"), F.max(F.col(token).rlike(digits)).alias("__digits"))
         .select(*keep, ((F.col("__share") >= share) & ~F.col("__digits")).alias("readable"))
     )
+
+
+def repair_lines(lines: DataFrame, keys: list[str], line: str, index: DataFrame, freq: DataFrame,
+                 reliable_vowels: bool = True, script: str = "\u0e00-\u0e7f") -> DataFrame:
+    """Lines with every word of the damaged script in its best dictionary spelling.
+
+    Lines are cut into runs of the script and what stands between; distinct runs are matched once and put
+    back by their place. Whole runs are words here: text that is not spaced needs a segmenter before.
+    """
+    cut = F.split(F.col(line), f"(?<=[{script}])(?![{script}])|(?<![{script}])(?=[{script}])")
+    pieces = lines.select(*lines.columns, F.posexplode(cut).alias("__at", "token"))
+    runs = pieces.filter(F.col("token").rlike(f"[{script}]")).select("token")
+    chosen = choose_spelling(runs, index, freq, reliable_vowels=reliable_vowels)
+    mended = pieces.join(chosen, "token", "left").withColumn("token", F.coalesce("spelling", "token"))
+    rest = [c for c in lines.columns if c not in (*keys, line)]
+    out = mended.groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__at", "token"))), lambda p: p["token"]), "").alias(line),
+        *[F.first(c).alias(c) for c in rest])
+    return out.select(*lines.columns)
