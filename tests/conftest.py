@@ -10,7 +10,10 @@ from vitrine.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", 4, "6g")
+    session = local_session("4", 2, "6g")
+    # A handful of rows per test: compiling the plans would take far longer than running them.
+    session.conf.set("spark.sql.codegen.wholeStage", "false")
+    session.conf.set("spark.sql.codegen.factoryMode", "NO_CODEGEN")
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

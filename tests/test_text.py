@@ -44,6 +44,20 @@ def test_series(value, code, series):
     assert value(textclean.series_of_code, code) == series
 
 
+def test_other_series_rules(value):
+    assert value(textclean.series_first_word, "rely m 2") == "RELY"
+    assert value(textclean.series_code_or_folder, "ca-17c", "CHAIR") == "CA"
+    assert value(textclean.series_code_or_folder, "", "chair") == "CHAIR"
+    assert value(textclean.series_of_file, "some-tea_table_brochure.pdf") == "SOME TEA TABLE"
+
+
+def test_addresses(value):
+    assert value(lambda u: textclean.edition_url(u, True), "/media/p/a/0.webp") == "/media/photo/a/0.webp"
+    assert value(lambda u: textclean.edition_url(u, False), "/media/p/a/0.webp") == "/media/p/a/0.webp"
+    assert value(textclean.canonical_url, "http://a/b?pg=2?x") == "http://a/b"
+    assert value(textclean.media_name, "http://a/b.PNG?x").endswith(".PNG")
+
+
 @pytest.mark.parametrize("raw, clean", [("SFO11", "SF011"), ("CA5O1A", "CA501A"), ("A—1.", "A-1")])
 def test_clean_code(value, raw, clean):
     assert value(textclean.clean_code, raw) == clean
@@ -163,3 +177,19 @@ def test_colours(value):
 def test_status(value):
     assert value(lambda a: classify.status_of(F.split(a, ",")), "dims-fixed,no-image") == "review"
     assert value(lambda a: classify.status_of(F.split(a, ",")), "dims-fixed") == "published"
+
+
+def test_trigram_search_matches_brute_force(spark):
+    from vitrine.operators import search
+    keys = ["REDWIDGET", "REDBOLT", "BLUEBOLT", "WIDGETX", "W", "FG1L", "FG1", "FG12", "XFG1"]
+    terms = ["FG1", "WIDGET", "BOLT", "RED", "ZZZ", "W"]
+    items = spark.createDataFrame([(k,) for k in keys * 3], "k string")
+    asked = spark.createDataFrame([(t,) for t in terms], "t string")
+
+    def grams(s):
+        p = "  " + s.lower() + " "
+        return {p[i:i + 3] for i in range(len(p) - 2)}
+    for threshold in (0.1, 0.3, 0.6):
+        want = {(t, k) for t in terms for k in keys if len(grams(t) & grams(k)) / len(grams(t) | grams(k)) >= threshold}
+        got = [(r["t"], r["k"]) for r in search.trigram_matches(items, asked, "k", "t", threshold).collect()]
+        assert sorted(got) == sorted(want)

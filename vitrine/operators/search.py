@@ -40,17 +40,24 @@ def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str
 def trigram_matches(items: DataFrame, terms: DataFrame, key: str, term: str, threshold: float = SIMILAR) -> DataFrame:
     """(term, key, similarity) of every distinct key at least ``threshold`` similar to a search term.
 
-    ``terms`` is a batch of search terms. Distinct keys are spelled out once as (trigram, key) rows, so
-    repeated codes cost nothing; only trigrams that occur in a term are shuffled to the join, and the pair
-    counts are combined map-side.
+    A similar pair shares at least ceil(threshold * n) of the term's n trigrams. So the term's most common
+    trigrams, one fewer than that, need not be looked up: a pair must still meet on a rarer one. What is
+    left out is exactly the trigrams nearly every key has, and no pair is lost. Repeated keys cost nothing;
+    candidates are verified by their real similarity.
     """
-    keys = items.select(key).distinct().withColumn("__kg", trigrams(F.col(key)))
-    wanted = terms.select(term).distinct().withColumn("__tg", trigrams(F.col(term)))
-    left = keys.select(key, F.size("__kg").alias("__kn"), F.explode("__kg").alias("__g"))
-    right = wanted.select(term, F.size("__tg").alias("__tn"), F.explode("__tg").alias("__g"))
-    shared = left.join(right, "__g").groupBy(term, key, "__kn", "__tn").agg(F.count(F.lit(1)).alias("__shared"))
-    score = F.col("__shared") / (F.col("__kn") + F.col("__tn") - F.col("__shared"))
-    return shared.withColumn("similarity", score).filter(F.col("similarity") >= threshold).select(term, key, "similarity")
+    keys = items.select(key).distinct()
+    grams = keys.select(key, F.explode(trigrams(F.col(key))).alias("__g"))
+    asked = terms.select(term).distinct().select(term, F.explode(trigrams(F.col(term))).alias("__g"))
+    spread = grams.join(asked.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
+    by_rarity = asked.join(spread, "__g").groupBy(term).agg(
+        F.sort_array(F.collect_list(F.struct("__n", "__g"))).alias("__all"))
+    total = F.size(trigrams(F.col(term)))
+    # Trigrams no key has are absent from the list; they cannot be shared.
+    looked_up = F.greatest(F.lit(0), F.size("__all") - F.ceil(total * threshold).cast("int") + 1)
+    kept = by_rarity.select(term, F.explode(F.slice("__all", F.lit(1), looked_up)).alias("s")).select(term, "s.__g")
+    pairs = grams.join(kept, "__g").select(term, key).distinct()
+    score = trigram_similarity(trigrams(F.col(key)), trigrams(F.col(term)))
+    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= threshold)
 
 
 def best_matches(matches: DataFrame, term: str, key: str, n: int = 60) -> DataFrame:

@@ -14,6 +14,7 @@ from vitrine.operators import classify, extract, identity
 from vitrine.rules import categories as C
 from vitrine.rules import labels as L
 from vitrine.schemas import CATALOG_RECORD, MM, SOURCE
+from vitrine.session import materialize
 from vitrine.sources.feeds import unite
 
 
@@ -194,11 +195,12 @@ def brochure_records(words: DataFrame, v: Vocabulary, brand: str) -> DataFrame:
 
 def build_catalog(feeds: Sequence[tuple[str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
     """(records with slugs, lineage). Feed order, then place in the feed, decides which record is first."""
-    records = unite(feeds, ["at1", "at2", "code"])
-    key = records.withColumns({
-        "__code": textclean.dedupe_key(F.col("code")), "__mm": F.coalesce(F.to_json("dimensions_mm"), F.lit("null")), "__type": F.col("type_th")})
-    lineage = identity.dedupe_lineage(key, ["__code", "__mm", "__type"], "ordinal", F.array_contains("flags", "no-code"))
-    keepers = lineage.filter(F.col("ordinal") == F.col("keeper")).drop("__code", "__mm", "__type", "keeper")
-    base = keepers.withColumn("__base", F.concat_ws("-", "brand", textclean.slugify(F.col("code"))))
-    slugged = identity.number_slugs(base, "__base", ["ordinal"], "slug").drop("__base")
-    return slugged, lineage.select("brand", "code", "source", "ordinal", "keeper")
+    records = materialize(unite(feeds, ["at1", "at2", "code"]))
+    # Duplicates are found on narrow rows; whole records are only read again for the keepers.
+    narrow = records.select("ordinal", "brand", "code", F.col("source.file").alias("file"),
+                            textclean.dedupe_key(F.col("code")).alias("__code"), F.coalesce(F.to_json("dimensions_mm"), F.lit("null")).alias("__mm"),
+                            F.col("type_th").alias("__type"), F.array_contains("flags", "no-code").alias("__alone"))
+    lineage = materialize(identity.dedupe_lineage(narrow, ["__code", "__mm", "__type"], "ordinal", F.col("__alone")))
+    kept = lineage.filter(F.col("ordinal") == F.col("keeper")).withColumn("__base", F.concat_ws("-", "brand", textclean.slugify(F.col("code"))))
+    slugs = identity.number_slugs(kept.select("ordinal", "__base"), "__base", ["ordinal"], "slug").drop("__base")
+    return records.drop("slug").join(slugs, "ordinal"), lineage.select("brand", "code", "file", "ordinal", "keeper")

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from vitrine.functions import language, sizes, textclean
 from vitrine.operators import classify, identity, merge
 from vitrine.operators.ordered import number_rows
+from vitrine.session import materialize
 
 
 def with_ids(merged: DataFrame, key: list[str], id_col: str = "id") -> DataFrame:
-    """Rows without an id get the numbers after the highest one, in key order."""
+    """Rows without an id get the numbers after the highest one, in key order. The merge is computed once."""
+    merged = materialize(merged)
     highest = merged.agg(F.coalesce(F.max(id_col), F.lit(0)).alias("m"))
     have, fresh = merged.filter(F.col(id_col).isNotNull()), merged.filter(F.col(id_col).isNull())
     numbered = number_rows(fresh.drop(id_col), [], key, "__n").withColumn("__top", highest.scalar())
@@ -67,7 +69,7 @@ def load_catalog(snapshot: dict[str, DataFrame], records: DataFrame, brand_rows:
     series = with_ids(merge.upsert(snapshot["series"], new_series, ["brand_id", "slug"]), ["brand_id", "slug"])
 
     rows = product_rows(records, brands, cats, series)
-    merged = merge.guarded_upsert(snapshot["products"], rows, ["slug"], stamp="updated_at", now=stamp, drop_stale=True)
+    merged = materialize(merge.guarded_upsert(snapshot["products"], rows, ["slug"], stamp="updated_at", now=stamp, drop_stale=True))
     live = merged.filter(F.col("action") != "removed")
     products = with_ids(live.withColumn("created_at", F.coalesce("created_at", stamp)), ["slug"])
 

@@ -8,6 +8,7 @@ from vitrine.functions import language, sizes, textclean
 from vitrine.operators import classify, identity, reports
 from vitrine.operators.ordered import with_neighbours
 from vitrine.rules import ranges as R
+from vitrine.session import materialize
 
 
 def taxonomy_rows() -> list[tuple]:
@@ -28,7 +29,7 @@ def office_catalogue(products: DataFrame, registry: DataFrame) -> dict[str, Data
     spec = F.array_join(F.transform("specs", lambda s: F.concat_ws(" ", s["label_th"], F.array_join(s["values_th"], " "))), " ")
     english = F.array_join(F.flatten(F.transform("specs", lambda s: F.coalesce(s["values_en"], F.array()))), " ")
     rows = products.withColumns({"__kind": kind, "__spec": spec, "__en": english})
-    placed = classify.with_office_range(rows, F.col("category"), F.col("__kind"), F.col("__spec"), F.col("material"), F.col("materials"), F.col("tags"))
+    placed = materialize(classify.with_office_range(rows, F.col("category"), F.col("__kind"), F.col("__spec"), F.col("material"), F.col("materials"), F.col("tags")))
     inside = placed.filter(F.col("range").isNotNull()).withColumn("__key", textclean.search_key(F.col("code")))
     coded, new_registry = identity.assign_codes(inside, registry, ["__key", "slug"])
 

@@ -47,6 +47,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute once and keep in the shared checkpoint folder: for results that several later steps read.
+
+    Unlike a cache it survives lost executors without recomputing, and it cuts the plan.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Even out a source that arrives in fewer splits than there are cores, before work that is heavy per
     row. A source with enough splits, as any large one has, is left as it is: no shuffle."""

@@ -36,7 +36,7 @@ def read_crawled_pages(spark: SparkSession, path: str) -> DataFrame:
 
 def read_page_text(spark: SparkSession, root: str) -> DataFrame:
     """A tree <folder>/<file>/p<N>.txt as (folder, file, page, line_no, line); one row per line."""
-    raw = (spark.read.option("recursiveFileLookup", True).option("wholetext", True).option("pathGlobFilter", "p*.txt").text(root)
+    raw = (spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="p*.txt")
            .select(F.col("value"), F.col("_metadata.file_path").alias("path")))
     path = F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B")))
     parts = r"([^/]+)/([^/]+)/p(\d+)\.txt$"
