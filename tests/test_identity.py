@@ -3,6 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from vitrine.operators import identity
+from vitrine.session import materialize
 
 
 def brute_lineage(rows):
@@ -43,9 +44,11 @@ def test_codes_stay_and_are_never_reused(spark):
     registry = spark.createDataFrame([("a", "CH-NT-01"), ("b", "CH-NT-03")], "slug string, code string")
     items = spark.createDataFrame([("a", "CH-NT", "A"), ("b", "CH-NT", "B"), ("c", "CH-NT", "C")], "slug string, range string, k string")
     out, reg = identity.assign_codes(items, registry, ["k", "slug"])
+    reg = materialize(reg)  # a registry is written between runs
     assert {r["slug"]: r["cat_code"] for r in out.collect()} == {"a": "CH-NT-01", "b": "CH-NT-03", "c": "CH-NT-04"}
     moved = items.withColumn("range", F.when(F.col("slug") == "c", "CH-LT").otherwise(F.col("range")))
     out2, reg2 = identity.assign_codes(moved, reg, ["k", "slug"])
+    reg2 = materialize(reg2)
     assert {r["slug"]: r["cat_code"] for r in out2.collect()}["c"] == "CH-LT-01"
     back = moved.unionByName(spark.createDataFrame([("d", "CH-NT", "D")], "slug string, range string, k string"))
     out3, reg3 = identity.assign_codes(back, reg2, ["k", "slug"])

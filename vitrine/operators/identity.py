@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vitrine.functions.textclean import canonical_url
 from vitrine.functions.vectors import above_mean_bits, differing_bits
 from vitrine.operators.ordered import HOT_ROWS, carry_forward, first_per_key, number_rows
+from vitrine.session import materialize
 
 
 def dedupe_lineage(df: DataFrame, keys: Sequence[str], ordinal: str, never_merged: Column | None = None,
@@ -101,20 +102,22 @@ def assign_codes(items: DataFrame, registry: DataFrame, order: Sequence[str], sl
         registry = registry.withColumn("retired", F.lit(False))
     used = registry.groupBy(code_range(F.col("code")).alias(range_code)).agg(F.max(code_number(F.col("code"))).alias("__used"))
     live = registry.filter(~F.col("retired")).select(F.col(slug), F.col("code").alias("__old"))
-    known = items.join(live, slug, "left")
+    # Codes are settled on narrow rows, computed once; the items join the result.
+    narrow = items.select(*dict.fromkeys([slug, range_code, *order]))
+    known = materialize(narrow.join(live, slug, "left"))
     keeps = F.col("__old").isNotNull() & (code_range(F.col("__old")) == F.col(range_code))
-    kept = known.filter(keeps).withColumn("cat_code", F.col("__old"))
+    kept = known.filter(keeps).select(slug, "__old", F.col("__old").alias("cat_code"))
     fresh = number_rows(known.filter(~F.coalesce(keeps, F.lit(False))), [range_code], order, "__n", hot_rows)
     number = F.coalesce(F.col("__used"), F.lit(0)) + F.col("__n")
     padded = F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string"))
-    fresh = fresh.join(used, range_code, "left").withColumn("cat_code", F.concat_ws("-", F.col(range_code), padded)).drop("__n", "__used")
-    out = kept.unionByName(fresh)
-    now = out.select(F.col(slug), F.col("cat_code").alias("code"), F.lit(False).alias("retired"))
-    moved = out.filter(F.col("__old").isNotNull() & (F.col("__old") != F.col("cat_code"))).select(
+    fresh = fresh.join(used, range_code, "left").select(slug, "__old", F.concat_ws("-", range_code, padded).alias("cat_code"))
+    codes = materialize(kept.unionByName(fresh))
+    now = codes.select(F.col(slug), F.col("cat_code").alias("code"), F.lit(False).alias("retired"))
+    moved = codes.filter(F.col("__old").isNotNull() & (F.col("__old") != F.col("cat_code"))).select(
         F.col(slug), F.col("__old").alias("code"), F.lit(True).alias("retired"))
-    others = registry.select(slug, "code", "retired").join(out.select(slug).withColumn("retired", F.lit(False)),
+    others = registry.select(slug, "code", "retired").join(codes.select(slug).withColumn("retired", F.lit(False)),
                                                            [slug, "retired"], "left_anti")
-    return out.drop("__old"), now.unionByName(moved).unionByName(others)
+    return items.join(codes.drop("__old"), slug), now.unionByName(moved).unionByName(others)
 
 
 def decorations(df: DataFrame, item: str, file: str, min_files: int = 4) -> DataFrame:
