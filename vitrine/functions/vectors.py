@@ -54,6 +54,12 @@ def trigrams(text: Column) -> Column:
         F.transform(starts, lambda i: F.substring(padded, i, F.lit(3)))))
 
 
+def literal_trigrams(text: str) -> Column:
+    """The trigrams of a fixed text as a literal, so nothing is computed per row."""
+    padded = f"  {text.lower()} "
+    return F.array(*[F.lit(g) for g in dict.fromkeys(padded[i:i + 3] for i in range(len(padded) - 2))])
+
+
 def trigram_similarity(a: Column, b: Column) -> Column:
     """Shared over all trigrams of two trigram arrays."""
     shared = F.size(F.array_intersect(a, b))

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions.textclean import search_key
-from vitrine.functions.vectors import trigram_similarity, trigrams
+from vitrine.functions.vectors import literal_trigrams, trigram_similarity, trigrams
 from vitrine.operators.ordered import top_per_key
 
 SIMILAR = 0.3
@@ -28,7 +28,7 @@ def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str
         return rows.filter(hit).orderBy(F.col(code).asc_nulls_last()).limit(limit)
     code_key = F.col(key) if key else search_key(F.col(code))
     prefix = code_key.startswith(wanted)
-    rows = rows.withColumn("similarity", trigram_similarity(trigrams(code_key), trigrams(F.lit(wanted))))
+    rows = rows.withColumn("similarity", trigram_similarity(trigrams(code_key), literal_trigrams(wanted)))
     tie = [F.col(key).asc_nulls_last()] if key else []
     return (
         rows.filter(hit | prefix | (F.col("similarity") >= SIMILAR))

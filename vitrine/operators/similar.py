@@ -28,8 +28,9 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, images: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of these images for each query."""
+def _nearest(query_ids: np.ndarray, queries: np.ndarray, part: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k nearest of these pictures for each query."""
+    ids, images, owner = part["image_id"].to_numpy(), _matrix(part["v"]), part["product"].to_numpy()
     distance = np.round(1.0 - queries @ _unit(images).T, DECIMALS)
     frames = []
     for q, row in zip(query_ids, distance):
@@ -38,29 +39,28 @@ def _nearest(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, images
         else:
             near = np.arange(len(row))
         near = near[np.lexsort((ids[near], row[near]))][:k]
-        frames.append(pd.DataFrame({"query_id": q, "image_id": ids[near], "distance": row[near]}))
+        frames.append(pd.DataFrame({"query_id": q, "image_id": ids[near], "product": owner[near], "distance": row[near]}))
     return pd.concat(frames, ignore_index=True)
 
 
-_SCHEMA = "query_id long, image_id long, distance double"
-
-
-def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_id: str, vector: str,
+def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_id: str, vector: str, product: str,
                    k: int = NEAR_IMAGES, broadcast_bytes: int = BROADCAST_BYTES,
                    rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
-    """(query_id, image_id, distance): the exact k nearest pictures of each query by cosine distance.
+    """(query_id, image_id, product, distance): the exact k nearest pictures of each query by cosine distance.
 
-    Pictures without a vector are skipped. A query batch whose measured size is within ``broadcast_bytes``
+    The product rides along, so that collapsing to products reads the pictures no second time. Pictures without a vector are skipped. A query batch whose measured size is within ``broadcast_bytes``
     goes to every task, and the pictures are read where they are. A larger batch meets the pictures in a
     grid of hash blocks of bounded size. Either way only the best k per query leave a block, and a second
     top-k per query merges them.
     """
     spark = images.sparkSession
-    have = images.filter(F.col(vector).isNotNull()).select(F.col(image_id).cast("long").alias("image_id"), F.col(vector).alias("v"))
+    have = images.filter(F.col(vector).isNotNull()).select(
+        F.col(image_id).cast("long").alias("image_id"), F.col(product).alias("product"), F.col(vector).alias("v"))
+    schema = f"query_id long, image_id long, product {have.schema['product'].dataType.simpleString()}, distance double"
     asked = queries.select(F.col(query_id).cast("long").alias("query_id"), unit_vector(F.col(vector)).alias("q"))
     size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("q") * 8 + 8).alias("bytes")).first()
     if not size["n"]:
-        return spark.createDataFrame([], _SCHEMA)
+        return spark.createDataFrame([], schema)
     if size["bytes"] <= broadcast_bytes:
         batch = asked.toPandas()
         shared = spark.sparkContext.broadcast((batch["query_id"].to_numpy(), _unit(_matrix(batch["q"]))))
@@ -71,14 +71,14 @@ def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_i
             for part in parts:
                 if part.empty:
                     continue
-                found = _nearest(query_ids, q, part["image_id"].to_numpy(), _matrix(part["v"]), k)
+                found = _nearest(query_ids, q, part, k)
                 both = found if best is None else pd.concat([best, found], ignore_index=True)
                 ordered = both.sort_values(["query_id", "distance", "image_id"], kind="stable")
                 best = ordered.groupby("query_id", sort=False).head(k)
             if best is not None:
                 yield best
 
-        local = have.mapInPandas(scan, _SCHEMA)
+        local = have.mapInPandas(scan, schema)
     else:
         n_images = have.count()
         image_blocks = max(1, -(-n_images // rows_per_block))
@@ -89,32 +89,30 @@ def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_i
 
         def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "image_id": [], "distance": []})
-            return _nearest(b["query_id"].to_numpy(), _unit(_matrix(b["q"])), a["image_id"].to_numpy(), _matrix(a["v"]), k)
+                return pd.DataFrame({"query_id": [], "image_id": [], "product": [], "distance": []})
+            return _nearest(b["query_id"].to_numpy(), _unit(_matrix(b["q"])), a, k)
 
-        local = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(block, _SCHEMA)
+        local = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(block, schema)
     return top_per_key(local, ["query_id"], ["distance", "image_id"], k)
 
 
-def best_per_product(near: DataFrame, images: DataFrame, image_id: str, product: str) -> DataFrame:
+def best_per_product(near: DataFrame) -> DataFrame:
     """(query_id, product, distance): each product by its nearest picture."""
-    owner = images.select(F.col(image_id).cast("long").alias("image_id"), F.col(product))
-    return near.join(owner, "image_id").groupBy("query_id", product).agg(F.min("distance").alias("distance"))
+    return near.groupBy("query_id", "product").agg(F.min("distance").alias("distance"))
 
 
-def top_products(best: DataFrame, shown: DataFrame, product: str, n: int = TOP_PRODUCTS) -> DataFrame:
+def top_products(best: DataFrame, shown: DataFrame, n: int = TOP_PRODUCTS) -> DataFrame:
     """The nearest ``n`` shown products per query with ``rank`` and ``score``.
 
     Hidden products are dropped after the cut to the nearest pictures, so fewer than ``n`` may remain.
     """
-    visible = best.join(shown.select(product).distinct(), product, "left_semi")
-    ranked = top_per_key(visible, ["query_id"], ["distance", product], n)
+    visible = best.join(shown.select("product"), "product", "left_semi")
+    ranked = top_per_key(visible, ["query_id"], ["distance", "product"], n)
     return ranked.withColumn("score", F.round(1 - F.col("distance"), 3))
 
 
-def hit_rates(ranked: DataFrame, truth: DataFrame, product: str, cuts: tuple[int, ...] = (1, 5, 24)) -> DataFrame:
-    """Share of queries whose true product is within the first k: one row, ``top_k`` columns."""
-    right = truth.select("query_id", F.col(product).alias("__true"))
-    joined = right.join(ranked.select("query_id", F.col(product).alias("__true"), "rank"), ["query_id", "__true"], "left")
+def hit_rates(ranked: DataFrame, truth: DataFrame, cuts: tuple[int, ...] = (1, 5, 24)) -> DataFrame:
+    """Share of queries whose true product (``truth``: query_id, product) is within the first k."""
+    joined = truth.join(ranked.select("query_id", "product", "rank"), ["query_id", "product"], "left")
     return joined.agg(F.count(F.lit(1)).alias("queries"), *[
         F.avg(F.coalesce((F.col("rank") <= k).cast("double"), F.lit(0.0))).alias(f"top_{k}") for k in cuts])

@@ -242,33 +242,32 @@ near as (select query_id, vec_id as image_id, label, round(1 - list_cosine_simil
   where vec_id not in (select query_id from q)
   qualify row_number() over (partition by query_id order by distance, vec_id) <= 240),
 best as (select query_id, label, min(distance) as distance from near group by 1, 2),
-shown as (select distinct label from embeddings where label <> 3),
+shown as (select label from embeddings group by label having arg_min(embedding[1], vec_id) > 0),
 ranked as (select query_id, label, distance, row_number() over (partition by query_id order by distance, label) as rank from best semi join shown using (label) qualify rank <= 24)"""
 
 
 def _near(t: Tables):
     queries, index = _photo_queries(t)
-    near = similar.nearest_images(index, queries, "vec_id", "vec_id", "embedding")
-    return queries, index, near
+    return queries, similar.nearest_images(index, queries, "vec_id", "vec_id", "embedding", "label")
 
 
 @query(f"with {SQL_NEAR} select query_id, image_id, round(distance, 6) as distance from near")
 def vector_topk(t: Tables):
-    _, _, near = _near(t)
+    _, near = _near(t)
     return near.select("query_id", "image_id", F.round("distance", 6).alias("distance"))
 
 
 def _ranked(t: Tables):
-    queries, index, near = _near(t)
-    best = similar.best_per_product(near, index, "vec_id", "label")
-    shown = t.embeddings.filter(F.col("label") != 3)
-    return queries, similar.top_products(best, shown, "label")
+    queries, near = _near(t)
+    # A product counts as published when its first picture points to the positive side of the first axis.
+    first = t.embeddings.groupBy(F.col("label").alias("product")).agg(F.min_by(F.col("embedding")[0], "vec_id").alias("x"))
+    return queries, similar.top_products(similar.best_per_product(near), first.filter(F.col("x") > 0))
 
 
 @query(f"with {SQL_NEAR} select query_id, label::bigint as label, rank::bigint as rank, round(1 - distance, 3) as score from ranked")
 def vector_by_product(t: Tables):
     _, ranked = _ranked(t)
-    return ranked.select("query_id", F.col("label").cast("long"), F.col("rank").cast("long"), "score")
+    return ranked.select("query_id", F.col("product").cast("long").alias("label"), F.col("rank").cast("long"), "score")
 
 
 @query(f"""
@@ -276,8 +275,8 @@ with {SQL_NEAR} select count(*)::bigint as queries, round(avg((coalesce(rank <=
   round(avg((coalesce(rank <= 24, false))::int), 6) as top_24 from qu left join ranked on ranked.query_id = qu.query_id and ranked.label = qu.true_label""")
 def recall_at_k(t: Tables):
     queries, ranked = _ranked(t)
-    truth = queries.select(F.col("vec_id").alias("query_id"), "label")
-    out = similar.hit_rates(ranked, truth, "label")
+    truth = queries.select(F.col("vec_id").alias("query_id"), F.col("label").alias("product"))
+    out = similar.hit_rates(ranked, truth)
     return out.select("queries", *[F.round(c, 6).alias(c) for c in ("top_1", "top_5", "top_24")])
 
 
