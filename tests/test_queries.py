@@ -19,5 +19,8 @@ def con():
 @pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(spark, con, name):
     assert name in workload.ORACLES
-    problem, _ = compare(workload.QUERIES[name](spark, FOLDER), con, workload.ORACLES[name])
+    df = workload.QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    problem, _ = compare(df, con, workload.ORACLES[name])
     assert problem is None
