@@ -14,7 +14,8 @@ from pyspark.sql.window import Window as W
 
 from vitrine.functions.patterns import extracted, matches
 from vitrine.functions.sizes import axis_measure, axis_of_label, is_size_line, with_parsed_size
-from vitrine.functions.textclean import fix_thai_spacing, plain_skeleton, search_key, skeleton
+from vitrine.functions.textclean import fix_thai_spacing, plain_skeleton, skeleton
+from vitrine.functions.vectors import let
 from vitrine.rules import labels as L
 from vitrine.schemas import AXES
 
@@ -60,7 +61,9 @@ def parse_sheets(lines: DataFrame, keys: Sequence[str], line: str = "line", line
     df = df.withColumn("__raw", extracted(text, L.FIELD_LINE))
     df = df.withColumn("__first", skeleton(F.regexp_replace("__raw", L.NUMBERING, "")))
     is_field, raw_label, first_skel = text.rlike(L.FIELD_LINE), F.col("__raw"), F.col("__first")
-    opener = F.when(first_skel.isNotNull(), _in_labels(first_skel, [*L.TYPE_LABELS, *L.CODE_LABELS]) | _is_size_label(first_skel)) & ~matches(text, L.LETTERHEAD)
+    named = _in_labels(first_skel, [*L.TYPE_LABELS, *L.CODE_LABELS]) | _is_size_label(first_skel)
+    # The letterhead pattern is the slow one: it only runs on lines that could open a sheet.
+    opener = F.coalesce(named, F.lit(False)) & ~matches(text, L.LETTERHEAD)
     df = df.withColumn("__start", F.min(F.when(opener, F.col("__no"))).over(doc)).filter(
         (F.col("__no") >= F.col("__start")) & ~text.rlike(L.NUMERIC_LINE))
 
@@ -109,17 +112,23 @@ def parse_sheets(lines: DataFrame, keys: Sequence[str], line: str = "line", line
     pages = values.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "no", F.col("__target").alias("target"), F.col("__holder").alias("holder"), "label", "text"))).alias("__all"))
     of = lambda t: F.filter("__all", lambda v: v["target"] == t)
-    last_field = lambda t: F.array_max(F.transform(of(t), lambda v: v["holder"]))
-    latest = lambda t: F.trim(F.array_join(F.transform(
-        F.filter("__all", lambda v: (v["target"] == t) & (v["holder"] == F.col(f"__last_{t}"))), lambda v: v["text"]), " "))
-    texts = lambda t: F.transform(of(t), lambda v: v["text"])
-    pages = pages.withColumns({f"__last_{t}": last_field(t) for t in ("code", "type", "note")}).withColumn("__spec", of("spec"))
-    rows = F.array_distinct(F.transform("__spec", lambda v: F.struct(v["holder"], v["label"])))
-    specs = F.transform(rows, lambda r: F.struct(r["label"].alias("label"), F.transform(
-        F.filter("__spec", lambda v: v["holder"] == r["holder"]), lambda v: v["text"]).alias("values")))
+    texts = lambda values: F.transform(values, lambda v: v["text"])
+
+    def latest(target: str) -> Column:
+        """The values of the last field of this kind, as one text."""
+        def joined(values: Column) -> Column:
+            last = F.array_max(F.transform(values, lambda v: v["holder"]))
+            return let(last, lambda h: F.array_join(texts(F.filter(values, lambda v: v["holder"] == h)), " "))
+        return F.trim(let(of(target), joined)).alias(target)
+
+    def spec_list(values: Column) -> Column:
+        rows = F.array_distinct(F.transform(values, lambda v: F.struct(v["holder"].alias("holder"), v["label"].alias("label"))))
+        return F.transform(rows, lambda r: F.struct(
+            r["label"].alias("label"), texts(F.filter(values, lambda v: v["holder"] == r["holder"])).alias("values")))
+
     sizes = F.transform(of("size"), lambda v: F.struct(v["label"].alias("label"), v["text"].alias("value")))
-    pages = pages.select(*keys, latest("code").alias("code"), latest("type").alias("type"), latest("note").alias("note"),
-                         sizes.alias("sizes"), specs.alias("specs"), texts("features").alias("features"), texts("section").alias("sections"))
+    pages = pages.select(*keys, latest("code"), latest("type"), latest("note"), sizes.alias("sizes"), let(of("spec"), spec_list).alias("specs"),
+                         texts(of("features")).alias("features"), texts(of("section")).alias("sections"))
     blank = lambda c: F.when(F.col(c) != "", F.col(c))
     return pages.withColumns({c: blank(c) for c in ("code", "type", "note")}).filter(
         F.col("code").isNotNull() | F.col("type").isNotNull())
@@ -387,6 +396,3 @@ def column_spans(items: DataFrame, keys: Sequence[str], page_w: str, page_h: str
     right = F.coalesce(F.lead("x0").over(row) - F.floor(w * 0.015), F.least(w, F.col("x0") + F.floor(w * 0.34)))
     return df.withColumn("left", left.cast("int")).withColumn("right", F.least(w, right).cast("int")).drop("__j", "__row")
 
-
-def code_key(code: str = "code") -> Column:
-    return search_key(F.col(code))

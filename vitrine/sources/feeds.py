@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine import schemas
-from vitrine.functions.textclean import clean_code  # noqa: F401  (re-exported for word-box feeds)
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
