@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 from vitrine.llm import scratch
 from vitrine.llm.host_reputation import LOWER, UPPER
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "spark.sql.streaming.stateStore"
+#: Keyed state in RocksDB; changes are logged instead of uploading whole snapshots, and files grow as they fill.
+STATE_SETTINGS = {
+    f"{STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{STATE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{STATE}.rocksdb.allowFAllocate": "false",
+}
 
 
 def normalised(text: Column) -> Column:
@@ -46,13 +51,15 @@ def stream_state(arrivals_path: str, schema, spark: SparkSession, files_per_batc
     def write(changes: DataFrame, batch: int) -> None:
         changes.write.mode("overwrite").parquet(f"{out}/batch={batch}")
 
-    before = spark.conf.get(PROVIDER, None)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE_SETTINGS}
+    for key, value in STATE_SETTINGS.items():
+        spark.conf.set(key, value)
     try:
         (state.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start().awaitTermination())
     finally:
-        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     changes = spark.read.schema(f"{_ddl(state)}, batch int").option("basePath", out).parquet(f"{out}/batch=*")
     # A state only grows: the last change of a digest has the largest count and the largest url.
     return changes.groupBy("digest").agg(F.max("kept_page").alias("kept_page"), F.max("copies").alias("copies"))
