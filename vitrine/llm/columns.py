@@ -1,7 +1,10 @@
 """Helpers around Arrow batch functions."""
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Iterable, Iterator
+from typing import Any
 
 import pyarrow as pa
 
@@ -22,3 +25,12 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
 
 def with_columns(batch: pa.RecordBatch, keep: list[str], **more: pa.Array) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *more.values()], names=[*keep, *more])
+
+
+def per_process(key: tuple, build: Callable[[], Any]) -> Any:
+    """``build()`` once per Python worker. Functions of this package travel with each task by value, so a global of
+    ours would be new for every task; tokenizer files are worth loading once."""
+    held = sys.modules.setdefault("vitrine_worker_values", types.ModuleType("vitrine_worker_values")).__dict__
+    if key not in held:
+        held[key] = build()
+    return held[key]

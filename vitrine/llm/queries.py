@@ -1,10 +1,11 @@
 """The operators over the given tables: each query maps table columns to crawled pages and results back."""
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, host_reputation, language_id
+from vitrine.llm import byte_bpe, exact_dedup, host_reputation, language_id, quality_ranking, token_counts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +56,20 @@ def op4_language_backoff(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("url").alias("doc_id"), (fold("url", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+@query()
+def op5_resync_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    counts = token_counts.count_tokens(pages_of(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
+    return counts.select(F.col("url").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@query()
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    encoded = byte_bpe.encode_pages(pages_of(spark, folder), ranks, pattern)
+    return byte_bpe.decode_pages(encoded, ranks, pattern).select(
+        F.col("url").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 @query("""
 with keyed as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256 from documents),
      grouped as (select *, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size from keyed)
@@ -63,3 +78,13 @@ def op9_stream_dedup(spark: SparkSession, folder: str) -> DataFrame:
     found = exact_dedup.dedup_pages(pages_of(spark, folder))
     return found.select(F.col("url").alias("doc_id"), F.col("keep").alias("keep_id"), "group_size", "kept",
                         F.col("digest").alias("text_sha256"))
+
+
+@query()
+def op10_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(fold("doc_id", 3) != 1)
+    status = F.when(F.col("quality") == 1, "published").when(F.col("quality") == 0, "review")
+    ranking = quality_ranking.fit_ranking(pages_of(spark, folder), labels.select(F.col("doc_id").alias("url"), status.alias("status")))
+    found = quality_ranking.rank_pages(pages_of(spark, folder), ranking)
+    return found.select(F.col("url").alias("doc_id"), (fold("url", 3) == 1).alias("held_out"), "score",
+                        (F.col("score") >= 0.5).cast("int").alias("predicted"))
