@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, host_reputation, language_id, quality_ranking, token_counts
+from vitrine.llm import byte_bpe, exact_dedup, host_reputation, language_id, ngram_join, quality_ranking, token_counts
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -70,6 +70,12 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.col("url").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_duplicates(pages_of(spark, folder)).select(
+        F.col("url").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("""
 with keyed as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) text_sha256 from documents),
      grouped as (select *, max(doc_id) over (partition by text_sha256) keep_id, count(*) over (partition by text_sha256) group_size from keyed)
