@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from vitrine.llm import scratch
+from vitrine.llm.bit_field import bit_field, place
 from vitrine.llm.columns import sliced, texts_of, with_columns
 from vitrine.llm.components import components
 
@@ -171,37 +172,10 @@ def _suffix_filter(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFra
     return pairs.filter(most >= needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def _wanted(pairs: DataFrame, bits: int) -> np.ndarray:
-    """Bit field of fixed size over the hashes of the pages in ``pairs``: which texts to read again."""
-    size = 1 << bits
-
-    def mark(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = np.zeros(size, bool)
-        for batch in batches:
-            field[batch.column("k").to_numpy(zero_copy_only=False)] = True
-        if field.any():
-            yield pa.RecordBatch.from_arrays([pa.array([np.packbits(field).tobytes()], pa.binary())], names=["field"])
-
-    def either(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in sliced(batches, 4):
-            for x in batch.column("field").to_pylist():
-                total = np.frombuffer(x, np.uint8) if total is None else total | np.frombuffer(x, np.uint8)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["field"])
-
-    key = F.pmod(F.xxhash64("u"), F.lit(size)).alias("k")
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("u")).select(key)
-    fields = keys.mapInArrow(mark, "field binary").repartition(8).mapInArrow(either, "field binary").collect()
-    out = np.zeros(size // 8, np.uint8)
-    for r in fields:
-        out |= np.frombuffer(r["field"], np.uint8)
-    return np.unpackbits(out).astype(bool)
-
-
 def verified(crawled_pages: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int = 20) -> DataFrame:
     """Those ``pairs(a, b)`` of urls whose whole sets are similar. A pair of sets is compared once."""
-    shared = crawled_pages.sparkSession.sparkContext.broadcast(_wanted(pairs, bits))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).select(place(F.col("u"), bits).alias("k"))
+    shared = crawled_pages.sparkSession.sparkContext.broadcast(bit_field(ends, bits))
     url = crawled_pages.schema["url"]
     schema = T.StructType([url, T.StructField("set", T.BinaryType())])
 
@@ -220,7 +194,7 @@ def verified(crawled_pages: DataFrame, pairs: DataFrame, words: int, percent: in
                 keep.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    whole = crawled_pages.select("url", "text", F.pmod(F.xxhash64("url"), F.lit(1 << bits)).alias("k")).mapInArrow(sets, schema)
+    whole = crawled_pages.select("url", "text", place(F.col("url"), bits).alias("k")).mapInArrow(sets, schema)
     both = pairs.join(whole.select(F.col("url").alias("a"), F.col("set").alias("sa")), "a").join(
         whole.select(F.col("url").alias("b"), F.col("set").alias("sb")), "b")
     return both.select("a", "b", "sa", "sb").mapInArrow(similar, T.StructType([T.StructField(c, url.dataType) for c in "ab"]))

@@ -5,7 +5,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import byte_bpe, exact_dedup, host_reputation, language_id, ngram_join, quality_ranking, token_counts
+from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, quality_ranking, token_counts,
+                         toxic_neighbours)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -49,6 +50,17 @@ def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", "usable_bound")
 
 
+@query()
+def op2_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    labels = spark.read.parquet(f"{folder}/labels.parquet").filter(fold("doc_id", 4) != 2)
+    status = F.when(F.col("toxic") == 1, "hidden").when(F.col("toxic") == 0, "published")
+    model = toxic_neighbours.fit_examples(pages_of(spark, folder), labels.select(F.col("doc_id").alias("url"), status.alias("status")))
+    found = toxic_neighbours.score_pages(pages_of(spark, folder), model)
+    return found.select(F.col("url").alias("doc_id"), (fold("url", 4) == 2).alias("held_out"), "score",
+                        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+                        F.transform("evidence", lambda e: e["url"]).alias("neighbours"))
+
+
 @query()
 def op4_language_backoff(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.fit_languages(pages_of(spark, folder, "lang").filter(fold("url", 4) != 2))
@@ -70,6 +82,14 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
         F.col("url").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query()
+def op7_template_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet").select(F.col("item_id").alias("slug"), "text")
+    found = decontaminate.contaminated(pages_of(spark, folder), items)
+    return found.select(F.col("url").alias("doc_id"), F.col("slug").alias("item_id"), "windows", "share", "verbatim",
+                        F.col("first").alias("first_token"), F.col("last").alias("last_token"))
+
+
 @query()
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_duplicates(pages_of(spark, folder)).select(
