@@ -5,7 +5,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, quality_ranking, token_counts,
+from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, packing, quality_ranking, token_counts,
                          toxic_neighbours)
 
 QUERIES = {}
@@ -61,6 +61,12 @@ def op2_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
                         F.transform("evidence", lambda e: e["url"]).alias("neighbours"))
 
 
+@query()
+def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    packed = packing.pack_pages(pages_of(spark, folder), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packed.select("shard", "row", "n_tokens", "ids", F.col("urls").alias("doc_ids"), "pieces", "cu_lengths", "position_resets")
+
+
 @query()
 def op4_language_backoff(spark: SparkSession, folder: str) -> DataFrame:
     model = language_id.fit_languages(pages_of(spark, folder, "lang").filter(fold("url", 4) != 2))
