@@ -24,7 +24,8 @@ from vitrine.llm import scratch
 from vitrine.llm.bit_field import bit_field
 from vitrine.llm.columns import sliced, texts_of, with_columns
 
-TOKEN = re.compile(r"[.!?\n]|\d+(?:[.,]\d+)*|[^\W\d_]+")
+#: Sentence ends, numbers (also with a unit written onto them), and words, product codes among them.
+TOKEN = re.compile(r"[.!?]|\n\s*\n|\d+(?:[.,]\d+)*(?=(?:[^\W\d_]{1,3})?(?![^\W_]))|[^\W_]+")
 #: Units that may stand behind a number.
 UNITS = frozenset(
     "mm cm m km in ft inch inches g kg mg lb lbs ml l s min h hr hrs ms w kw v a hz khz mhz gb mb kb tb px pt usd eur gbp thb baht "
@@ -41,9 +42,9 @@ class _Codes(dict):
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
-        if token in ".!?\n":
+        if token[0] in ".!?\n":
             kind = STOP
-        elif token[0].isdigit():
+        elif token[-1].isdigit() and not any(map(str.isalpha, token)):
             kind = NUMBER
         elif low in UNITS:
             kind = UNIT
