@@ -7,14 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import exact_dedup, language_id, scratch
+from vitrine.llm import byte_bpe, decontaminate, exact_dedup, language_id, ngram_join, scratch
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-#: No SQL expresses the language model or the near duplicates; stages are tested against brute force.
+#: No SQL expresses the language model, the near duplicates or the tokenizer; stages are tested against brute force.
 ORACLE_SQL = None
 
 
@@ -22,6 +23,12 @@ def as_pages(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("url"), "text", *more)
 
 
+def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Documents whose id is not among ``dropped(url)``. The ids are written first, so their size is known when the join is planned."""
+    ids = scratch.table(dropped.select(F.col("url").alias("doc_id")).distinct(), "dropped")
+    return docs.join(ids, "doc_id", "left_anti").select(*docs.columns)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null, empty or without a letter."""
     model = language_id.fit_languages(as_pages(docs, "lang"))
@@ -30,11 +37,34 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
-    kept = exact_dedup.dedup_pages(as_pages(docs)).filter("kept").select(F.col("url").alias("doc_id"))
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    return without(docs, exact_dedup.dedup_pages(as_pages(docs)).filter("not kept"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays."""
+    return without(docs, ngram_join.near_duplicates(as_pages(docs)).filter("url <> component"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark text, with the same or other parameters."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("slug"), "text")
+    return without(docs, decontaminate.contaminated(as_pages(docs), items))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """``(doc_id, lang, source, n_tokens, ids, decoded_sha256, round_trip)`` of every document."""
+    ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    pages = docs.select(F.struct("doc_id", "lang", "source", digest.alias("sha256")).alias("url"), "text")
+    decoded = byte_bpe.decode_pages(byte_bpe.encode_pages(pages, ranks, pattern), ranks, pattern)
+    return decoded.select("url.doc_id", "url.lang", "url.source", "n_tokens", "ids", F.col("url.sha256"),
+                          F.sha2("decoded", 256).alias("decoded_sha256")).withColumn(
+        "round_trip", F.expr("sha256 = decoded_sha256")).drop("sha256")
 
 
-STAGES: list[tuple[str, Stage]] = [("language", language), ("exact_copies", exact_copies)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", language), ("exact_copies", exact_copies), ("near_copies", near_copies), ("decontamination", decontamination),
+    ("tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -74,12 +74,15 @@ def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Co
 
 
 def _strength(groups: DataFrame, limits: tuple[float, float]) -> float:
-    """Prior strength (pseudo-pages) of a level: moment estimate of the beta-binomial's intra-group correlation
-    around each group's parent rate ``m``. One aggregate row comes to the driver."""
+    """Strength (in pages) of the prior that groups of a level share: moment estimate of the beta-binomial's correlation
+    inside groups around their parent's rate ``m``; the weakest where no parent has two groups to compare. One aggregate
+    row comes to the driver."""
     n, p, m = F.col("n"), F.col("good") / F.col("n"), F.col("m")
     row = groups.filter("n > 0").agg(
         F.sum(n * (p - m) * (p - m)).alias("seen"), F.sum(m * (1 - m)).alias("chance"),
-        F.sum((n - 1) * m * (1 - m)).alias("room")).first()
+        F.sum((n - 1) * m * (1 - m)).alias("room"), (F.count(F.lit(1)) - F.count_distinct("m")).alias("siblings")).first()
+    if row["siblings"] < 1:
+        return limits[0]
     if not row["room"] or row["room"] <= 0:
         return limits[1]
     rho = (row["seen"] - row["chance"]) / row["room"]
@@ -87,10 +90,10 @@ def _strength(groups: DataFrame, limits: tuple[float, float]) -> float:
 
 
 def host_rates(outcomes: DataFrame, strength_limits: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
-    """Posterior beta of every host with a labelled page, and of every domain and suffix.
+    """Beta distribution of the usable share, by host.
 
-    ``outcomes(host, usable)``, usable 0, 1 or null (ignored) -> ``(level, name, a, b)`` with level host, domain or
-    suffix, plus one row of level ``all``. Rows of an empty table: only ``all``, with a = b = 1.
+    ``outcomes(host, usable)``, usable 0, 1 or null (ignored) -> ``(level, name, a, b)``. Level host: posterior of a host with labelled
+    pages. Levels domain, suffix and all: prior of a host beneath them that has none. Without any outcome there is only ``all``.
     """
     hosts = scratch.settled(
         outcomes.filter(F.col("usable").isNotNull() & F.col("host").isNotNull())
@@ -98,24 +101,32 @@ def host_rates(outcomes: DataFrame, strength_limits: tuple[float, float] = (2.0,
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     # Both are read at several places below; they are small next to the hosts, and hosts next to the pages.
     domains = scratch.settled(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
-    suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
+    suffixes = scratch.settled(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good")))
     total = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0.0)).alias("n"), F.coalesce(F.sum("good"), F.lit(0.0)).alias("g")).first()
-    start = (total["g"] + 1) / (total["n"] + 2)
+    overall = (total["g"] + 1) / (total["n"] + 2)
 
-    def shrunk(groups: DataFrame) -> DataFrame:
-        k = F.lit(_strength(groups, strength_limits))
+    def shrunk(groups: DataFrame, strength: float) -> DataFrame:
+        k = F.lit(strength)
         return groups.withColumn("a", F.col("good") + k * F.col("m")).withColumn("b", F.col("n") - F.col("good") + k * (1 - F.col("m")))
 
     rate = F.col("a") / (F.col("a") + F.col("b"))
-    suffixes = shrunk(suffixes.withColumn("m", F.lit(start)))
-    domains = shrunk(domains.join(suffixes.select("suffix", rate.alias("m")), "suffix"))
-    hosts = shrunk(hosts.join(domains.select("domain", rate.alias("m")), "domain"))
-    spark = outcomes.sparkSession
-    everything = spark.range(1).select(F.lit("all").alias("level"), F.lit("").alias("name"), F.lit(total["g"] + 1.0).alias("a"),
-                                       F.lit(total["n"] - total["g"] + 1.0).alias("b"))
-    for level, groups in (("suffix", suffixes), ("domain", domains), ("host", hosts)):
-        everything = everything.unionByName(groups.select(F.lit(level).alias("level"), F.col(level).alias("name"), "a", "b"))
-    return everything
+    suffixes = suffixes.withColumn("m", F.lit(overall))
+    of_suffix = _strength(suffixes, strength_limits)
+    suffixes = shrunk(suffixes, of_suffix)
+    domains = domains.join(suffixes.select("suffix", rate.alias("m")), "suffix")
+    of_domain = _strength(domains, strength_limits)
+    domains = shrunk(domains, of_domain)
+    hosts = hosts.join(domains.select("domain", rate.alias("m")), "domain")
+    of_host = _strength(hosts, strength_limits)
+    hosts = shrunk(hosts, of_host)
+
+    def unseen(strength: float, mean: Column) -> list[Column]:
+        return [(F.lit(strength) * mean).alias("a"), (F.lit(strength) * (1 - mean)).alias("b")]
+
+    out = outcomes.sparkSession.range(1).select(F.lit("all").alias("level"), F.lit("").alias("name"), *unseen(of_suffix, F.lit(overall)))
+    for level, groups, strength in (("suffix", suffixes, of_domain), ("domain", domains, of_host)):
+        out = out.unionByName(groups.select(F.lit(level).alias("level"), F.col(level).alias("name"), *unseen(strength, rate)))
+    return out.unionByName(hosts.select(F.lit("host").alias("level"), F.col("host").alias("name"), "a", "b"))
 
 
 def judge_urls(crawled_pages: DataFrame, outcomes: DataFrame, rules: Sequence[Rule], min_usable: float = 0.5,
@@ -126,8 +137,7 @@ def judge_urls(crawled_pages: DataFrame, outcomes: DataFrame, rules: Sequence[Ru
     allow or block, ``usable_bound`` the upper posterior bound of the host's usable share.
 
     Null or malformed url: host and path empty, no rule, judged by the crawl as a whole. A host without labelled pages
-    is judged by its domain, then suffix, then the crawl. No outcomes: nothing is blocked, as the bound of the uniform
-    prior is above 0.5. Repeated rows stay, extra columns are not read. Empty pages: empty result.
+    is judged by its domain, then suffix, then the crawl. No outcomes: nothing is blocked, as the prior's mean is 0.5. Repeated rows stay, extra columns are not read. Empty pages: empty result.
     """
     host, path = host_of(F.col("url")), path_of(F.col("url"))
     rates = host_rates(outcomes.select(host.alias("host"), "usable"), strength_limits)
