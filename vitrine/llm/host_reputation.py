@@ -75,13 +75,13 @@ def domain_of(host: Column, two_label: Sequence[str] = TWO_LABEL_SUFFIXES) -> Co
 
 def _strength(groups: DataFrame, limits: tuple[float, float]) -> float:
     """Strength (in pages) of the prior that groups of a level share: moment estimate of the beta-binomial's correlation
-    inside groups around their parent's rate ``m``; the weakest where no parent has two groups to compare. One aggregate
+    inside groups around their parent's rate ``m``; the weakest where there is next to nothing to compare. One aggregate
     row comes to the driver."""
     n, p, m = F.col("n"), F.col("good") / F.col("n"), F.col("m")
     row = groups.filter("n > 0").agg(
         F.sum(n * (p - m) * (p - m)).alias("seen"), F.sum(m * (1 - m)).alias("chance"),
         F.sum((n - 1) * m * (1 - m)).alias("room"), (F.count(F.lit(1)) - F.count_distinct("m")).alias("siblings")).first()
-    if row["siblings"] < 1:
+    if row["siblings"] < 2:
         return limits[0]
     if not row["room"] or row["room"] <= 0:
         return limits[1]
@@ -92,11 +92,11 @@ def _strength(groups: DataFrame, limits: tuple[float, float]) -> float:
 def host_rates(outcomes: DataFrame, strength_limits: tuple[float, float] = (2.0, 1000.0)) -> DataFrame:
     """Beta distribution of the usable share, by host.
 
-    ``outcomes(host, usable)``, usable 0, 1 or null (ignored) -> ``(level, name, a, b)``. Level host: posterior of a host with labelled
+    ``outcomes(host, usable)``, usable 0, 1 or null (ignored, as is an empty host) -> ``(level, name, a, b)``. Level host: posterior of a host with labelled
     pages. Levels domain, suffix and all: prior of a host beneath them that has none. Without any outcome there is only ``all``.
     """
     hosts = scratch.settled(
-        outcomes.filter(F.col("usable").isNotNull() & F.col("host").isNotNull())
+        outcomes.filter(F.col("usable").isNotNull() & (F.col("host") != ""))
         .groupBy("host").agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum("usable").cast("double").alias("good"))
         .withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("host"))))
     # Both are read at several places below; they are small next to the hosts, and hosts next to the pages.
