@@ -47,13 +47,13 @@ def variants(seed: int, n: int, words: int, changes: int) -> list[str]:
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 2])
-def test_against_brute_force(spark, rounds):
+@pytest.mark.parametrize("draws, hot_rows", [(1, 4), (4, 1000)])
+def test_against_brute_force(spark, draws, hot_rows):
     # Copies that differ from their origin by little but from one another by more than the limit, groups that share a passage, copies.
     texts = variants(1, 12, 120, 3) + variants(2, 12, 60, 2) + [invented(9, 40) + " " + invented(s, 25) for s in range(20, 26)]
     texts += ["One two", "one TWO", "one two three", invented(1, 120), invented(1, 120).upper()]
     frame = pages(spark, texts).repartition(4)
-    got = rows(ngram_join.near_duplicates(frame, rounds=rounds, count_bits=12, hot_rows=4))
+    got = rows(ngram_join.near_duplicates(frame, draws=draws, count_bits=12, hot_rows=hot_rows))
     assert got == brute(list(enumerate(texts)))
 
 

@@ -7,13 +7,14 @@
 3. Prefix n-grams listed by one set only are gone after one shuffle. Pairs that share one pass the length filter, the
    positional filter at their first common n-gram, and the suffix filter (n-grams are dealt into fixed groups; two sets share at
    most the smaller count in each), and are then verified once on their whole sets.
-4. A group of near copies would give all its pairs. So lists are first compared with one pivot each, the set that stands in
-   most lists; sets found to be connected need no comparison, and only pairs across components go on to the next round.
-   The last round takes every pair across components that is left, so no link between components is lost.
+4. A group of near copies would give all its pairs. So the sets of a list are first compared with one of them, the set that stands
+   in most lists, and those it did not reach with a few drawn by hash. Sets found to be connected need no comparison, so only pairs
+   across components are left for the last round. That takes every one of them, so no link between components is lost.
 """
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,27 +49,39 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 
 class Shingler:
-    """64-bit hashes of the word n-grams of a text, A-Z lower-cased, words cut at ASCII white space. Fewer words than
+    """64-bit hashes of the word n-grams of texts, A-Z lower-cased, words cut at ASCII white space. Fewer words than
     ``n`` make one n-gram of all of them."""
 
     def __init__(self, n: int):
         self.n, self.words = n, _Hashes()
 
-    def all(self, text: str) -> np.ndarray:
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        words = text.encode().translate(LOWER).split()
-        w = np.fromiter(map(self.words.__getitem__, words), np.uint64, len(words))
-        k = min(self.n, len(w))
-        if not k:
-            return w
+    def _grams(self, w: np.ndarray, k: int) -> np.ndarray:
         out = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
-            out = _mixed(out * FACTOR + w[i:len(w) - k + 1 + i])
-        return out
+            out *= FACTOR
+            out += w[i:len(w) - k + 1 + i]
+            out ^= out >> np.uint64(29)
+        return _mixed(out)
 
-    def set(self, text: str) -> np.ndarray:
-        return np.unique(self.all(text))
+    def all(self, texts: list[str]) -> list[np.ndarray]:
+        """N-grams of every text in order, repeats included."""
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        found = [t.encode().translate(LOWER).split() for t in texts]
+        ends = np.cumsum([0, *map(len, found)]).tolist()
+        w = np.fromiter(map(self.words.__getitem__, chain.from_iterable(found)), np.uint64, ends[-1])
+        # All texts at once; n-grams that reach into the next text are left out below.
+        grams = self._grams(w, self.n) if len(w) >= self.n else w[:0]
+        return [grams[a:b - self.n + 1] if b - a >= self.n else self._grams(w[a:b], b - a) if b > a else w[:0]
+                for a, b in zip(ends, ends[1:])]
+
+    def sets(self, texts: list[str]) -> list[np.ndarray]:
+        """Distinct n-grams of every text in ascending order."""
+        out = []
+        for grams in self.all(texts):
+            grams.sort()
+            out.append(grams[np.concatenate([[True], grams[1:] != grams[:-1]])] if len(grams) else grams)
+        return out
 
 
 def _groups_of(hashes: np.ndarray) -> np.ndarray:
@@ -85,9 +98,15 @@ def corpus_counts(crawled_pages: DataFrame, words: int, bits: int) -> np.ndarray
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, total = Shingler(words), np.zeros(size, np.uint32)
+        waiting, n = [], 0
         for batch in sliced(batches):
-            hashes = np.concatenate([np.zeros(0, np.uint64), *map(shingler.all, texts_of(batch))])
-            total += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=size).astype(np.uint32)
+            waiting += [(h >> np.uint64(64 - bits)).astype(np.int32) for h in shingler.all(texts_of(batch))]
+            n += sum(map(len, waiting[-batch.num_rows:]))
+            if n > size:
+                total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
+                waiting, n = [], 0
+        if n:
+            total += np.bincount(np.concatenate(waiting), minlength=size).astype(np.uint32)
         if total.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()),
                                               pa.array([total[i * part:(i + 1) * part].tobytes() for i in range(SLICES)], pa.binary())], names=["slice", "counts"])
@@ -116,7 +135,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def page_sets(crawled_pages: DataFrame, counts: np.ndarray, words: int, percent: int, bits: int, hot_rows: int) -> DataFrame:
     """``(url, n, digest, groups, prefix)`` of every page; prefix holds ``(h, part)`` rare first, null if this task has listed
-    the set before. An n-gram that may stand in more than ``hot_rows`` lists is dealt into several parts."""
+    the set before. An n-gram that may stand in more than ``hot_rows`` lists is dealt into parts 1, 2, ...; all others have part 0."""
     shared = crawled_pages.sparkSession.sparkContext.broadcast(counts)
     entry = T.StructType([T.StructField("h", T.LongType()), T.StructField("part", T.IntegerType())])
     schema = T.StructType([crawled_pages.schema["url"], T.StructField("n", T.IntegerType()), T.StructField("digest", T.BinaryType()),
@@ -125,10 +144,10 @@ def page_sets(crawled_pages: DataFrame, counts: np.ndarray, words: int, percent:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counted, listed = Shingler(words), shared.value, set()
+        part_count = np.array([max(1, (1 << k) // hot_rows) for k in range(65)])
         for batch in sliced(batches):
             n, digests, groups, offsets, missing, hs, parts = [], [], [], [0], [], [], []
-            for text in texts_of(batch):
-                hashes = shingler.set(text)
+            for hashes in shingler.sets(texts_of(batch)):
                 digest = xxhash.xxh3_128_digest(hashes.tobytes())
                 new = len(hashes) > 0 and digest not in listed
                 n.append(len(hashes))
@@ -138,10 +157,14 @@ def page_sets(crawled_pages: DataFrame, counts: np.ndarray, words: int, percent:
                 if new:
                     listed.add(digest)
                     often = counted[(hashes >> np.uint64(64 - bits)).astype(np.int64)]
-                    first = np.lexsort((hashes, often))[:prefix_length(len(hashes), percent)]
-                    pieces = np.maximum(1, (2.0 ** often[first] / hot_rows).astype(np.int64))
+                    # Rare first, then by hash: count and hash share one number, less the hash's last bits.
+                    key = (often.astype(np.uint64) << np.uint64(56)) | (hashes >> np.uint64(8))
+                    p = prefix_length(len(hashes), percent)
+                    first = np.argpartition(key, p - 1)[:p] if p < len(key) else np.arange(p)
+                    first = first[np.argsort(key[first])]
                     hs.append(hashes[first].view(np.int64))
-                    parts.append(int.from_bytes(digest[:4], "little") % pieces)
+                    dealt = part_count[often[first]]
+                    parts.append(np.where(dealt > 1, 1 + int.from_bytes(digest[:4], "little") % dealt, 0))
                 offsets.append(offsets[-1] + (len(hs[-1]) if new else 0))
             flat = pa.StructArray.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *hs])),
                                                pa.array(np.concatenate([np.zeros(0, np.int64), *parts]).astype(np.int32))], names=["h", "part"])
@@ -156,13 +179,15 @@ def needed_overlap(n: Column, m: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (n + m) / F.lit(100 + percent))
 
 
-def _passes(pairs: DataFrame, percent: int) -> DataFrame:
-    """Length filter, then positional filter at the first common n-gram: ``(a, b)`` with ``(na, ia), (nb, ib)`` per common one."""
-    long, short = F.greatest("na", "nb"), F.least("na", "nb")
-    first = pairs.filter(short * 100 >= long * percent).groupBy("a", "b").agg(
-        F.min("na").alias("na"), F.min("nb").alias("nb"), F.min("ia").alias("ia"), F.min("ib").alias("ib"))
-    room = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
-    return first.filter(room >= needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b", "na", "nb")
+def _may_begin(n: Column, i: Column, m: Column, j: Column, percent: int) -> Column:
+    """Length filter, and positional filter for a first common n-gram at places ``i`` and ``j``: what is left from there on in
+    either set must hold the needed overlap. A similar pair passes at its first common n-gram at least."""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= needed_overlap(n, m, percent))
+
+
+def _distinct(pairs: DataFrame) -> DataFrame:
+    """``(a, b, na, nb)`` once per pair, however many lists it stands in."""
+    return pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"))
 
 
 def _suffix_filter(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
@@ -184,7 +209,7 @@ def verified(crawled_pages: DataFrame, pairs: DataFrame, words: int, percent: in
         for batch in batches:
             batch = batch.filter(pa.array(wanted[batch.column("k").to_numpy(zero_copy_only=False)]))
             for some in sliced([batch]):
-                yield with_columns(some, ["url"], set=pa.array([shingler.set(t).tobytes() for t in texts_of(some)], pa.binary()))
+                yield with_columns(some, ["url"], set=pa.array([x.tobytes() for x in shingler.sets(texts_of(some))], pa.binary()))
 
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
@@ -200,14 +225,14 @@ def verified(crawled_pages: DataFrame, pairs: DataFrame, words: int, percent: in
     return both.select("a", "b", "sa", "sb").mapInArrow(similar, T.StructType([T.StructField(c, url.dataType) for c in "ab"]))
 
 
-def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75, rounds: int = 2, count_bits: int = 20,
+def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75, draws: int = 4, count_bits: int = 20,
                     hot_rows: int = 1_000_000) -> DataFrame:
     """``crawled_pages(url, text)`` -> ``(url, n_shingles, component)``, one row per page.
 
     Two pages are linked if ``100 * common >= percent * united`` n-grams; ``component`` is the smallest url reachable by links. Null
     or empty texts, and texts of white space only, have no n-gram and are linked with nothing, not even one another. Equal texts
     are linked; rows that repeat a url stay. Texts are read whole, extra columns are not read, an empty table gives an empty
-    result. ``rounds`` is the number of pivot rounds before the last one. Urls must be unique and not null.
+    result. ``draws`` is the number of sets that each list draws in the second round. Urls must be unique and not null.
     """
     pages = crawled_pages.select("url", "text")
     counts = corpus_counts(pages, words, count_bits)
@@ -231,30 +256,30 @@ def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75,
     lists = scratch.table(lists.join(weights, "rep"), "ngram-weighted")
 
     links = tested = scratch.settled(members.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
-    own, other = F.struct("weight", "rep", "component", "n", "i"), "p.component <> component"
-    for turn in range(rounds + 1):
-        where = scratch.settled(components(links)) if turn else links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    own = F.struct("rep", "component", "n", "i")
+    for turn in ("heaviest", "drawn", "all"):
+        where = links.select(F.col("a").alias("node"), F.col("b").alias("component")) if turn == "heaviest" else scratch.settled(components(links))
         open_lists = (lists.join(where.select(F.col("node").alias("rep"), "component"), "rep", "left")
                       .withColumn("component", F.coalesce("component", "rep")))
-        if turn < rounds:
-            with_pivot = open_lists.withColumn("p", F.max(own).over(w))
-            if turn:
-                # The first pivot has met all others; the next one stands for the rest of the list.
-                with_pivot = with_pivot.withColumn("p", F.max(F.when(F.expr(other), own)).over(w))
-            mine_first = F.col("rep") < F.col("p.rep")
-            pairs = with_pivot.filter(other).select(
-                F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"),
-                *[F.when(mine_first == (side == "a"), F.col(c)).otherwise(F.col(f"p.{c}")).alias(f"{c}{side}") for c in "ni" for side in "ab"])
-        else:
+        if turn == "all":
             # Lists that lie in one component have nothing to add; of the rest, pairs meet whatever part they were dealt to.
             mixed = open_lists.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("h")
             open_lists = scratch.settled(open_lists.join(mixed, "h", "left_semi").select("h", "rep", "n", "i", "component"))
-            two = open_lists.select("h", *[F.col(c).alias(f"{c}_2") for c in ("rep", "n", "i", "component")])
-            pairs = open_lists.join(two, "h").filter("rep < rep_2 and component <> component_2").select(
-                F.col("rep").alias("a"), F.col("rep_2").alias("b"), F.col("n").alias("na"), F.col("n_2").alias("nb"),
-                F.col("i").alias("ia"), F.col("i_2").alias("ib"))
-        pairs = _passes(pairs, percent).join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.settled(_suffix_filter(pairs, groups, percent))
+            other = open_lists.select("h", own.alias("p"))
+            pairs = open_lists.join(other, (open_lists["h"] == other["h"]) & (F.col("rep") < F.col("p.rep")) & (F.col("component") != F.col("p.component"))
+                                    & _may_begin(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), percent))
+        else:
+            if turn == "heaviest":
+                chosen = [F.max_by(own, F.struct("weight", "rep")).over(w)]
+            else:
+                # Sets that the heaviest one did not reach meet others of each of their lists, drawn by hash: other ones in every list.
+                chosen = [F.max_by(own, F.struct(F.xxhash64("rep", "h", F.lit(k)), "rep")).over(w) for k in range(draws)]
+            pairs = open_lists.withColumn("ps", F.array(*chosen)).withColumn("p", F.explode("ps")).filter(
+                (F.col("component") != F.col("p.component")) & _may_begin(F.col("n"), F.col("i"), F.col("p.n"), F.col("p.i"), percent))
+        first = F.col("rep") < F.col("p.rep")
+        pairs = _distinct(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b"),
+                                       F.when(first, F.col("n")).otherwise(F.col("p.n")).alias("na"), F.when(first, F.col("p.n")).otherwise(F.col("n")).alias("nb")))
+        pairs = scratch.settled(_suffix_filter(pairs.join(tested, ["a", "b"], "left_anti"), groups, percent))
         if not pairs.isEmpty():
             links = scratch.settled(links.unionByName(verified(pages, pairs, words, percent)))
             tested = tested.unionByName(pairs)
