@@ -65,3 +65,16 @@ def test_manifest(spark):
 def test_vector_issue(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([1.0],), ([1.0, float("nan")],), ([float("-inf"), 1.0],), (None,)], "v array<double>")
     assert [r["i"] for r in df.select(merge.vector_issue(F.col("v"), 2).alias("i")).collect()] == [None] + ["invalid embedding"] * 4
+
+
+def test_repeated_edits_and_import_keys_multiply_nothing(spark):
+    rows = spark.createDataFrame([("a", "review", 1, None), ("b", "review", 1, None)], "slug string, status string, category_id long, edited_at timestamp")
+    edits = spark.createDataFrame([("a", "publish", None, 1), ("a", "category", 7, 2), ("a", "hide", None, 3), ("a", "category", None, 4)],
+                                  "slug string, op string, category_id long, at int")
+    out = merge.bulk_edit(rows.withColumnRenamed("category_id", "cat"), edits, "slug", "status", "cat", "edited_at", F.current_timestamp(), order="at")
+    got = {r["slug"]: (r["status"], r["cat"], r["edited_at"] is not None) for r in out.collect()}
+    assert out.count() == 2 and got == {"a": ("hidden", 7, True), "b": ("review", 1, False)}
+    old = spark.createDataFrame([("a", "x"), ("c", "z")], "slug string, name string")
+    new = spark.createDataFrame([("a", "n1"), ("a", "n2"), ("d", "n3"), ("d", "n3")], "slug string, name string")
+    assert sorted(map(tuple, merge.upsert(old, new, ["slug"]).collect())) == [("a", "n2"), ("c", "z"), ("d", "n3")]
+    assert sorted(map(tuple, merge.repeated_keys(new, ["slug"]).collect())) == [("a", 2), ("d", 2)]

@@ -193,3 +193,18 @@ def test_trigram_search_matches_brute_force(spark):
         want = {(t, k) for t in terms for k in keys if len(grams(t) & grams(k)) / len(grams(t) | grams(k)) >= threshold}
         got = [(r["t"], r["k"]) for r in search.trigram_matches(items, asked, "k", "t", threshold).collect()]
         assert sorted(got) == sorted(want)
+
+
+def test_long_glossary(spark):
+    phrases = [(f"ก{i}ข", f"thing {i}") for i in range(20_000)] + [("โต๊ะ", "table")]
+    df = spark.createDataFrame([("โต๊ะ ก19999ข",), ("ก7ข",), ("ก7",), ("plain",), ("",), (None,)], "t string")
+    got = [r[0] for r in df.select(language.translate_phrases(F.col("t"), phrases)).collect()]
+    assert got == ["Table thing 19999", "Thing 7", None, "plain", None, None]
+
+
+def test_backslash_in_a_search(spark):
+    from vitrine.operators import search
+    df = spark.createDataFrame([("A1", "a\\b"), ("A2", "a%b"), ("A3", "axb"), ("A4", "a_b")], "code string, name string")
+    for query, want in (("a\\b", ["A1"]), ("a\\%b", ["A2"]), ("a_b", ["A1", "A2", "A3", "A4"]), ("a\\_b", ["A4"]), ("\\", ["A1"])):
+        got = [r["code"] for r in search.text_search(df, query, ["name"], "code").collect()]
+        assert got == want, query

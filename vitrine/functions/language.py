@@ -1,6 +1,7 @@
 """Glossary translation and language fallback as Column expressions."""
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -15,23 +16,29 @@ THAI = "[\u0e00-\u0e7f]"
 def translate_phrases(text: Column, phrases: Sequence[tuple[str, str]], foreign: str = THAI) -> Column:
     """Replace every glossary phrase, longest first; null when source-script text remains.
 
-    Text without source-script characters passes unchanged. ``phrases`` is a bounded glossary: it becomes
-    one chain of literal replacements, so nothing is joined.
+    Text without source-script characters passes unchanged. The glossary is one array literal that is folded over the text,
+    so the expression is equally deep for any number of phrases, and the replaced text is computed once per row.
     """
-    out = text
-    for source, target in sorted(phrases, key=lambda p: -len(p[0])):
-        out = F.replace(out, F.lit(source), F.lit(f" {target} "))
-    done = F.regexp_replace(out, r"\s+-seater", "-seater")
-    done = F.regexp_replace(done, r"(\d)\s+-tier", "$1-tier")
-    done = F.regexp_replace(done, r"\s+([,.)\]])", "$1")
-    done = F.regexp_replace(done, r"([(\[])\s+", "$1")
-    done = F.regexp_replace(F.regexp_replace(done, r"\s{2,}", " "), "^[ ,]+|[ ,]+$", "")
-    capital = F.concat(F.upper(F.substring(done, 1, 1)), F.substr(done, F.lit(2)))
+    ordered = [{"s": source, "t": f" {target} "} for source, target in sorted(phrases, key=lambda p: -len(p[0]))]
+    glossary = F.from_json(F.lit(json.dumps(ordered, ensure_ascii=False)), "array<struct<s:string,t:string>>")
+    replaced = F.aggregate(glossary, text, lambda out, p: F.replace(out, p["s"], p["t"]))
+
+    def tidy(out: Column) -> Column:
+        done = F.regexp_replace(out, r"\s+-seater", "-seater")
+        done = F.regexp_replace(done, r"(\d)\s+-tier", "$1-tier")
+        done = F.regexp_replace(done, r"\s+([,.)\]])", "$1")
+        done = F.regexp_replace(done, r"([(\[])\s+", "$1")
+        return F.regexp_replace(F.regexp_replace(done, r"\s{2,}", " "), "^[ ,]+|[ ,]+$", "")
+
+    def capital(done: Column) -> Column:
+        return F.when(done != "", F.concat(F.upper(F.substring(done, 1, 1)), F.substr(done, F.lit(2))))
+
+    # A lambda over an array of one names a value without repeating the expression behind it.
+    tidied = F.transform(F.array(replaced), lambda out: F.when(~out.rlike(foreign), tidy(out)))
     return (
         F.when(text.isNull() | (text == ""), None)
         .when(~text.rlike(foreign), text)
-        .when(out.rlike(foreign), None)
-        .when(done != "", capital)
+        .otherwise(F.transform(tidied, capital)[0])
     )
 
 

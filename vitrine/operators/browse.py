@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.ordered import HOT_ROWS, first_per_key, number_rows, top_per_key
+from vitrine.operators.ordered import first_per_key, number_rows, top_per_key
 
 
 # ---------------------------------------------------------------- categories
@@ -67,12 +67,12 @@ def first_child(children: DataFrame, parent: str, order: Sequence[str], keep: Se
 
 
 def detail(products: DataFrame, dimensions: Sequence[tuple[DataFrame, str]], children: DataFrame, parent: str,
-           order: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+           order: Sequence[str]) -> DataFrame:
     """Products with their dimension rows and one row per ordered child (``position`` from 0, null if none)."""
     out = products
     for frame, key in dimensions:
         out = out.join(frame, key, "left")
-    placed = number_rows(children, [parent], order, "__n", hot_rows).withColumn("position", F.col("__n") - 1).drop("__n")
+    placed = number_rows(children, [parent], order, "__n").withColumn("position", F.col("__n") - 1).drop("__n")
     return out.join(placed, parent, "left")
 
 

@@ -8,12 +8,11 @@ from pyspark.sql import functions as F
 
 from vitrine.functions.textclean import canonical_url
 from vitrine.functions.vectors import above_mean_bits, differing_bits
-from vitrine.operators.ordered import HOT_ROWS, carry_forward, first_per_key, number_rows
+from vitrine.operators.ordered import carry_forward, first_per_key, number_rows
 from vitrine.session import materialize
 
 
-def dedupe_lineage(df: DataFrame, keys: Sequence[str], ordinal: str, never_merged: Column | None = None,
-                   hot_rows: int = HOT_ROWS) -> DataFrame:
+def dedupe_lineage(df: DataFrame, keys: Sequence[str], ordinal: str, never_merged: Column | None = None) -> DataFrame:
     """Every record with the ordinal of the record it is merged into (``keeper``; its own for a keeper).
 
     The first record of a key keeps; a record that may never be merged stands for itself and is the target
@@ -27,7 +26,7 @@ def dedupe_lineage(df: DataFrame, keys: Sequence[str], ordinal: str, never_merge
     first = df.groupBy(*keys).agg(F.min(ordinal).alias("__first"))
     df = _null_safe_join(df, first, keys)
     target = F.when(alone | (F.col(ordinal) == F.col("__first")), F.col(ordinal))
-    return carry_forward(df, keys, [ordinal], target, "keeper", hot_rows).drop("__first")
+    return carry_forward(df, keys, [ordinal], target, "keeper").drop("__first")
 
 
 def _null_safe_join(df: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,36 +49,43 @@ def keepers_with_counts(lineage: DataFrame, ordinal: str, brand: str) -> DataFra
     )
 
 
-def number_slugs(df: DataFrame, base: str, order: Sequence[str], out: str = "slug", hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_slugs(df: DataFrame, base: str, order: Sequence[str], out: str = "slug") -> DataFrame:
     """The base slug; its nth repeat in record order gets ``-n``."""
-    numbered = number_rows(df, [base], order, "__n", hot_rows)
+    numbered = number_rows(df, [base], order, "__n")
     slug = F.when(F.col("__n") == 1, F.col(base)).otherwise(F.concat_ws("-", F.col(base), F.col("__n")))
     return numbered.withColumn(out, slug).drop("__n")
 
 
-def free_slugs(new_rows: DataFrame, existing: DataFrame, base: str, slug: str = "slug") -> DataFrame:
+def free_slugs(new_rows: DataFrame, existing: DataFrame, base: str, order: Sequence[str], slug: str = "slug") -> DataFrame:
     """For hand-made products: the base if free, else base-(number of slugs that begin with it + 1).
 
-    New rows are one edit batch. A slug begins with a base exactly when one of its prefixes equals it, so
-    existing slugs are matched by equality on the prefix lengths that occur among the new bases; the
-    lengths are a short array, and only slugs that do match are shuffled further.
+    New rows are one edit batch and get distinct slugs: those of one base are numbered in ``order``, each counting the ones before it,
+    and numbers lie above any that an existing slug or another base of the batch already has.
+
+    A slug begins with a base exactly when one of its prefixes equals it, so slugs are matched by equality on the
+    prefix lengths that occur among the new bases; the lengths are a short array, and only slugs that do match are
+    shuffled further.
     """
     wanted = new_rows.select(F.col(base).alias("__base")).distinct()
     lengths = wanted.agg(F.collect_set(F.length("__base")).alias("v"))
+    known = existing.select(F.col(slug).alias("__slug"), F.lit(1).alias("__old")).unionByName(
+        wanted.select(F.col("__base").alias("__slug"), F.lit(0).alias("__old")))
     prefixes = (
-        existing.select(F.col(slug).alias("__slug"))
-        .withColumn("__len", F.explode(lengths.scalar()))
-        .filter(F.length("__slug") >= F.col("__len"))
-        .select(F.expr("substring(__slug, 1, __len)").alias("__base"), "__slug")
+        known.withColumn("__len", F.explode(lengths.scalar())).filter(F.length("__slug") >= F.col("__len"))
+        .select(F.expr("substring(__slug, 1, __len)").alias("__base"), "__slug", "__old",
+                F.expr("try_cast(regexp_extract(substring(__slug, __len + 1), '^-([0-9]{1,15})$', 1) as bigint)").alias("__number"))
     )
     taken = (
         prefixes.join(wanted, "__base", "left_semi").groupBy("__base")
-        .agg(F.count(F.lit(1)).alias("__taken"), F.max(F.col("__slug") == F.col("__base")).alias("__exact"))
+        .agg(F.sum("__old").alias("__taken"), F.max((F.col("__slug") == F.col("__base")) & (F.col("__old") == 1)).alias("__exact"),
+             F.max("__number").alias("__highest"))
     )
-    joined = new_rows.join(taken, F.col(base) == F.col("__base"), "left")
-    out = F.when(F.coalesce(F.col("__exact"), F.lit(False)),
-                 F.concat_ws("-", F.col(base), F.col("__taken") + 1)).otherwise(F.col(base))
-    return joined.withColumn("slug", out).drop("__base", "__taken", "__exact")
+    numbered = number_rows(new_rows, [base], order, "__nth")
+    joined = numbered.join(taken, F.col(base) == F.col("__base"), "left")
+    number = F.greatest(F.coalesce("__taken", F.lit(0)), F.coalesce("__highest", F.lit(0))) + F.col("__nth")
+    free = (F.col("__nth") == 1) & ~F.coalesce("__exact", F.lit(False))
+    out = F.when(free, F.col(base)).otherwise(F.concat_ws("-", F.col(base), number))
+    return joined.withColumn("slug", out).drop("__base", "__taken", "__exact", "__highest", "__nth")
 
 
 def code_number(code: Column) -> Column:
@@ -91,7 +97,7 @@ def code_range(code: Column) -> Column:
 
 
 def assign_codes(items: DataFrame, registry: DataFrame, order: Sequence[str], slug: str = "slug",
-                 range_code: str = "range", hot_rows: int = HOT_ROWS) -> tuple[DataFrame, DataFrame]:
+                 range_code: str = "range") -> tuple[DataFrame, DataFrame]:
     """Stable catalogue codes: (items with ``cat_code``, new registry).
 
     A registered code stays while the range is the same. Others get the next numbers of their range after
@@ -102,16 +108,16 @@ def assign_codes(items: DataFrame, registry: DataFrame, order: Sequence[str], sl
         registry = registry.withColumn("retired", F.lit(False))
     used = registry.groupBy(code_range(F.col("code")).alias(range_code)).agg(F.max(code_number(F.col("code"))).alias("__used"))
     live = registry.filter(~F.col("retired")).select(F.col(slug), F.col("code").alias("__old"))
-    # Codes are settled on narrow rows, computed once; the items join the result.
+    # Codes are settled on narrow rows; the items join the result.
     narrow = items.select(*dict.fromkeys([slug, range_code, *order]))
-    known = materialize(narrow.join(live, slug, "left"))
+    known = narrow.join(live, slug, "left")
     keeps = F.col("__old").isNotNull() & (code_range(F.col("__old")) == F.col(range_code))
     kept = known.filter(keeps).select(slug, "__old", F.col("__old").alias("cat_code"))
-    fresh = number_rows(known.filter(~F.coalesce(keeps, F.lit(False))), [range_code], order, "__n", hot_rows)
+    fresh = number_rows(known.filter(~F.coalesce(keeps, F.lit(False))), [range_code], order, "__n")
     number = F.coalesce(F.col("__used"), F.lit(0)) + F.col("__n")
     padded = F.when(number < 10, F.concat(F.lit("0"), number.cast("string"))).otherwise(number.cast("string"))
     fresh = fresh.join(used, range_code, "left").select(slug, "__old", F.concat_ws("-", range_code, padded).alias("cat_code"))
-    codes = materialize(kept.unionByName(fresh))
+    codes = kept.unionByName(fresh)
     now = codes.select(F.col(slug), F.col("cat_code").alias("code"), F.lit(False).alias("retired"))
     moved = codes.filter(F.col("__old").isNotNull() & (F.col("__old") != F.col("cat_code"))).select(
         F.col(slug), F.col("__old").alias("code"), F.lit(True).alias("retired"))
@@ -152,26 +158,26 @@ def distinct_fingerprints(df: DataFrame, group: str, ordinal: str, vector: str,
 
     Round n keeps the first picture of each group that is far from all n-1 kept so far: one partial
     aggregate per round, no pairs, and a group with very many copies is only ever reduced. What is kept so
-    far is one row per group.
+    far is one row per group. The bits and what each round keeps are written once, so a round is one scan.
     """
-    bits = df.select(group, ordinal, above_mean_bits(F.col(vector)).alias("__bits"), F.size(vector).alias("__size"))
+    bits = materialize(df.select(group, ordinal, above_mean_bits(F.col(vector)).alias("__bits"), F.size(vector).alias("__size")))
     boxed = F.struct(F.col(ordinal).alias("id"), F.col("__bits").alias("bits"))
-    kept = bits.groupBy(group).agg(F.array(F.min_by(boxed, ordinal)).alias("__kept"))
+    kept = materialize(bits.groupBy(group).agg(F.array(F.min_by(boxed, ordinal)).alias("__kept")))
     for _ in range(limit - 1):
         far = F.forall("__kept", lambda k: differing_bits(k["bits"], F.col("__bits")) >= F.col("__size") * max_share)
         again = bits.join(kept, group).filter((F.col(ordinal) > F.element_at("__kept", -1)["id"]) & far)
         nxt = again.groupBy(group).agg(F.min_by(boxed, ordinal).alias("__next"))
-        kept = kept.join(nxt, group, "left").select(
+        kept = materialize(kept.join(nxt, group, "left").select(
             group, F.when(F.col("__next").isNull(), F.col("__kept"))
-            .otherwise(F.concat("__kept", F.array("__next"))).alias("__kept"))
+            .otherwise(F.concat("__kept", F.array("__next"))).alias("__kept")))
     return kept.select(group, F.posexplode(F.transform("__kept", lambda k: k["id"])).alias("position", ordinal))
 
 
-def hero_first(df: DataFrame, group: str, ordinal: str, area: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+def hero_first(df: DataFrame, group: str, ordinal: str, area: Column) -> DataFrame:
     """0-based ``sort``: the largest picture first, the others in reading order."""
     hero = first_per_key(df.withColumn("__a", -area), [group], ["__a", ordinal], [ordinal]).withColumnRenamed(ordinal, "__hero")
     marked = df.join(hero, group, "left").withColumn("__rest", F.col(ordinal) != F.col("__hero"))
-    return (number_rows(marked, [group], ["__rest", ordinal], "__n", hot_rows)
+    return (number_rows(marked, [group], ["__rest", ordinal], "__n")
             .withColumn("sort", F.col("__n") - 1).drop("__n", "__rest", "__hero"))
 
 

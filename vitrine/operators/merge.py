@@ -10,13 +10,23 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.operators.ordered import HOT_ROWS, number_rows, with_neighbours
+from vitrine.operators.ordered import number_rows, with_neighbours
 
 
 def _sides(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     left = old.select(*keys, F.struct(*old.columns).alias("__old"))
-    right = new.select(*keys, F.struct(*new.columns).alias("__new"))
-    return left.join(right, list(keys), "full_outer")
+    return left.join(one_per_key(new, keys), list(keys), "full_outer")
+
+
+def one_per_key(new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, ``__new``): an import that repeats a key counts once, with the row whose values sort last. The aggregate
+    needs the partitioning of the join that follows anyway."""
+    return new.groupBy(*keys).agg(F.max(F.struct(*new.columns)).alias("__new"))
+
+
+def repeated_keys(new: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that an import holds more than once, with ``rows``: for the load report."""
+    return new.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
 def _field(side: str, frame: DataFrame, name: str) -> Column:
@@ -115,23 +125,29 @@ BULK_LIMIT = 500
 
 
 def bulk_edit(df: DataFrame, edits: DataFrame, key: str, status: str, category: str, edited: str, now: Column,
-              op: str = "op", category_id: str = "category_id") -> DataFrame:
-    """Apply (key, op, category id) edits; each stamps ``edited``. A category edit without an id is ignored."""
+              op: str = "op", category_id: str = "category_id", order: str | None = None) -> DataFrame:
+    """Apply (key, op, category id) edits; each stamps ``edited``. A category edit without an id is ignored.
+
+    A key may be edited more than once: its last change of status and its last change of category count, by ``order`` where given,
+    else by name of the operation and id.
+    """
     valid = edits.filter((F.col(op) != "category") | F.col(category_id).isNotNull())
-    picked = valid.select(F.col(key), F.col(op).alias("__op"), F.col(category_id).alias("__cat"))
-    joined = df.join(picked, key, "left")
+    at = F.col(order) if order else F.lit(0)
     to_status = F.create_map(*[F.lit(x) for kv in BULK_OPERATIONS.items() for x in kv])
-    return joined.withColumns({
+    changed = F.when(F.col(op).isin(*BULK_OPERATIONS), F.struct(at.alias("at"), F.col(op).alias("v")))
+    moved = F.when(F.col(op) == "category", F.struct(at.alias("at"), F.col(category_id).alias("v")))
+    picked = valid.groupBy(key).agg(F.max(changed)["v"].alias("__op"), F.max(moved)["v"].alias("__cat"), F.lit(True).alias("__edit"))
+    return df.join(picked, key, "left").withColumns({
         status: F.coalesce(F.try_element_at(to_status, F.col("__op")), F.col(status)),
-        category: F.when(F.col("__op") == "category", F.col("__cat")).otherwise(F.col(category)),
-        edited: F.when(F.col("__op").isNotNull(), now).otherwise(F.col(edited)),
-    }).drop("__op", "__cat")
+        category: F.coalesce(F.col("__cat"), F.col(category)),
+        edited: F.when(F.col("__edit"), now).otherwise(F.col(edited)),
+    }).drop("__op", "__cat", "__edit")
 
 
-def bulk_edit_issue(slugs: Column, op: Column, category_id: Column) -> Column:
-    """First problem of a bulk request, or null."""
+def bulk_edit_issue(slugs: Column, op: Column, category_id: Column, limit: int = BULK_LIMIT) -> Column:
+    """First problem of a bulk request, or null. ``limit`` is what one request may hold; ``bulk_edit`` itself has none."""
     return (
-        F.when(F.coalesce(F.size(slugs), F.lit(0)) < 1, "no rows selected").when(F.size(slugs) > BULK_LIMIT, "too many rows")
+        F.when(F.coalesce(F.size(slugs), F.lit(0)) < 1, "no rows selected").when(F.size(slugs) > limit, "too many rows")
         .when(~op.isin(*BULK_OPERATIONS, "checked", "category"), "unknown operation")
         .when((op == "category") & category_id.isNull(), "no category")
     )
@@ -139,20 +155,20 @@ def bulk_edit_issue(slugs: Column, op: Column, category_id: Column) -> Column:
 
 # ---------------------------------------------------------------- ordered children
 
-def renumber(df: DataFrame, parent: str, order: Sequence[str], out: str = "sort", hot_rows: int = HOT_ROWS) -> DataFrame:
+def renumber(df: DataFrame, parent: str, order: Sequence[str], out: str = "sort") -> DataFrame:
     """Close the gaps: positions 0..n-1 per parent."""
-    return number_rows(df, [parent], order, "__n", hot_rows).withColumn(out, F.col("__n") - 1).drop("__n")
+    return number_rows(df, [parent], order, "__n").withColumn(out, F.col("__n") - 1).drop("__n")
 
 
-def move_children(df: DataFrame, moves: DataFrame, parent: str, child: str, sort: str = "sort",
-                  hot_rows: int = HOT_ROWS) -> DataFrame:
+def move_children(df: DataFrame, moves: DataFrame, parent: str, child: str, sort: str = "sort") -> DataFrame:
     """Swap each moved child with its neighbour (direction -1 or 1); at the end of the list nothing moves.
 
-    ``moves`` holds at most one (child, direction) per parent.
+    ``moves`` holds at most one child per parent; a child that is named more than once moves once, up if the directions differ.
     """
-    marked = df.join(moves.select(F.col(child), F.col("direction").alias("__dir")), child, "left")
-    placed = renumber(marked, parent, [sort, child], "__pos", hot_rows)
-    around = with_neighbours(placed, [parent], ["__pos"], F.struct(F.col("__dir").alias("d")), "__prev", "__next", hot_rows)
+    once = moves.groupBy(child).agg(F.min("direction").alias("__dir"))
+    marked = df.join(once, child, "left")
+    placed = renumber(marked, parent, [sort, child], "__pos")
+    around = with_neighbours(placed, [parent], ["__pos"], F.struct(F.col("__dir").alias("d")), "__prev", "__next")
     pos, mine = F.col("__pos"), F.col("__dir")
     new = (
         F.when((mine == -1) & F.col("__prev").isNotNull(), pos - 1)
@@ -164,6 +180,14 @@ def move_children(df: DataFrame, moves: DataFrame, parent: str, child: str, sort
     return around.withColumn(sort, new).drop("__dir", "__pos", "__prev", "__next")
 
 
+def stamp_touched(products: DataFrame, pictures: DataFrame, changed: DataFrame, parent: str, child: str, key: str,
+                  edited: str, now: Column) -> DataFrame:
+    """Products whose pictures were moved or removed count as edited: ``changed`` holds the pictures' ids."""
+    touched = (pictures.join(changed.select(child).distinct(), child, "left_semi").select(F.col(parent).alias(key)).distinct()
+               .withColumn("__touched", F.lit(True)))
+    return products.join(touched, key, "left").withColumn(edited, F.when(F.col("__touched"), now).otherwise(F.col(edited))).drop("__touched")
+
+
 # ---------------------------------------------------------------- validation and audits
 
 def text_issue(value: Column, name: str, longest: int, required: bool = False) -> Column:

@@ -1,14 +1,14 @@
 """Ordered computations inside groups that stay distributed when one group is huge.
 
-A plain window sorts each group in one task. That is the right plan while groups are small, and the
-functions below use it then. When one group holds more than ``hot_rows`` rows (measured, one partial
-count), the rows are range-partitioned by (keys, order) instead, so that a big group spans many tasks;
-each piece is processed on its own and what it needs from the pieces before it comes from a per-piece
-summary. Only groups cut by a partition boundary need that summary, so it holds at most one row per
-partition boundary and group and can be broadcast whatever the input size.
-
-The range-partitioned rows are checkpointed: partition bounds are sampled, and a lost executor must not
-lead to other bounds the second time.
+A plain window sorts each group in one task. Here a group is cut into pieces along its order: the piece of a row
+is a coarse value of its first order columns (the upper bits of a number, the day of a time, the first letters of a text), so rows
+of a later piece never come before rows of an earlier one. Rows are worked on inside their piece, one summary row
+per piece carries what the pieces before it contribute, and both are joined on the piece by which the rows are already
+partitioned. There is one plan whatever the data: no job runs while it is built, pieces depend on the row alone, so
+a lost executor changes nothing, and a group with a third of all rows is spread over its pieces.
+
+The default piece holds at most 65,536 numbers, one day or the texts with the same first letters. Where an order begins
+with few distinct values, pass ``piece``: any expression that never falls along the order.
 """
 from __future__ import annotations
 
@@ -16,129 +16,109 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from vitrine.session import ensure_checkpoint_dir
-
-HOT_ROWS = 1_000_000
-PIECE = "__piece"
+GROUP = "__group"
+PIECE_BITS = 16
+PIECE_LETTERS = 3
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def has_hot_group(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> bool:
-    return not df.groupBy(*keys).count().filter(F.col("count") > hot_rows).isEmpty()
-
-
-def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
-    """Rows cut into contiguous pieces of (keys, order), piece numbers ascending, bounds fixed on disk."""
-    ensure_checkpoint_dir(df.sparkSession)
-    cut = df.repartitionByRange(*_cols(keys), *_cols(order)) if keys else df.repartitionByRange(*_cols(order))
-    return cut.withColumn(PIECE, F.spark_partition_id()).checkpoint()
+def coarse(df: DataFrame, order: Sequence[str]) -> Column:
+    """A coarse value of the order columns that never falls along the order; leading flags are kept as they are."""
+    parts: list[Column] = []
+    for name in order:
+        kind, col = df.schema[name].dataType, F.col(name)
+        if isinstance(kind, T.BooleanType):
+            parts.append(col)
+            continue
+        if isinstance(kind, T.IntegralType):
+            col = F.shiftright(col.cast("long"), PIECE_BITS)
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            col = col.cast("date")
+        elif isinstance(kind, T.StringType):
+            col = F.substring(col, 1, PIECE_LETTERS)
+        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
+            col = F.when(F.isnan(col.cast("double")), F.lit(1e9)).otherwise(
+                F.signum(col.cast("double")) * F.floor(8 * F.log2(1 + F.abs(col.cast("double")))))
+        else:
+            col = F.lit(0)
+        parts.append(col)
+        break
+    return F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
+
+
+def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None) -> DataFrame:
+    """Rows with the struct (k0, k1, ..., piece) that names their piece; null keys are equal inside a struct."""
+    at = coarse(df, order) if piece is None else piece
+    return df.withColumn(GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], at.alias("piece")))
+
+
+def _along(keys: Sequence[str]):
+    """Summary rows of one group in the order of their pieces: one row per piece and group."""
+    return W.partitionBy(*[F.col(f"{GROUP}.k{i}") for i in range(len(keys))]).orderBy(F.col(f"{GROUP}.piece"))
 
 
 def _earlier(keys: Sequence[str]):
-    return W.partitionBy(*keys).orderBy(PIECE).rowsBetween(W.unboundedPreceding, -1)
+    return _along(keys).rowsBetween(W.unboundedPreceding, -1)
 
 
-def _attach(pieces: DataFrame, summary: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join per-piece carries onto the rows; null-safe because keys may be null."""
-    names = [*keys, PIECE]
-    right = summary.select(*[F.col(n).alias(f"__k{i}") for i, n in enumerate(names)],
-                           *[c for c in summary.columns if c not in names])
-    cond = None
-    for i, n in enumerate(names):
-        test = pieces[n].eqNullSafe(right[f"__k{i}"])
-        cond = test if cond is None else cond & test
-    return pieces.join(F.broadcast(right), cond, "left").drop(*[f"__k{i}" for i in range(len(names))])
+def _local(order: Sequence[str]):
+    return W.partitionBy(GROUP).orderBy(*order)
 
 
-def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], out: str = "rank",
-                hot_rows: int = HOT_ROWS) -> DataFrame:
+def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "rank",
+                piece: Column | None = None) -> DataFrame:
     """1-based position of every row inside its group."""
-    if keys and not has_hot_group(df, keys, hot_rows):
-        return df.withColumn(out, F.row_number().over(W.partitionBy(*keys).orderBy(*order)).cast("long"))
-    pieces = _pieces(df, keys, order)
-    counts = pieces.groupBy(*keys, PIECE).agg(F.count(F.lit(1)).alias("__n"))
-    offsets = counts.withColumn("__before", F.sum("__n").over(_earlier(keys))).filter("__before > 0").drop("__n")
-    local = F.row_number().over(W.partitionBy(*keys, PIECE).orderBy(*order))
-    return (
-        _attach(pieces, offsets, keys)
-        .withColumn(out, (local + F.coalesce(F.col("__before"), F.lit(0))).cast("long"))
-        .drop(PIECE, "__before")
-    )
-
-
-def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-                  out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    pieces = _pieces(df, keys, order, piece)
+    counts = pieces.groupBy(GROUP).agg(F.count(F.lit(1)).alias("__n"))
+    offsets = counts.select(GROUP, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
+    return (pieces.withColumn("__at", F.row_number().over(_local(order))).join(offsets, GROUP)
+            .withColumn(out, (F.col("__at") + F.col("__before")).cast("long")).drop(GROUP, "__at", "__before"))
+
+
+def running_total(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+                  piece: Column | None = None) -> DataFrame:
     """Sum of ``value`` over the rows of the group up to and including this one."""
-    df = df.withColumn("__v", value.cast("long"))
-    upto = (W.unboundedPreceding, 0)
-    if keys and not has_hot_group(df, keys, hot_rows):
-        return df.withColumn(out, F.sum("__v").over(W.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))).drop("__v")
-    pieces = _pieces(df, keys, order)
-    sums = pieces.groupBy(*keys, PIECE).agg(F.sum("__v").alias("__n"))
-    offsets = sums.withColumn("__before", F.sum("__n").over(_earlier(keys))).filter("__before <> 0").drop("__n")
-    local = F.sum("__v").over(W.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(*upto))
-    return (
-        _attach(pieces, offsets, keys)
-        .withColumn(out, local + F.coalesce(F.col("__before"), F.lit(0)))
-        .drop(PIECE, "__before", "__v")
-    )
-
-
-def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-                  out: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    pieces = _pieces(df.withColumn("__v", value.cast("long")), keys, order, piece)
+    sums = pieces.groupBy(GROUP).agg(F.sum("__v").alias("__n"))
+    offsets = sums.select(GROUP, F.coalesce(F.sum("__n").over(_earlier(keys)), F.lit(0)).alias("__before"))
+    upto = _local(order).rowsBetween(W.unboundedPreceding, 0)
+    return (pieces.withColumn("__at", F.sum("__v").over(upto)).join(offsets, GROUP)
+            .withColumn(out, F.col("__at") + F.col("__before")).drop(GROUP, "__at", "__before", "__v"))
+
+
+def carry_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column, out: str,
+                  piece: Column | None = None) -> DataFrame:
     """Latest non-null ``value`` of the group at or before this row."""
-    df = df.withColumn("__v", value)
-    upto = (W.unboundedPreceding, 0)
-    if keys and not has_hot_group(df, keys, hot_rows):
-        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(*upto)
-        return df.withColumn(out, F.last("__v", ignorenulls=True).over(w)).drop("__v")
-    pieces = _pieces(df, keys, order)
-    ends = pieces.groupBy(*keys, PIECE).agg(
-        F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*_cols(order)))).alias("__end"))
-    carries = (
-        ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(_earlier(keys)))
-        .filter(F.col("__carry").isNotNull()).drop("__end")
-    )
-    w = W.partitionBy(*keys, PIECE).orderBy(*order).rowsBetween(*upto)
-    return (
-        _attach(pieces, carries, keys)
-        .withColumn(out, F.coalesce(F.last("__v", ignorenulls=True).over(w), F.col("__carry")))
-        .drop(PIECE, "__carry", "__v")
-    )
-
-
-def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], value: Column,
-                    prev: str | None = "prev", next: str | None = "next", hot_rows: int = HOT_ROWS) -> DataFrame:
+    pieces = _pieces(df.withColumn("__v", value), keys, order, piece)
+    ends = pieces.groupBy(GROUP).agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.struct(*_cols(order)))).alias("__end"))
+    carries = ends.select(GROUP, F.last("__end", ignorenulls=True).over(_earlier(keys)).alias("__carry"))
+    upto = _local(order).rowsBetween(W.unboundedPreceding, 0)
+    return (pieces.withColumn("__at", F.last("__v", ignorenulls=True).over(upto)).join(carries, GROUP)
+            .withColumn(out, F.coalesce("__at", "__carry")).drop(GROUP, "__at", "__carry", "__v"))
+
+
+def with_neighbours(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: Column,
+                    prev: str | None = "prev", next: str | None = "next", piece: Column | None = None) -> DataFrame:
     """``value`` of the row before and after in the group (null at the ends)."""
-    df = df.withColumn("__v", value)
-    if keys and not has_hot_group(df, keys, hot_rows):
-        w = W.partitionBy(*keys).orderBy(*order)
-        if prev:
-            df = df.withColumn(prev, F.lag("__v").over(w))
-        if next:
-            df = df.withColumn(next, F.lead("__v").over(w))
-        return df.drop("__v")
-    pieces = _pieces(df, keys, order)
+    pieces = _pieces(df.withColumn("__v", value), keys, order, piece)
     at = F.struct(*_cols(order))
     boxed = F.struct(F.col("__v").alias("v"))
-    ends = pieces.groupBy(*keys, PIECE).agg(F.min_by(boxed, at).alias("__first"), F.max_by(boxed, at).alias("__last"))
-    w = W.partitionBy(*keys).orderBy(PIECE)
-    edges = (
-        ends.withColumn("__lag", F.lag("__last").over(w)).withColumn("__lead", F.lead("__first").over(w))
-        .filter(F.col("__lag").isNotNull() | F.col("__lead").isNotNull()).drop("__first", "__last")
-    )
-    local = W.partitionBy(*keys, PIECE).orderBy(*order)
-    out = _attach(pieces, edges, keys)
-    if prev:
-        out = out.withColumn(prev, F.coalesce(F.lag(boxed).over(local), F.col("__lag"))["v"])
-    if next:
-        out = out.withColumn(next, F.coalesce(F.lead(boxed).over(local), F.col("__lead"))["v"])
-    return out.drop(PIECE, "__lag", "__lead", "__v")
+    ends = pieces.groupBy(GROUP).agg(F.min_by(boxed, at).alias("__first"), F.max_by(boxed, at).alias("__last"))
+    edges = ends.select(GROUP, F.lag("__last").over(_along(keys)).alias("__lag"), F.lead("__first").over(_along(keys)).alias("__lead"))
+    wanted = [x for x in ((prev, F.lag(boxed), "__lag"), (next, F.lead(boxed), "__lead")) if x[0]]
+    out = pieces
+    for name, near, _ in wanted:
+        out = out.withColumn(f"__at_{name}", near.over(_local(order)))
+    out = out.join(edges, GROUP)
+    for name, _, edge in wanted:
+        out = out.withColumn(name, F.coalesce(F.col(f"__at_{name}"), F.col(edge))["v"]).drop(f"__at_{name}")
+    return out.drop(GROUP, "__v", "__lag", "__lead")
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],

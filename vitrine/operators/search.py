@@ -1,6 +1,7 @@
 """Text, code and trigram search."""
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -16,10 +17,11 @@ SIMILAR = 0.3
 def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str, key: str | None = None,
                 shown: Column | str | None = None, limit: int = 60) -> DataFrame:
     """Products whose texts or code contain the query, whose code key begins with the query's key, or is
-    similar to it. Prefix hits first, then similarity, then code. ``%`` and ``_`` in the query are wildcards.
+    similar to it. Prefix hits first, then similarity, then code. ``%`` and ``_`` in the query are wildcards, a
+    backslash before one makes it a plain character, any other backslash stands for itself.
     """
     rows = products.filter(shown) if shown is not None else products
-    like = F.lit(f"%{query.strip()}%")
+    like = F.lit("%" + re.sub(r"\\([%_\\])?", lambda m: m.group() if m.group(1) else r"\\", query.strip()) + "%")
     wanted = "".join(ch for ch in query.upper() if ch.isascii() and ch.isalnum())
     hit = F.lit(False)
     for c in [*texts, code]:
@@ -40,26 +42,23 @@ def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str
 def trigram_matches(items: DataFrame, terms: DataFrame, key: str, term: str, threshold: float = SIMILAR) -> DataFrame:
     """(term, key, similarity) of every distinct key at least ``threshold`` similar to a search term.
 
-    A similar pair shares at least ceil(threshold * n) of the term's n trigrams. So the term's most common
-    trigrams, one fewer than that, need not be looked up: a pair must still meet on a rarer one. What is
-    left out is exactly the trigrams nearly every key has, and no pair is lost. Repeated keys cost nothing;
-    candidates are verified by their real similarity.
+    A similar pair shares at least ceil(threshold * n) of either side's n trigrams. So with trigrams in one order for all, rare ones
+    first, it meets on one of the first n - ceil(threshold * n) + 1 of both sides, and lengths differ by no more than the threshold
+    allows. The trigrams nearly every key has come last and are hardly looked up; no pair is lost. Repeated keys cost
+    nothing; candidates are verified by their real similarity.
     """
-    keys = items.select(key).distinct()
-    grams = keys.select(key, F.explode(trigrams(F.col(key))).alias("__g"))
-    asked = terms.select(term).distinct().select(term, F.explode(trigrams(F.col(term))).alias("__g"))
-    spread = grams.join(asked.select("__g").distinct(), "__g", "left_semi").groupBy("__g").agg(F.count(F.lit(1)).alias("__n"))
-    by_rarity = asked.join(spread, "__g").groupBy(term).agg(
-        F.sort_array(F.collect_list(F.struct("__n", "__g"))).alias("__all"))
-    total = F.size(trigrams(F.col(term)))
-    # Trigrams no key has are absent from the list; they cannot be shared.
-    looked_up = F.greatest(F.lit(0), F.size("__all") - F.ceil(total * threshold).cast("int") + 1)
-    kept = by_rarity.select(term, F.explode(F.slice("__all", F.lit(1), looked_up)).alias("s")).select(term, "s.__g")
-    pairs = grams.join(kept, "__g").select(term, key).distinct()
-    score = trigram_similarity(trigrams(F.col(key)), trigrams(F.col(term)))
-    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= threshold)
+    keys = items.select(F.col(key).alias("key")).distinct().withColumn("grams", trigrams(F.col("key")))
+    asked = terms.select(F.col(term).alias("term")).distinct().withColumn("grams", trigrams(F.col("term")))
+    often = keys.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("often"))
 
+    def prefixes(side: DataFrame, name: str, n: str) -> DataFrame:
+        # A trigram no key has cannot be shared, but counts as a rare one.
+        ranked = side.select(name, F.size("grams").alias(n), F.explode("grams").alias("g")).join(often, "g", "left")
+        first = F.col(n) - F.ceil(F.col(n) * threshold).cast("int") + 1
+        in_order = F.sort_array(F.collect_list(F.struct(F.coalesce("often", F.lit(0)).alias("often"), "g")))
+        return ranked.groupBy(name, n).agg(in_order.alias("all")).select(name, n, F.explode(F.slice("all", F.lit(1), first)).alias("s")).select(name, n, "s.g")
 
-def best_matches(matches: DataFrame, term: str, key: str, n: int = 60) -> DataFrame:
-    """The ``n`` best keys per term."""
-    return top_per_key(matches, [term], [F.col("similarity").desc(), F.col(key).asc()], n)
+    fits = (F.col("k") >= F.col("t") * threshold) & (F.col("t") >= F.col("k") * threshold)
+    pairs = prefixes(keys, "key", "k").join(prefixes(asked, "term", "t"), "g").filter(fits).select("term", "key").distinct()
+    score = trigram_similarity(trigrams(F.col("key")), trigrams(F.col("term")))
+    return pairs.withColumn("similarity", score).filter(F.col("similarity") >= threshold).withColumnsRenamed({"term": term, "key": key})

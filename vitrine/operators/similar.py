@@ -13,9 +13,9 @@ from vitrine.operators.ordered import top_per_key
 
 NEAR_IMAGES = 240
 TOP_PRODUCTS = 24
-BROADCAST_BYTES = 32 * 1024 * 1024
-ROWS_PER_BLOCK = 50_000
 QUERIES_PER_BLOCK = 2_000
+QUERY_SLICE = 128  # queries whose distances to one batch of pictures are in memory at once
+MERGE_SALTS = 16
 DECIMALS = 9  # distances are compared at this precision, ties go to the lower id
 
 
@@ -28,72 +28,73 @@ def _unit(m: np.ndarray) -> np.ndarray:
     return m / np.where(length == 0, 1.0, length)
 
 
-def _nearest(query_ids: np.ndarray, queries: np.ndarray, part: pd.DataFrame, k: int) -> pd.DataFrame:
-    """The k nearest of these pictures for each query."""
-    ids, images, owner = part["image_id"].to_numpy(), _matrix(part["v"]), part["product"].to_numpy()
-    distance = np.round(1.0 - queries @ _unit(images).T, DECIMALS)
-    frames = []
-    for q, row in zip(query_ids, distance):
-        if len(row) > k:
-            near = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-        else:
-            near = np.arange(len(row))
-        near = near[np.lexsort((ids[near], row[near]))][:k]
-        frames.append(pd.DataFrame({"query_id": q, "image_id": ids[near], "product": owner[near], "distance": row[near]}))
-    return pd.concat(frames, ignore_index=True)
+def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    return found.sort_values(["query_id", "distance", "image_id"], kind="stable").groupby("query_id", sort=False).head(k)
+
+
+def _nearest(asked: pd.DataFrame, part: pd.DataFrame, k: int) -> pd.DataFrame:
+    """For each query the pictures of this batch that are no farther than its k-th nearest one here."""
+    images, queries, found = _unit(_matrix(part["v"])), _unit(_matrix(asked["v"])), []
+    for at in range(0, len(queries), QUERY_SLICE):
+        distance = np.round(1.0 - queries[at:at + QUERY_SLICE] @ images.T, DECIMALS)
+        reach = np.partition(distance, k - 1, axis=1)[:, k - 1:k] if distance.shape[1] > k else distance.max(axis=1, keepdims=True)
+        q, i = np.nonzero(distance <= reach)
+        found.append(pd.DataFrame({"query_id": asked["query_id"].to_numpy()[at + q], "image_id": part["image_id"].to_numpy()[i],
+                                   "product": part["product"].to_numpy()[i], "distance": distance[q, i]}))
+    return _cut(pd.concat(found, ignore_index=True), k)
 
 
 def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_id: str, vector: str, product: str,
-                   k: int = NEAR_IMAGES, broadcast_bytes: int = BROADCAST_BYTES,
-                   rows_per_block: int = ROWS_PER_BLOCK, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
+                   k: int = NEAR_IMAGES, queries_per_block: int = QUERIES_PER_BLOCK) -> DataFrame:
     """(query_id, image_id, product, distance): the exact k nearest pictures of each query by cosine distance.
 
-    The product rides along, so that collapsing to products reads the pictures no second time. Pictures without a vector are skipped. A query batch whose measured size is within ``broadcast_bytes``
-    goes to every task, and the pictures are read where they are. A larger batch meets the pictures in a
-    grid of hash blocks of bounded size. Either way only the best k per query leave a block, and a second
-    top-k per query merges them.
+    The product rides along, so that collapsing to products reads the pictures no second time. Pictures without a
+    vector are skipped. Pictures and queries meet in a grid: pictures are dealt by hash into one block per shuffle partition, queries
+    into blocks of about ``queries_per_block``. A task holds the queries of its cell and streams the pictures past them, batch by
+    batch and slice by slice, so its memory depends on neither number. Only the best k per query leave a cell; they are
+    merged in two steps, so that no task gets the candidates of one query from all cells. Ids may have any orderable type.
     """
     spark = images.sparkSession
+    image_blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = max(1, -(-queries.count() // queries_per_block))
+    asked = queries.select(F.col(query_id).alias("query_id"), unit_vector(F.col(vector)).alias("v"))
     have = images.filter(F.col(vector).isNotNull()).select(
-        F.col(image_id).cast("long").alias("image_id"), F.col(product).alias("product"), F.col(vector).alias("v"))
-    schema = f"query_id long, image_id long, product {have.schema['product'].dataType.simpleString()}, distance double"
-    asked = queries.select(F.col(query_id).cast("long").alias("query_id"), unit_vector(F.col(vector)).alias("q"))
-    size = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("q") * 8 + 8).alias("bytes")).first()
-    if not size["n"]:
-        return spark.createDataFrame([], schema)
-    if size["bytes"] <= broadcast_bytes:
-        batch = asked.toPandas()
-        shared = spark.sparkContext.broadcast((batch["query_id"].to_numpy(), _unit(_matrix(batch["q"]))))
-
-        def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            query_ids, q = shared.value
-            best = None
-            for part in parts:
-                if part.empty:
-                    continue
-                found = _nearest(query_ids, q, part, k)
-                both = found if best is None else pd.concat([best, found], ignore_index=True)
-                ordered = both.sort_values(["query_id", "distance", "image_id"], kind="stable")
-                best = ordered.groupby("query_id", sort=False).head(k)
-            if best is not None:
-                yield best
-
-        local = have.mapInPandas(scan, schema)
-    else:
-        n_images = have.count()
-        image_blocks = max(1, -(-n_images // rows_per_block))
-        query_blocks = max(1, -(-size["n"] // queries_per_block))
-        grid = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-        left = have.withColumn("ib", F.pmod(F.xxhash64("image_id"), F.lit(image_blocks)).cast("int")).withColumn("qb", grid(query_blocks))
-        right = asked.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")).withColumn("ib", grid(image_blocks))
-
-        def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-            if a.empty or b.empty:
-                return pd.DataFrame({"query_id": [], "image_id": [], "product": [], "distance": []})
-            return _nearest(b["query_id"].to_numpy(), _unit(_matrix(b["q"])), a, k)
-
-        local = left.groupBy("ib", "qb").cogroup(right.groupBy("ib", "qb")).applyInPandas(block, schema)
-    return top_per_key(local, ["query_id"], ["distance", "image_id"], k)
+        F.col(image_id).alias("image_id"), F.col(product).alias("product"), F.col(vector).cast("array<double>").alias("v"))
+    types = {**{f.name: f.dataType.simpleString() for f in have.schema.fields}, **{f.name: f.dataType.simpleString() for f in asked.schema.fields}}
+    schema = f"query_id {types['query_id']}, image_id {types['image_id']}, product {types['product']}, distance double"
+
+    def blocks(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    def dealt(key: str, n: int):
+        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
+    rows = asked.withColumns({"qb": dealt("query_id", query_blocks), "kind": F.lit(0)}).withColumn("ib", blocks(image_blocks)).unionByName(
+        have.withColumns({"ib": dealt("image_id", image_blocks), "kind": F.lit(1)}).withColumn("qb", blocks(query_blocks)), allowMissingColumns=True)
+    cells = rows.repartition("ib", "qb").sortWithinPartitions("ib", "qb", "kind")
+
+    def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cell, queries_here, best = None, [], None
+        for part in parts:
+            for here, rows_here in part.groupby(["ib", "qb"], sort=False):
+                if here != cell:
+                    if best is not None:
+                        yield best
+                    cell, queries_here, best = here, [], None
+                new = rows_here[rows_here["kind"] == 0]
+                if len(new):
+                    queries_here.append(new[["query_id", "v"]])
+                pictures = rows_here[rows_here["kind"] == 1]
+                if len(pictures) and queries_here:
+                    queries_here = [pd.concat(queries_here, ignore_index=True)]
+                    found = _nearest(queries_here[0], pictures, k)
+                    best = found if best is None else _cut(pd.concat([best, found], ignore_index=True), k)
+        if best is not None:
+            yield best
+
+    local = cells.mapInPandas(scan, schema).withColumn("salt", dealt("image_id", MERGE_SALTS))
+    fewer = top_per_key(local, ["query_id", "salt"], ["distance", "image_id"], k).drop("rank", "salt")
+    return top_per_key(fewer, ["query_id"], ["distance", "image_id"], k)
 
 
 def best_per_product(near: DataFrame) -> DataFrame:

@@ -109,7 +109,7 @@ def introductions(t: Tables):
 
 @query(r"""
 with body as (select page_id, position, paragraph, row_number() over (partition by page_id order by position) as r from (
-  select page_id, unnest(paras) as paragraph, generate_subscripts(paras, 1) as position from (select page_id, regexp_extract_all(html, '<li><a [^>]*>([^<]*)</a>', 1) as paras from pages)) where trim(paragraph) <> ''),
+  select page_id, unnest(paras) as paragraph, generate_subscripts(paras, 1) as position from (select page_id, regexp_extract_all(html, '<(?:li><a|p)(?: [^>]*)?>([^<]*)</(?:a|p)>', 1) as paras from pages)) where trim(paragraph) <> ''),
 n as (select *, lead(paragraph) over (partition by page_id order by position) as nxt from body where r > 1),
 c as (select *, row_number() over (partition by page_id order by position) as k, length(paragraph) <= 28 and not regexp_matches(paragraph, '\d\d') and length(nxt) > length(paragraph) as cand from n),
 o as (select *, k - coalesce(max(case when not coalesce(cand, false) then k end) over (partition by page_id order by k rows unbounded preceding), 0) - 1 as off from c),
@@ -117,7 +117,7 @@ l as (select *, coalesce(cand, false) and off % 2 = 0 as lab from o),
 u as (select *, coalesce(lag(lab) over (partition by page_id order by k), false) as used from l)
 select page_id, (position - 1)::bigint as position, case when lab then 'pair' else 'feature' end as kind, case when lab then paragraph end as label, case when lab then nxt else paragraph end as value from u where not used""")
 def paragraph_pairs(t: Tables):
-    found = F.regexp_extract_all("html", F.lit("<li><a [^>]*>([^<]*)</a>"), F.lit(1))
+    found = F.regexp_extract_all("html", F.lit("<(?:li><a|p)(?: [^>]*)?>([^<]*)</(?:a|p)>"), F.lit(1))
     paras = t.spread("pages").select("page_id", F.posexplode(found).alias("position", "paragraph")).filter(F.trim("paragraph") != "")
     out = extract.pair_paragraphs(paras, ["page_id"])
     return out.select("page_id", F.col("position").cast("long"), "kind", "label", "value")

@@ -124,13 +124,18 @@ def missing_results(t: Tables):
 @query(r"""
 with e as (select trim(lower(regexp_replace(p_brand || ' ' || p_name || ' ' || p_size, '[^A-Za-z0-9]+', '-', 'g')), '-') as slug from part),
 n as (select s_suppkey, 'brand-' || s_nationkey || '-' || (case when s_acctbal > 5000 then 'red-bolt-1' else 'blue' end) as base from supplier),
-taken as (select base, count(slug) as taken, coalesce(bool_or(slug = base), false) as exact from (select distinct base from n) left join e on starts_with(slug, base) group by base)
-select s_suppkey, case when exact then base || '-' || (taken + 1) else base end as slug from n join taken using (base)""")
+b as (select distinct base from n),
+taken as (select base, count(slug) as taken, coalesce(bool_or(slug = base), false) as exact from b left join e on starts_with(slug, base) group by base),
+used as (select base, max(try_cast(substr(slug, length(base) + 2) as bigint)) as highest from b join (select slug from e union all select base from b) on starts_with(slug, base || '-')
+  and regexp_full_match(substr(slug, length(base) + 2), '[0-9]{1,15}') group by base),
+numbered as (select *, row_number() over (partition by base order by s_suppkey) as nth from n)
+select s_suppkey, case when nth = 1 and not exact then base else base || '-' || (greatest(taken, coalesce(highest, 0)) + nth) end as slug
+from numbered join taken using (base) left join used using (base)""")
 def new_rows(t: Tables):
     existing = t.part.select(textclean.slugify(F.concat_ws(" ", "p_brand", "p_name", "p_size")).alias("slug"))
     base = F.concat(F.lit("brand-"), F.col("s_nationkey"), F.lit("-"), F.when(F.col("s_acctbal") > 5000, "red-bolt-1").otherwise("blue"))
     rows = t.supplier.select("s_suppkey", base.alias("base"))
-    return identity.free_slugs(rows, existing, "base").select("s_suppkey", "slug")
+    return identity.free_slugs(rows, existing, "base", ["s_suppkey"]).select("s_suppkey", "slug")
 
 
 # ---------------------------------------------------------------- merging
@@ -223,6 +228,38 @@ def bulk_edit(t: Tables):
     return out.select("o_orderkey", "status", "category", F.col("edited_at").isNotNull().alias("edited"))
 
 
+@query("""
+with edits as (select l_orderkey as o_orderkey, l_linenumber as at, case when l_returnflag = 'R' then 'hide' when l_returnflag = 'A' then 'publish' else 'category' end as op,
+  case when l_quantity > 5 then l_suppkey end as cat from lineitem),
+s as (select o_orderkey, max(struct_pack(a := at, v := op)).v as op from edits where op <> 'category' group by 1),
+c as (select o_orderkey, max(struct_pack(a := at, v := cat)).v as cat from edits where op = 'category' and cat is not null group by 1)
+select o_orderkey, case op when 'publish' then 'published' when 'hide' then 'hidden' else o_orderstatus end as status, coalesce(cat, 0)::bigint as category,
+  op is not null or cat is not null as edited from orders left join s using (o_orderkey) left join c using (o_orderkey)""")
+def repeated_edits(t: Tables):
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("status"), F.lit(0).cast("long").alias("category"), F.lit(None).cast("timestamp").alias("edited_at"))
+    op = F.when(F.col("l_returnflag") == "R", "hide").when(F.col("l_returnflag") == "A", "publish").otherwise("category")
+    edits = t.lineitem.select(F.col("l_orderkey").alias("o_orderkey"), op.alias("op"), F.col("l_linenumber").alias("at"),
+                              F.when(F.col("l_quantity") > 5, F.col("l_suppkey")).alias("category_id"))
+    out = merge.bulk_edit(rows, edits, "o_orderkey", "status", "category", "edited_at", F.lit(NOW).cast("timestamp"), order="at")
+    return out.select("o_orderkey", "status", "category", F.col("edited_at").isNotNull().alias("edited"))
+
+
+@query("""
+select l_suppkey, count(*)::bigint as rows from lineitem group by 1 having count(*) > 1""")
+def repeated_import_keys(t: Tables):
+    return merge.repeated_keys(t.lineitem.select("l_suppkey", "l_partkey"), ["l_suppkey"])
+
+
+@query(f"""
+select s_suppkey, s_name, s_suppkey in (select l_suppkey from lineitem where l_returnflag = 'R' and l_linenumber = 1) or s_acctbal < 0 as edited from supplier""")
+def stamped_products(t: Tables):
+    pictures = t.lineitem.select(F.col("l_suppkey").alias("product_id"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag").alias("picture"))
+    changed = pictures.filter("picture.l_returnflag = 'R' and picture.l_linenumber = 1")
+    products = t.supplier.select("s_suppkey", "s_name", F.when(F.col("s_acctbal") < 0, F.lit(EDITED).cast("timestamp")).alias("edited_at"))
+    out = merge.stamp_touched(products, pictures, changed, "product_id", "picture", "s_suppkey", "edited_at", F.lit(NOW).cast("timestamp"))
+    return out.select("s_suppkey", "s_name", F.col("edited_at").isNotNull().alias("edited"))
+
+
 @query(f"""
 select l_orderkey, l_partkey, l_suppkey, l_extendedprice, (row_number() over (partition by l_orderkey order by {SQL_LINE_ORDER}) - 1)::bigint as sort from lineitem where l_returnflag <> 'R'""")
 def renumber_children(t: Tables):

@@ -167,7 +167,7 @@ NOISY_RULES = [(r"gizm", "gadgets"), (r"plat", "plates")]
 
 
 @query(r"""
-with n as (select p_partkey, p_size, substring(p_type, 1, 2) || '-' || string_split(p_name, ' ')[1] || p_size as code0, p_name, p_type, p_brand from part),
+with n as (select p_partkey, p_size, p_type || '-' || string_split(p_name, ' ')[1] || p_size as code0, p_name, p_type, p_brand from part),
 m as (select *, upper(code0) as code, case when p_size > 44 then 'hall' end as dflt from n),
 a as (select *, regexp_extract(code, '^[0-9]?[A-Z]+(?:-[A-Z]+)?') as family,
   case when regexp_matches(p_name, '(?i)\bring\b') then 'fittings' when regexp_matches(p_name || ' | ' || code, '(?i)hot.*rod') then 'fittings'
@@ -181,7 +181,7 @@ select p_partkey, coalesce(found, dflt) as category, array_to_string(list_filter
   case when rule is not null and found is not distinct from rule and named is null then 'category-from-code' end,
   case when found is null and dflt is null then 'no-category' end], lambda x: x is not null), ',') as flags from r""")
 def category_provenance(t: Tables):
-    code = F.upper(F.concat(F.substring("p_type", 1, 2), F.lit("-"), F.split("p_name", " ")[0], F.col("p_size")))
+    code = F.upper(F.concat(F.col("p_type"), F.lit("-"), F.split("p_name", " ")[0], F.col("p_size")))
     rows = t.part.select("p_partkey", F.col("p_name").alias("name"), code.alias("code"), "p_size")
     default = F.when(F.col("p_size") > 44, "hall")
     out = classify.with_category_provenance(rows, "name", "code", default, PROVENANCE_RULES, NOISY_RULES, CODE_RULES)
@@ -424,8 +424,8 @@ def hero_order(t: Tables):
 
 @query("""
 select r, doc_id from (select doc_id, row_number() over (order by case when key = '' then '~' else key end, source, doc_id)::bigint as r from (
-  select doc_id, source, regexp_replace(upper(substring(source, 1, 4)), '[^A-Z0-9]', '', 'g') as key from documents))""")
+  select doc_id, source, regexp_replace(upper(source), '[^A-Z0-9]', '', 'g') as key from documents))""")
 def code_index(t: Tables):
-    key = textclean.search_key(F.substring("source", 1, 4))
+    key = textclean.search_key(F.col("source"))
     rows = t.documents.select("doc_id", "source", code_order(key).alias("k"))
     return ordered.number_rows(rows, [], ["k", "source", "doc_id"], "r").select("r", "doc_id")

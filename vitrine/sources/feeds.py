@@ -63,11 +63,9 @@ def read_glossary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.GLOSSARY).option("header", True).csv(path)
 
 
-def glossary_phrases(glossary: DataFrame, most: int = 5_000) -> list[tuple[str, str]]:
-    """Phrase pairs for translate_phrases; a glossary is a short hand-kept list, anything longer is refused."""
-    rows = glossary.filter(F.col("kind") == "phrase").select("th", F.coalesce("en", F.lit("")).alias("en")).limit(most + 1).collect()
-    if len(rows) > most:
-        raise ValueError(f"glossary has more than {most} phrases")
+def glossary_phrases(glossary: DataFrame) -> list[tuple[str, str]]:
+    """Phrase pairs for translate_phrases. A glossary is kept by hand and becomes part of the plan, however long it is."""
+    rows = glossary.filter(F.col("kind") == "phrase").select("th", F.coalesce("en", F.lit("")).alias("en")).collect()
     return [(r["th"], r["en"]) for r in rows]
 
 
