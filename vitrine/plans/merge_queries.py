@@ -229,10 +229,10 @@ def bulk_edit(t: Tables):
 
 
 @query("""
-with edits as (select l_orderkey as o_orderkey, l_linenumber as at, case when l_returnflag = 'R' then 'hide' when l_returnflag = 'A' then 'publish' else 'category' end as op,
+with edits as (select l_orderkey as o_orderkey, l_linenumber as edit_no, case when l_returnflag = 'R' then 'hide' when l_returnflag = 'A' then 'publish' else 'category' end as op,
   case when l_quantity > 5 then l_suppkey end as cat from lineitem),
-s as (select o_orderkey, max(struct_pack(a := at, v := op)).v as op from edits where op <> 'category' group by 1),
-c as (select o_orderkey, max(struct_pack(a := at, v := cat)).v as cat from edits where op = 'category' and cat is not null group by 1)
+s as (select o_orderkey, (max(struct_pack(a := edit_no, v := op))).v as op from edits where op <> 'category' group by 1),
+c as (select o_orderkey, (max(struct_pack(a := edit_no, v := cat))).v as cat from edits where op = 'category' and cat is not null group by 1)
 select o_orderkey, case op when 'publish' then 'published' when 'hide' then 'hidden' else o_orderstatus end as status, coalesce(cat, 0)::bigint as category,
   op is not null or cat is not null as edited from orders left join s using (o_orderkey) left join c using (o_orderkey)""")
 def repeated_edits(t: Tables):
