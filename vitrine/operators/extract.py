@@ -336,14 +336,24 @@ CODE_HEAD = r"^[A-Z]{1,4}$"
 def word_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Words (x0, y0, x1, y1, text) -> text lines (line, x0, y0, x1, y1, words, text).
 
-    Islands, independent of reading order: a vertical band ends where the centre jumps by 0.55 of the word
-    height, and within a band a line ends at a horizontal gap of 1.6 heights.
+    Independent of reading order: a vertical band holds the centres that lie less than 0.55 of the word height below its
+    first one, so lines of one column never share a band; within a band a line ends at a horizontal gap of 1.6 heights.
+    ``keys`` name a page, whose words are gathered and folded in order.
     """
     height = F.greatest(F.lit(8), F.col("y1") - F.col("y0"))
-    df = words.withColumns({"__cy": (F.col("y0") + F.col("y1")) / 2, "__h": height})
-    down = W.partitionBy(*keys).orderBy("__cy", "x0", "text")
-    df = df.withColumn("__new", F.coalesce((F.col("__cy") - F.lag("__cy").over(down) >= F.col("__h") * 0.55).cast("int"), F.lit(0)))
-    df = df.withColumn("__band", F.sum("__new").over(down.rowsBetween(W.unboundedPreceding, 0)))
+    centre = ((F.col("y0") + F.col("y1")) / 2).cast("double")
+    page = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(centre.alias("cy"), "x0", "text", "x1", "y0", "y1", height.cast("int").alias("h")))).alias("__w"))
+
+    def step(state: Column, w: Column) -> Column:
+        begins = state["first"].isNull() | (w["cy"] - state["first"] >= w["h"] * 0.55)
+        band = F.when(begins, state["band"] + 1).otherwise(state["band"])
+        return F.struct(F.when(begins, w["cy"]).otherwise(state["first"]).alias("first"), band.alias("band"),
+                        F.concat(state["bands"], F.array(band)).alias("bands"))
+
+    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("band"), F.array().cast("array<int>").alias("bands"))
+    bands = F.aggregate("__w", start, step, lambda state: state["bands"])
+    df = page.select(*keys, F.explode(F.arrays_zip(F.col("__w").alias("w"), bands.alias("band"))).alias("z")).select(
+        *keys, F.col("z.band").alias("__band"), "z.w.x0", "z.w.y0", "z.w.x1", "z.w.y1", "z.w.text", F.col("z.w.h").alias("__h"))
     right = W.partitionBy(*keys, "__band").orderBy("x0", "x1", "text")
     reach = F.max("x1").over(right.rowsBetween(W.unboundedPreceding, -1))
     df = df.withColumn("__gap", F.coalesce((F.col("x0") - reach >= F.col("__h") * 1.6).cast("int"), F.lit(0)))

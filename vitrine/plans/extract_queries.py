@@ -17,7 +17,7 @@ with m as (select page_id, regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1)
 p as (select page_id, unnest(hrefs) as href, generate_subscripts(hrefs, 1) - 1 as position from m)
 select page_id, position::bigint as position, href from p where regexp_matches(href, '^/[A-Za-z]') and not regexp_matches(href, 'CONTACT|the')""")
 def page_links(t: Tables):
-    out = extract.links(t.spread("pages"), ["page_id"], "html", "^/[A-Za-z]", "CONTACT|the")
+    out = extract.links(t.pages, ["page_id"], "html", "^/[A-Za-z]", "CONTACT|the")
     return out.select("page_id", F.col("position").cast("long"), "href")
 
 
@@ -28,7 +28,7 @@ c as (select page_id, list_filter(list_transform(blocks, lambda b: trim(regexp_r
 u as (select page_id, unnest(paras) as paragraph, generate_subscripts(paras, 1) - 1 as position from c)
 select page_id, position::bigint as position, paragraph from u""")
 def page_paragraphs(t: Tables):
-    out = extract.paragraphs(t.spread("pages"), ["page_id"], "html")
+    out = extract.paragraphs(t.pages, ["page_id"], "html")
     return out.select("page_id", F.col("position").cast("long"), "paragraph")
 
 
@@ -50,7 +50,7 @@ def _sheets(t: Tables):
         F.lit("Specification"), F.lit("loose text after the heading"),
         F.when(F.col("p_size") > 5, F.lit("Feature :")), F.when(F.col("p_size") > 5, text(" first ", "p_name")), F.when(F.col("p_size") > 5, text(": second ", "p_brand")),
         F.lit("Remark : note "), text(" number ", "p_partkey")))
-    return t.spread("part").select("p_partkey", F.posexplode(lines).alias("line_no", "line"))
+    return t.dealt("part", "p_partkey").select("p_partkey", F.posexplode(lines).alias("line_no", "line"))
 
 
 SQL_SHEETS = """
@@ -81,7 +81,7 @@ def _web_pages(t: Tables):
         F.when(F.col("p_size") > 30, F.lit("Overall")), F.when(F.col("p_size") > 30, F.lit(":")), F.when(F.col("p_size") > 30, F.concat(F.lit("1,200 x "), size, F.lit(" x 7.5 cm"))),
         F.when(F.col("p_size") < 10, F.lit("Dimension")),
         F.lit("Other"), F.lit("Lock"), F.lit(":"), F.lit("yes"), F.lit("เรื่องน่าสนใจ"), F.lit("Seat"), F.lit(":"), F.lit("ignored")))
-    return t.spread("part").select("p_partkey", "p_name", F.array_join(lines, "\n").alias("text"))
+    return t.dealt("part", "p_partkey").select("p_partkey", "p_name", F.array_join(lines, "\n").alias("text"))
 
 
 @query("""
@@ -118,7 +118,7 @@ u as (select *, coalesce(lag(lab) over (partition by page_id order by k), false)
 select page_id, (position - 1)::bigint as position, case when lab then 'pair' else 'feature' end as kind, case when lab then paragraph end as label, case when lab then nxt else paragraph end as value from u where not used""")
 def paragraph_pairs(t: Tables):
     found = F.regexp_extract_all("html", F.lit("<(?:li><a|p)(?: [^>]*)?>([^<]*)</(?:a|p)>"), F.lit(1))
-    paras = t.spread("pages").select("page_id", F.posexplode(found).alias("position", "paragraph")).filter(F.trim("paragraph") != "")
+    paras = t.pages.select("page_id", F.posexplode(found).alias("position", "paragraph")).filter(F.trim("paragraph") != "")
     out = extract.pair_paragraphs(paras, ["page_id"])
     return out.select("page_id", F.col("position").cast("long"), "kind", "label", "value")
 
@@ -134,7 +134,7 @@ def _size_texts(t: Tables):
         .when(F.col("p_type") == "LARGE", F.concat(F.lit("1."), n, F.lit(" x 0.6 x 0,75")))
         .when(F.col("p_type") == "MEDIUM", F.concat(n * 11, F.lit(" * "), n * 7))
         .when(F.col("p_type") == "ECONOMY", F.concat(F.lit("Width: "), n * 100, F.lit(" Height "), n * 3, F.lit(" cm"))).otherwise("no size"))
-    return t.spread("part").select("p_partkey", "p_type", "p_size", text.alias("text"))
+    return t.dealt("part", "p_partkey").select("p_partkey", "p_type", "p_size", text.alias("text"))
 
 
 # In "Width: 100" the height keyword "h" matches first, so that text gives the same width and height.
@@ -195,7 +195,7 @@ def brochure_sizes(t: Tables):
     text = F.when(n <= 25, F.concat(n + 100, F.lit("(W) x "), n * 10, F.lit("(D) x "), n + 200, F.lit("(H) cm"))).otherwise(
         F.concat(n + 100, F.lit("(Ø) x "), n + 200, F.lit("(H) mm")))
     mm = sizes.brochure_size(F.col("text"))
-    return t.spread("part").select("p_partkey", text.alias("text")).select("p_partkey", *[mm[a][0].cast("long").alias(a) for a in ("w", "d", "h", "dia")])
+    return t.dealt("part", "p_partkey").select("p_partkey", text.alias("text")).select("p_partkey", *[mm[a][0].cast("long").alias(a) for a in ("w", "d", "h", "dia")])
 
 
 # ---------------------------------------------------------------- layout
@@ -285,4 +285,4 @@ def recall_at_k(t: Tables):
 select vec_id, array_to_string(list_transform(list_transform(embedding::double[], lambda x: round(x / sqrt(list_sum(list_transform(embedding::double[], lambda y: y * y))), 6)), lambda z: (round(z * 1000000))::bigint::varchar), ',') as unit from embeddings""")
 def unit_vectors(t: Tables):
     micro = F.transform(unit_vector(F.col("embedding")), lambda x: F.round(x * 1_000_000, 0).cast("long").cast("string"))
-    return t.spread("embeddings").select("vec_id", F.array_join(micro, ",").alias("unit"))
+    return t.dealt("embeddings", "vec_id").select("vec_id", F.array_join(micro, ",").alias("unit"))

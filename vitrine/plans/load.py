@@ -81,18 +81,27 @@ def load_catalog(snapshot: dict[str, DataFrame], records: DataFrame, brand_rows:
             "metrics": merge.load_metrics(merged)}
 
 
+def _without_blank_values(row: Column) -> Column:
+    pairs = language.align_pairs(F.transform(row["values_th"], lambda v: F.trim(v)), row["values_en"])
+    return F.struct(row["label_th"].alias("label_th"), row["label_en"].alias("label_en"),
+                    F.transform(pairs, lambda p: p["th"]).alias("values_th"), F.transform(pairs, lambda p: p["en"]).alias("values_en"))
+
+
 def save_product(products: DataFrame, edits: DataFrame, now: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """Apply edited rows (columns as in products): (new products, rejected edits with their first issue).
 
-    Blank feature lines go with their translation, the code key and the envelope are derived, and the
-    product counts as edited.
+    Texts are trimmed and blank ones become null, blank feature lines and spec values go with their translation, the
+    code key and the envelope are derived, and the product counts as edited.
     """
+    trimmed = {c: F.trim(F.col(c)) for c in ("code", "type_th", "type_en", "summary_th", "summary_en", "note_th", "note_en")}
+    edits = edits.withColumns({c: v if c == "code" else F.when(v != "", v) for c, v in trimmed.items()})
     checked = merge.with_violations(edits, merge.product_issues())
     good = checked.filter(F.size("violations") == 0).drop("violations")
     pairs = language.align_pairs(F.col("features_th"), F.col("features_en"))
     env = sizes.overall_envelope(F.col("sizes"))
     shaped = good.withColumns({"__pairs": pairs, "__env": env}).withColumns({
         "features_th": F.transform("__pairs", lambda p: p["th"]), "features_en": F.transform("__pairs", lambda p: p["en"]),
+        "specs": F.transform("specs", _without_blank_values),
         "code_norm": textclean.search_key(F.col("code")), "edited_at": now if now is not None else F.current_timestamp(),
         **{n: F.col(f"__env.{n}") for n in ("width_min", "width_max", "depth_min", "depth_max", "height_min", "height_max")}})
     known = shaped.drop("__pairs", "__env").join(products.select("slug"), "slug", "left_semi")

@@ -71,7 +71,7 @@ def stable_codes(t: Tables):
 with lines as (select doc_id, source, unnest(string_split(text, chr(10))) as line from documents),
 d as (select line, count(distinct doc_id)::bigint as files from lines where line <> '' group by line) select * from d where files >= 4""")
 def doc_frequency(t: Tables):
-    lines = t.spread("documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line") != "")
+    lines = t.documents.select("doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line") != "")
     return identity.decorations(lines, "line", "doc_id", 4)
 
 
@@ -82,7 +82,7 @@ s as (select line, count(*)::bigint as folders from v group by 1)
 select source, line, folders, votes from v join s using (line)
 qualify row_number() over (partition by source order by folders, -votes, line) = 1""")
 def folder_vote(t: Tables):
-    lines = t.spread("documents", "source", "text").select("source", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line") != "")
+    lines = t.documents.select("source", "text").select("source", F.explode(F.split("text", "\n")).alias("line")).filter(F.col("line") != "")
     return identity.vote_per_folder(lines, "source", "line")
 
 
@@ -94,7 +94,7 @@ k2 as (select label, arg_min(vec_id, vec_id) as id2, arg_min(b, vec_id) as b2 fr
 c3 as (select c2.*, id2 from c2 join k2 using (label) where vec_id > id2 and len(list_filter(range(1, len(b) + 1), lambda i: b[i] <> b2[i])) >= len(b) * 0.1)
 select label::bigint as label, 0::bigint as position, id1 as vec_id from k1 union all select label, 1, id2 from k2 union all select label, 2, min(vec_id) from c3 group by label""")
 def near_duplicate(t: Tables):
-    out = identity.distinct_fingerprints(t.spread("embeddings"), "label", "vec_id", "embedding")
+    out = identity.distinct_fingerprints(t.dealt("embeddings", "vec_id"), "label", "vec_id", "embedding")
     return out.select(F.col("label").cast("long"), F.col("position").cast("long"), "vec_id")
 
 

@@ -5,8 +5,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vitrine.session import spread
-
 
 class Tables:
     """``tables.part`` reads ``<folder>/part.parquet``."""
@@ -19,11 +17,10 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-
-    def spread(self, name: str, *columns: str) -> DataFrame:
-        """The named columns of a table, in at least as many splits as there are cores."""
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table of narrow rows whose every row becomes heavy work: dealt by key over the shuffle partitions."""
         table = getattr(self, name)
-        return spread(table.select(*columns) if columns else table)
+        return table.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -59,7 +59,7 @@ freq as (select token, count(*)::bigint as freq from tokens group by token)"""
 
 
 def _tokens(t: Tables):
-    return spelling.words(t.spread("documents", "doc_id", "text"), "text", ["doc_id"])
+    return spelling.words(t.documents.select("doc_id", "text"), "text", ["doc_id"])
 
 
 @query(f"with {SQL_TOKENS} select token, freq from freq")
@@ -117,7 +117,7 @@ case when regexp_matches({SQL_TYPE} || ' | ' || p_type, '(?i)\bring\b|rod') then
 
 def _categorized(t: Tables):
     type_text = F.when(F.col("p_size") <= 5, "").otherwise(F.col("p_name"))
-    return t.spread("part").withColumn("category", classify.categorize(type_text, F.col("p_type"), F.col("p_brand"), TYPE_RULES, SPEC_RULES))
+    return t.dealt("part", "p_partkey").withColumn("category", classify.categorize(type_text, F.col("p_type"), F.col("p_brand"), TYPE_RULES, SPEC_RULES))
 
 
 @query(f"select p_partkey, {SQL_CATEGORY} as category from part")
@@ -198,7 +198,7 @@ _WORD_OF = {"red": "wood", "blue": "mesh", "hot": "leather", "cold": "steel", "l
 def _furniture(t: Tables):
     """Parts as furniture: the noun gives the category, the adjective the words in the type."""
     adjective, noun = F.split("p_name", " ")[0], F.split("p_name", " ")[1]
-    return t.spread("part").select(
+    return t.dealt("part", "p_partkey").select(
         "p_partkey", "p_name", "p_size", "p_type", "p_brand", mapped(noun, _CATEGORY_OF).alias("category"),
         F.concat_ws(" ", mapped(adjective, _WORD_OF), noun).alias("type"),
         F.when(F.col("p_size") > 35, "steel frame").when(F.col("p_size") > 25, "caster").otherwise("").alias("spec"),

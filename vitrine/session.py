@@ -55,10 +55,3 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint()
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Even out a source that arrives in fewer splits than there are cores, before work that is heavy per
-    row. A source with enough splits, as any large one has, is left as it is: no shuffle."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
