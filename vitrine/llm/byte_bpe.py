@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import base64
 import codecs
+import os
 import re
 from collections.abc import Iterable, Iterator
 
@@ -24,7 +25,9 @@ from vitrine.llm.columns import per_process, sliced, texts_of, with_columns
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run without white space together with one space before it, or white space as the split pattern cuts it.
 PIECE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
+#: New pieces that go to the library as one text, with a line feed between.
+JOINED = 1_000
 
 
 def byte_characters() -> dict[int, str]:
@@ -41,6 +44,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 class ByteBpe:
     def __init__(self, path: str, pattern: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs one task per core
         ranks = read_ranks(path)
         char = byte_characters()
         spell = {token: "".join(map(char.__getitem__, token)) for token in ranks}
@@ -59,6 +63,7 @@ class ByteBpe:
         for i, token in self.bytes_of.items():
             self.sizes[i] = len(token)
         self.width = np.uint16 if len(self.sizes) <= 1 << 16 else np.uint32
+        self.feed = self.library.encode("\n").ids
         self.pieces: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -66,8 +71,17 @@ class ByteBpe:
         if len(self.pieces) > CACHE_PIECES:
             self.pieces.clear()
         cut = [PIECE.findall(t) for t in texts]
-        new = list({p for c in cut for p in c} - self.pieces.keys())
-        for piece, found in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+        new = {p for c in cut for p in c} - self.pieces.keys()
+        words = [p for p in new if not p[-1].isspace()]
+        lists = [words[i:i + JOINED] for i in range(0, len(words), JOINED)] if len(self.feed) == 1 else []
+        for some, found in zip(lists, self.library.encode_batch_fast(["\n".join(x) for x in lists], add_special_tokens=False)):
+            # The pattern never takes a line feed together with a word before or after it, so its token tells words apart.
+            ids = np.array(found.ids, "<u4")
+            ends = [-1, *np.flatnonzero(ids == self.feed[0]).tolist(), len(ids)]
+            if len(ends) == len(some) + 1:
+                self.pieces.update((piece, ids[a + 1:b].tobytes()) for piece, a, b in zip(some, ends, ends[1:]))
+        rest = list(new - self.pieces.keys())
+        for piece, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False)):
             self.pieces[piece] = np.array(found.ids, "<u4").tobytes()
         return [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
 
