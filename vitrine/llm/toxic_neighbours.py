@@ -84,18 +84,30 @@ class BlockMaxIndex:
         if not self.size or not len(places):
             return []
         bounds = weights @ self.most[places]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[block] <= 0 or len(best) >= k and bounds[block] < best[k - 1][0] - 1e-9:
-                break
-            scores = np.zeros(BLOCK)
-            for place, weight in zip(places.tolist(), weights.tolist()):
-                at = place * self.blocks + block
-                some = slice(self.starts[at], self.starts[at + 1])
-                scores[self.example[some] - block * BLOCK] += weight * self.weight[some]
-            hit = np.flatnonzero(scores > 0)
-            best = sorted([*best, *((float(scores[i]), block * BLOCK + int(i)) for i in hit)], key=lambda x: (-round(x[0], 9), x[1]))[:k]
-        return best
+        order = np.argsort(-bounds, kind="stable")
+        order = order[:np.count_nonzero(bounds > 0)]
+        found, scores, done, step, worst = np.zeros(0, np.int64), np.zeros(0), 0, 4, 0.0
+        while done < len(order) and (len(found) < k or bounds[order[done]] >= worst - 1e-9):
+            more = self._scores(places, weights, order[done:done + step])
+            done, step = done + step, 2 * step
+            found, scores = np.concatenate([found, more[0]]), np.concatenate([scores, more[1]])
+            keep = np.lexsort((found, -np.round(scores, 9)))[:k]
+            found, scores = found[keep], scores[keep]
+            worst = scores[-1] if len(scores) else 0.0
+        return list(zip(scores.tolist(), found.tolist()))
+
+    def _scores(self, places: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Examples of these blocks with a positive cosine, exactly: the lists of all terms in them, added up by example."""
+        at = (places[:, None] * self.blocks + blocks[None, :]).ravel()
+        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
+        rows = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+        example = self.example[rows]
+        slot = np.empty(self.blocks, np.int64)
+        slot[blocks] = np.arange(len(blocks))
+        sums = np.bincount(slot[example // BLOCK] * BLOCK + example % BLOCK, weights=np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[rows],
+                           minlength=len(blocks) * BLOCK)
+        hit = np.flatnonzero(sums > 0)
+        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
 
 
 @dataclass
