@@ -25,7 +25,8 @@ from vitrine.llm.columns import per_process, sliced, texts_of, with_columns
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 #: A run without white space together with one space before it, or white space as the split pattern cuts it.
 PIECE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-CACHE_PIECES = 300_000
+#: Distinct pieces that a worker keeps while it works on a partition.
+CACHE_PIECES = 150_000
 #: New pieces that go to the library as one text, with a line feed between.
 JOINED = 1_000
 
@@ -127,6 +128,7 @@ def encode_pages(crawled_pages: DataFrame, ranks_path: str, pattern: str, offset
                 found = [bpe.offsets(i) for i in ids]
                 more = {n: pa.array([f[k].astype(np.int32) for f in found], pa.list_(pa.int32())) for k, n in enumerate(("starts", "ends"))}
             yield with_columns(batch, ["url"], ids=pa.array(ids, pa.binary()), n_tokens=pa.array([len(i) // 4 for i in ids], pa.int64()), **more)
+        bpe.pieces.clear()
 
     return keep.mapInArrow(run, T.StructType(fields + spans))
 

@@ -89,6 +89,7 @@ def text_pieces(crawled_pages: DataFrame, ranks_path: str, pattern: str, row_tok
                     ids.append(part.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("url").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()),
                                               pa.array(n, pa.int32()), pa.array(ids, pa.binary())], names=["url", "piece", "n", "ids"])
+        bpe.pieces.clear()
 
     return crawled_pages.select("url", "text").mapInArrow(run, schema)
 
