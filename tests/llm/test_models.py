@@ -52,12 +52,12 @@ def test_language_without_examples(spark):
 
 def test_longer_parts_first():
     m = language_id.LanguageModel(["a", "b"], {"xyz": 0}, np.array([[-1.0, -2.0]]),
-                                  {n: {} for n in range(1, 6)} | {3: {"<xy": 0}, 1: {"x": 0, "q": 1}},
-                                  {n: np.zeros((0, 2)) for n in range(1, 6)} | {3: np.array([[-5.0, -1.0]]), 1: np.array([[0.0, -9.0], [-3.0, -9.0]])})
-    assert m.score("xyz").tolist() == [-1.0, -2.0]
-    assert m.score("xyw").tolist() == [-5.0, -1.0]
-    assert m.score("xq").tolist() == [-1.5, -9.0]
-    assert m.score("ww").tolist() == [0.0, 0.0]
+                                  {n: {} for n in range(1, 5)} | {3: {"<xy": 0}, 1: {"x": 0, "q": 1}},
+                                  {n: np.zeros((0, 2)) for n in range(1, 5)} | {3: np.array([[-5.0, -1.0]]), 1: np.array([[0.0, -9.0], [-3.0, -9.0]])})
+    assert m.predict("xyz xyz")[0] == "a"
+    assert m.unseen("xyw").tolist() == [-5.0, -1.0] and m.predict("xyw")[0] == "b"
+    assert m.unseen("xq").tolist() == [-1.5, -9.0]
+    assert m.unseen("ww").tolist() == [0.0, 0.0] and m.unseen("²") is None
 
 
 def test_block_max_is_exact():

@@ -1,7 +1,7 @@
 """Language of a page by words first, with back-off to shorter and shorter character n-grams.
 
 A word of the lexicon counts with its log frequency in each language. A word outside it is looked up by its n-grams
-of the longest length for which at least one is known (five letters, then four, down to one; word ends are marked) and
+of the longest length for which at least one is known (four letters, then three, down to one; word ends are marked) and
 counts with their mean log frequency. Frequencies come from a bounded sample of pages of known language; every page
 is then read whole. The model is a few arrays of bounded size that all executors get.
 """
@@ -23,8 +23,9 @@ from vitrine.llm.columns import sliced, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
-LONGEST = 5
-CACHE_WORDS = 300_000
+LONGEST = 4
+#: Scores of unseen words that a worker keeps.
+CACHE_WORDS = 50_000
 
 
 def words_of(text: str) -> list[str]:
@@ -47,10 +48,8 @@ class LanguageModel:
     part_scores: dict[int, np.ndarray]
     seen: dict[str, np.ndarray | None] = field(default_factory=dict)
 
-    def _score(self, word: str) -> np.ndarray | None:
-        row = self.words.get(word)
-        if row is not None:
-            return self.word_scores[row]
+    def back_off(self, word: str) -> np.ndarray | None:
+        """Score of a word outside the lexicon; None without a letter."""
         if not any(c.isalpha() for c in word):
             return None
         for n in range(LONGEST, 0, -1):
@@ -59,27 +58,31 @@ class LanguageModel:
                 return self.part_scores[n][rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
-    def score(self, word: str) -> np.ndarray | None:
-        try:
-            return self.seen[word]
-        except KeyError:
+    def unseen(self, word: str) -> np.ndarray | None:
+        if word not in self.seen:
             if len(self.seen) >= CACHE_WORDS:
                 self.seen.clear()
-            out = self.seen[word] = self._score(word)
-            return out
+            self.seen[word] = self.back_off(word)
+        return self.seen[word]
 
     def predict(self, text: str) -> tuple[str, float]:
         """Language and its share of the posterior, first in alphabetical order on a tie."""
+        if not self.langs:
+            return UNKNOWN, 0.0
         counts = Counter(words_of(text))
-        scores, times = [], []
+        total, scored, rows, times = np.zeros(len(self.langs)), 0, [], []
         for word, n in counts.items():
-            s = self.score(word)
-            if s is not None:
-                scores.append(s)
+            row = self.words.get(word)
+            if row is not None:
+                rows.append(row)
                 times.append(n)
-        if not scores or not self.langs:
+            elif (score := self.unseen(word)) is not None:
+                total += n * score
+                scored += 1
+        if not rows and not scored:
             return UNKNOWN, 0.0
-        total = np.asarray(times, float) @ np.asarray(scores)
+        if rows:
+            total += np.asarray(times, float) @ self.word_scores[rows]
         odds = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
@@ -128,6 +131,7 @@ def fit_languages(known_pages: DataFrame, max_pages: int = 20_000, max_words: in
         for n in parts:
             for g in grams(r["word"], n):
                 parts[n].setdefault(g, np.zeros(len(langs)))[place[r["lang"]]] += r["n"]
+    words = {w: n for w, n in words.items() if any(c.isalpha() for c in w)}
     index, scores = _log_rates(words, smoothing)
     tables = {n: _log_rates(p, smoothing) for n, p in parts.items()}
     return LanguageModel(langs, index, scores, {n: t[0] for n, t in tables.items()}, {n: t[1] for n, t in tables.items()})
