@@ -1,7 +1,7 @@
 """Toxicity of page texts from the nearest reviewed examples.
 
 Examples are pages that reviewers have hidden or published. Their vocabulary is the words, and the first letters of longer words, that occur
-significantly more often in one class than in the other; vectors are TF-IDF over it, scaled to length 1. The nearest examples by
+clearly more often in one class than in the other; vectors are TF-IDF over it, scaled to length 1. The nearest examples by
 cosine are found exactly with a block-max index: examples lie in blocks of 64, each term keeps its largest weight in each block, a
 page's bound for a block is the product with those, and blocks are read from the highest bound on until none can still beat the
 worst neighbour kept. Neighbours vote, nearer ones with more weight, and classes are weighted back to their share among
@@ -130,13 +130,13 @@ class ToxicModel:
         return float((self.prior * self.base + votes @ self.hidden[at]) / (self.prior + votes.sum())), near
 
 
-def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int = 20_000, min_z: float = 5.0, k: int = 15,
-                 prior: float = 1.0) -> ToxicModel:
+def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int = 20_000, min_z: float = 5.0, min_lift: float = 5.0,
+                 min_share: float = 0.015, k: int = 7, prior: float = 1.0) -> ToxicModel:
     """Learn from ``crawled_pages(url, text)`` and ``reviews(url, status)``, status hidden or published; others teach nothing.
 
     ``max_examples`` bounds the sample: equally many of each status where there are enough, by lowest hash of the url, read whole. Terms
-    are counted per task first; only significant ones (``min_z`` in a test of two shares, three examples or more) and the examples' vectors come
-    to the driver. A page without any such term gets the share of hidden among examples without one. Without reviews: 0.
+    are counted per task first, equal texts once; only telling ones and the examples' vectors come to the driver: a term must differ between
+    the statuses by ``min_z`` in a test of two shares and by a factor of ``min_lift``, and stand in ``min_share`` of one of them. A page without any such term gets the share of hidden among examples without one. Without reviews: 0.
     """
     known = reviews.filter(F.col("status").isin("hidden", "published")).select("url", (F.col("status") == "hidden").cast("int").alias("hidden"))
     known = known.groupBy("url").agg(F.max("hidden").alias("hidden"))
@@ -146,6 +146,7 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
         int(min(1.0, half / max(1, sizes.get(0, 0))) * top))
     chosen = F.broadcast(scratch.settled(known.filter(F.pmod(F.xxhash64("url"), F.lit(top)) < cut)))  # at most max_examples narrow rows
     sample = scratch.table(crawled_pages.select("url", "text").join(chosen, "url"), "toxic-examples")
+    once = sample.dropDuplicates(["hidden", "text"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
@@ -156,14 +157,17 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
             yield pa.RecordBatch.from_arrays([pa.array(list(terms), pa.string()), pa.array(list(terms.values()), pa.int64()),
                                               pa.array([hidden] * len(terms), pa.int32())], names=["term", "n", "hidden"])
 
-    counts = {r["hidden"]: r["n"] for r in sample.groupBy("hidden").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["hidden"]: r["n"] for r in once.groupBy("hidden").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
-    by_term = (sample.select("hidden", "text").mapInArrow(count, "term string, n long, hidden int").groupBy("term")
+    by_term = (once.select("hidden", "text").mapInArrow(count, "term string, n long, hidden int").groupBy("term")
                .agg(F.sum(F.when(F.col("hidden") == 1, F.col("n")).otherwise(0)).alias("d1"), F.sum(F.when(F.col("hidden") == 0, F.col("n")).otherwise(0)).alias("d0")))
     both = F.col("d1") + F.col("d0")
     pooled = both / F.lit(n1 + n0)
     z = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    terms = by_term.filter((both >= 3) & (both < n1 + n0) & (F.abs(z) >= min_z)).select("term", both.alias("df")).orderBy("term").collect()
+    share1, share0 = (F.col("d1") + 0.5) / n1, (F.col("d0") + 0.5) / n0
+    tells = (F.abs(z) >= min_z) & (F.greatest(share1, share0) >= min_lift * F.least(share1, share0)) & (
+        F.greatest(F.col("d1") / n1, F.col("d0") / n0) >= min_share)
+    terms = by_term.filter((both >= 3) & (both < n1 + n0) & tells).select("term", both.alias("df")).orderBy("term").collect()
     vocabulary = Vocabulary({r["term"]: i for i, r in enumerate(terms)}, np.array([np.log((n1 + n0) / r["df"]) for r in terms]))
 
     vector_type = "places array<int>, weights array<double>"
@@ -176,7 +180,8 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
 
     schema = T.StructType([*sample.select("url", "hidden").schema.fields, *T._parse_datatype_string(vector_type).fields])
     rows = sample.select("url", "hidden", "text").mapInArrow(vectors, schema).orderBy("url").collect()
-    share = {1: sizes.get(1, 0) / n1, 0: sizes.get(0, 0) / n0}
+    sampled = Counter(r["hidden"] for r in rows)
+    share = {c: sizes.get(c, 0) / max(1, sampled[c]) for c in (0, 1)}
     class_weight = np.array([share[0], share[1]]) / max(1e-12, share[0] + share[1])
     # Examples of like terms lie in one block, so that bounds are tight.
     full = sorted((r for r in rows if r["places"]), key=lambda r: (r["places"][int(np.argmax(r["weights"]))], r["places"], r["url"]))
