@@ -39,6 +39,12 @@ def test_encode_as_tiktoken(bpe, reference):
         assert bpe.decode(ids) == text.encode()
 
 
+def test_packing_encodes_as_tiktoken(reference):
+    encoder = packing.RankEncoder(RANKS, PATTERN)
+    texts = mixed(500, 40) + [t or "" for t in ODD]
+    assert [x.tolist() for x in encoder.encode(texts)] == [reference.encode_ordinary(t) for t in texts]
+
+
 def test_offsets_and_split_characters(bpe):
     for text in mixed(200, 20):
         ids = bpe.encode([text])[0]

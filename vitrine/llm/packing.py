@@ -14,12 +14,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.byte_bpe import loaded
-from vitrine.llm.columns import sliced, texts_of
+from vitrine.llm.byte_bpe import CACHE_PIECES, JOINED, PIECE, read_ranks
+from vitrine.llm.columns import per_process, sliced, texts_of
 
 
 class RoomTree:
@@ -70,17 +71,47 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
     return rows
 
 
+class RankEncoder:
+    """Ids of texts by the tiktoken library. Texts are cut at white space, which the pattern never crosses, and each distinct piece
+    is encoded once; new ones go to the library as one text with line feeds between, whose token tells them apart."""
+
+    def __init__(self, path: str, pattern: str):
+        ranks = read_ranks(path)
+        self.library = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+        self.width = np.uint16 if max(ranks.values()) < (1 << 16) - 1 else np.uint32
+        self.feed = ranks[b"\n"]
+        self.pieces: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode_ordinary(text), self.width)
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.pieces) > CACHE_PIECES:
+            self.pieces.clear()
+        cut = [PIECE.findall(t) for t in texts]
+        new = {p for c in cut for p in c} - self.pieces.keys()
+        words = [p for p in new if not p[-1].isspace()]
+        for at in range(0, len(words), JOINED):
+            some = words[at:at + JOINED]
+            ids = self._ids("\n".join(some))
+            ends = [-1, *np.flatnonzero(ids == self.feed).tolist(), len(ids)]
+            if len(ends) == len(some) + 1:
+                self.pieces.update((piece, ids[a + 1:b].tobytes()) for piece, a, b in zip(some, ends, ends[1:]))
+        for piece in new - self.pieces.keys():
+            self.pieces[piece] = self._ids(piece).tobytes()
+        return [np.frombuffer(b"".join(map(self.pieces.__getitem__, c)), self.width) for c in cut]
+
+
 def text_pieces(crawled_pages: DataFrame, ranks_path: str, pattern: str, row_tokens: int) -> DataFrame:
     """``(url, piece, n, ids)``: the ids of every text in pieces of at most a row, nothing for a text without tokens."""
     schema = T.StructType([crawled_pages.schema["url"], T.StructField("piece", T.IntegerType()), T.StructField("n", T.IntegerType()),
                            T.StructField("ids", T.BinaryType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(ranks_path, pattern)
+        bpe = per_process(("ranks", ranks_path, pattern), lambda: RankEncoder(ranks_path, pattern))
         for batch in sliced(batches):
             row, piece, n, ids = [], [], [], []
-            for i, whole in enumerate(bpe.encode(texts_of(batch))):
-                narrow = np.frombuffer(whole, "<u4").astype(bpe.width)
+            for i, narrow in enumerate(bpe.encode(texts_of(batch))):
                 for k, at in enumerate(range(0, len(narrow), row_tokens)):
                     part = narrow[at:at + row_tokens]
                     row.append(i)
