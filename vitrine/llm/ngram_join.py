@@ -185,6 +185,17 @@ def _may_begin(n: Column, i: Column, m: Column, j: Column, percent: int) -> Colu
     return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (F.least(n - i, m - j) >= needed_overlap(n, m, percent))
 
 
+def _worth_comparing(postings: DataFrame, who: str, percent: int) -> DataFrame:
+    """Entries of lists that name two or more. A list of just two goes if they cannot begin to be similar with this n-gram; most
+    n-grams that unlike texts share by chance are such lists. Lists in parts are judged later."""
+    w = W.partitionBy("h", "part")
+    one = F.struct(who, "n", "i")
+    return (postings.withColumns({"lo": F.min(one).over(w), "hi": F.max(one).over(w), "many": F.count(F.lit(1)).over(w)})
+            .filter((F.col("part") > 0) | ((F.col(f"lo.{who}") != F.col(f"hi.{who}")) & (
+                (F.col("many") > 2) | _may_begin(F.col("lo.n"), F.col("lo.i"), F.col("hi.n"), F.col("hi.i"), percent))))
+            .drop("lo", "hi", "many"))
+
+
 def _distinct(pairs: DataFrame) -> DataFrame:
     """``(a, b, na, nb)`` once per pair, however many lists it stands in."""
     return pairs.groupBy("a", "b").agg(F.min("na").alias("na"), F.min("nb").alias("nb"))
@@ -245,12 +256,10 @@ def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75,
     groups = sets.select(F.col("url").alias("rep"), "groups")
 
     # Prefix n-grams that more than one page lists, then those that more than one set lists.
-    postings = sets.select("url", "n", F.posexplode("prefix").alias("i", "p")).select("url", "n", "i", "p.h", "p.part")
     w = W.partitionBy("h", "part")
-    listed = (postings.withColumn("lo", F.min("url").over(w)).withColumn("hi", F.max("url").over(w))
-              .filter("lo <> hi or part > 0").drop("lo", "hi"))
-    lists = (listed.join(members.select("url", "rep"), "url").select("h", "part", "rep", "n", "i").distinct()
-             .withColumn("lo", F.min("rep").over(w)).withColumn("hi", F.max("rep").over(w)).filter("lo <> hi or part > 0").drop("lo", "hi"))
+    postings = sets.select("url", "n", F.posexplode("prefix").alias("i", "p")).select("url", "n", "i", "p.h", "p.part")
+    listed = _worth_comparing(postings, "url", percent)
+    lists = _worth_comparing(listed.join(members.select("url", "rep"), "url").select("h", "part", "rep", "n", "i").distinct(), "rep", percent)
     lists = scratch.table(lists, "ngram-lists")
     weights = lists.groupBy("rep").agg(F.count(F.lit(1)).alias("weight"))
     lists = scratch.table(lists.join(weights, "rep"), "ngram-weighted")
