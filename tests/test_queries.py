@@ -16,6 +16,18 @@ def con():
     return connect(FOLDER)
 
 
+@pytest.fixture(scope="module", autouse=True)
+def generated_code(spark):
+    """Queries run as they do in production; the other tests skip the compiler (see conftest)."""
+    wanted = {"spark.sql.codegen.wholeStage": "true", "spark.sql.codegen.factoryMode": "FALLBACK"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(spark, con, name):
     assert name in workload.ORACLES
