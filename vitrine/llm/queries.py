@@ -43,11 +43,54 @@ def url_outcomes(spark: SparkSession, folder: str) -> DataFrame:
     return pages.withColumn("doc_id", number).join(labels, "doc_id").select("url", "usable")
 
 
-@query()
+_HOST_PARTS = """
+  case when array_to_string(string_split(host, '.')[-2:], '.') in ('co.th', 'in.th', 'or.th', 'ac.th', 'go.th', 'co.uk', 'com.au', 'co.jp')
+    then array_to_string(string_split(host, '.')[-2:], '.') else string_split(host, '.')[-1] end as suffix,
+  case when array_to_string(string_split(host, '.')[-2:], '.') in ('co.th', 'in.th', 'or.th', 'ac.th', 'go.th', 'co.uk', 'com.au', 'co.jp')
+    then array_to_string(string_split(host, '.')[-3:], '.') else array_to_string(string_split(host, '.')[-2:], '.') end as domain"""
+_STRENGTH = """(select case when count(*) - count(distinct m) < 2 then 2.0 when not sum((n - 1) * m * (1 - m)) > 0 then 1000.0
+    when sum(n * (good / n - m) ** 2) <= sum(m * (1 - m)) then 1000.0
+    else least(1000.0, greatest(2.0, sum((n - 1) * m * (1 - m)) / (sum(n * (good / n - m) ** 2) - sum(m * (1 - m))) - 1)) end as k from """
+_BOUND = "round(round(least(1.0, a / (a + b) + 1.645 * sqrt(a / (a + b) * (1 - a / (a + b)) / (a + b + 1))), 9), 6)"
+
+
+def _rule_sql(field: str) -> str:
+    """The rules as CASE, longest prefix first."""
+    tests = []
+    for rule in sorted(RULES, key=lambda r: -len(r.prefix)):
+        name, slash, rest = rule.prefix.partition("/")
+        tests.append(f"when (host = '{name}' or ends_with(host, '.{name}')) and starts_with(path, '{slash + rest}') then '{getattr(rule, field)}'")
+    return "case " + " ".join(tests) + " end"
+
+
+@query(f"""
+with cut as (select page_id, url, strpos(url, '://') as found, substr(url, strpos(url, '://') + 3) as rest from pages),
+p as (select page_id, case when found > 0 then translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') else '' end as host,
+  case when found > 0 then regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) else '' end as path from cut),
+o as (select host, quality from p join labels l on l.doc_id = try_cast(regexp_extract(path, '^/[a-z]+/([0-9]{{1,18}})', 1) as bigint) where quality is not null and host <> ''),
+h0 as (select host, count(*)::double as n, sum(quality)::double as good, {_HOST_PARTS} from o group by host),
+d0 as (select domain, suffix, sum(n) as n, sum(good) as good from h0 group by all),
+s0 as (select suffix, sum(n) as n, sum(good) as good from d0 group by all),
+t as (select (coalesce(sum(good), 0) + 1) / (coalesce(sum(n), 0) + 2) as m from s0),
+s1 as (select s0.*, m from s0, t), ks as {_STRENGTH} s1),
+s2 as (select s1.*, (good + k * m) / (n + k) as rate from s1, ks),
+d1 as (select d0.*, s2.rate as m from d0 join s2 using (suffix)), kd as {_STRENGTH} d1),
+d2 as (select d1.*, (good + k * m) / (n + k) as rate from d1, kd),
+h1 as (select h0.*, d2.rate as m from h0 join d2 using (domain)), kh as {_STRENGTH} h1),
+ab as (select 'host' as level, host as name, good + k * m as a, n - good + k * (1 - m) as b from h1, kh
+  union all select 'domain', domain, k * rate, k * (1 - rate) from d2, kh union all select 'suffix', suffix, k * rate, k * (1 - rate) from s2, kd
+  union all select 'all', '', k * m, k * (1 - m) from t, ks),
+bounds as (select level, name, {_BOUND} as bound from ab),
+named as (select *, {_HOST_PARTS} from p),
+judged as (select page_id, host, path, {_rule_sql("prefix")} as rule, {_rule_sql("verdict")} as ruled,
+  coalesce(bh.bound, bd.bound, bs.bound, (select bound from bounds where level = 'all')) as usable_bound from named
+  left join bounds bh on bh.level = 'host' and bh.name = host left join bounds bd on bd.level = 'domain' and bd.name = domain
+  left join bounds bs on bs.level = 'suffix' and bs.name = suffix)
+select page_id, host, path, rule, coalesce(ruled, case when usable_bound < 0.5 then 'block' else 'allow' end) as verdict, usable_bound from judged""")
 def op1_url_reputation(spark: SparkSession, folder: str) -> DataFrame:
     pages = spark.read.parquet(f"{folder}/pages.parquet").select(F.col("page_id").alias("key"), "url")
     judged = host_reputation.judge_urls(pages, url_outcomes(spark, folder), RULES)
-    return judged.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", "usable_bound")
+    return judged.select(F.col("key").alias("page_id"), "host", "path", "rule", "verdict", F.round("usable_bound", 6).alias("usable_bound"))
 
 
 @query()
