@@ -34,6 +34,13 @@ def test_odd_tables(spark):
     assert exact_dedup.dedup_pages(no_pages(spark)).count() == 0
 
 
+def test_null_urls(spark):
+    frame = spark.createDataFrame([(None, "a"), (4, "A"), (None, "b")], "url long, text string")
+    got = sorted((r["digest"], str(r["url"]), r["kept"]) for r in exact_dedup.dedup_pages(frame).collect())
+    a, b = (hashlib.sha256(t).hexdigest() for t in (b"a", b"b"))
+    assert got == sorted([(a, "None", False), (a, "4", True), (b, "None", True)])
+
+
 def test_texts_behind_a_digest_are_compared(spark):
     frame = pages(spark, ["one", "two", "one"])
     state = frame.selectExpr("sha2(cast(text as binary), 256) as digest").distinct().selectExpr("digest", "2L as copies")

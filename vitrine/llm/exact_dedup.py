@@ -83,7 +83,7 @@ def dedup_pages(crawled_pages: DataFrame, files_per_batch: int = 1000) -> DataFr
 
     Texts are equal if identical after lower-casing A-Z; a null text equals the empty one. Of equal texts the page with the largest
     url stays. Rows that repeat a url as well as its text count as copies and are all marked kept or not by that url; urls are
-    expected to be unique. Texts of any length are compared whole. Extra columns are not read. Empty table: empty result.
+    expected to be unique, and one that is null stays only where its group has no other. Texts of any length are compared whole. Extra columns are not read. Empty table: empty result.
     """
     spark = crawled_pages.sparkSession
     pages = crawled_pages.select("url", "text")
@@ -101,7 +101,7 @@ def dedup_pages(crawled_pages: DataFrame, files_per_batch: int = 1000) -> DataFr
         out = narrow.join(groups, "digest")
     else:
         out = _by_text(pages)
-    return out.select("url", "keep", "group_size", (F.col("url") == F.col("keep")).alias("kept"), "digest")
+    return out.select("url", "keep", "group_size", F.col("url").eqNullSafe(F.col("keep")).alias("kept"), "digest")
 
 
 def _by_text(pages: DataFrame) -> DataFrame:
