@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from vitrine.llm.columns import per_process, sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, per_process, sliced, texts_of, with_columns
 
 #: White space as the split pattern means it (the Unicode property, not Python's wider idea of it).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -115,7 +115,7 @@ def encode_pages(crawled_pages: DataFrame, ranks_path: str, pattern: str, offset
     ids; texts are encoded whole; repeated rows stay; extra columns are not read; an empty table gives an empty result.
     The rank file must be readable at ``ranks_path`` wherever Python workers run.
     """
-    keep = crawled_pages.select("url", "text")
+    keep = in_small_batches(crawled_pages.select("url", "text"))
     fields = [keep.schema["url"], T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
     spans = [T.StructField(n, T.ArrayType(T.IntegerType())) for n in ("starts", "ends")] if offsets else []
 
@@ -143,4 +143,4 @@ def decode_pages(encoded_pages: DataFrame, ranks_path: str, pattern: str) -> Dat
         for batch in sliced(batches):
             yield with_columns(batch, keep, decoded=pa.array([bpe.decode(i or b"") for i in batch.column("ids").to_pylist()], pa.binary()))
 
-    return encoded_pages.select(*keep).mapInArrow(run, schema)
+    return in_small_batches(encoded_pages).select(*keep).mapInArrow(run, schema)

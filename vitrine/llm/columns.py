@@ -7,9 +7,19 @@ from collections.abc import Callable, Iterable, Iterator
 from typing import Any
 
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
 #: Rows whose texts are Python strings at one time.
 SLICE_ROWS = 256
+#: Rows that go to a Python worker together. Spark's default of 10,000 is for narrow rows; with texts it holds hundreds of megabytes
+#: in each task, once on either side.
+BATCH_ROWS = 1_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """``df``, after telling its session to keep batches of whole texts small."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
 
 
 def sliced(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from vitrine.llm import scratch
 from vitrine.llm.bit_field import bit_field
-from vitrine.llm.columns import sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 
 #: Sentence ends, numbers (also with a unit written onto them), and words, product codes among them.
 TOKEN = re.compile(r"[.!?]|\n\s*\n|\d+(?:[.,]\d+)*(?=(?:[^\W\d_]{1,3})?(?![^\W_]))|[^\W_]+")
@@ -127,7 +127,7 @@ def template_windows(texts: DataFrame, key: str, lengths: Sequence[int] | None,
                  pa.array(slots, pa.list_(pa.int64())), pa.array(long, pa.int32()), pa.array(totals, pa.int32())],
                 names=[key, "h", "at", "slots", "length", "total"])
 
-    return texts.select(key, "text").mapInArrow(run, schema)
+    return in_small_batches(texts.select(key, "text")).mapInArrow(run, schema)
 
 
 def _marked(windows: DataFrame, bits: int) -> np.ndarray:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from vitrine.llm.columns import sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -102,7 +102,7 @@ def fit_languages(known_pages: DataFrame, max_pages: int = 20_000, max_words: in
     ``max_words`` bounds the lexicon of one language to its most frequent words (ties in alphabetical order).
     Words are counted per task first. No known page: a model that answers ``und``.
     """
-    known = known_pages.select("url", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    known = in_small_batches(known_pages).select("url", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
@@ -144,7 +144,7 @@ def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFr
     whose letters the model has never seen gets the first language with an even score. Texts of any length are read whole; extra
     columns are not read; an empty table gives an empty result.
     """
-    keep = crawled_pages.select("url", "text")
+    keep = in_small_batches(crawled_pages.select("url", "text"))
     shared = keep.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([keep.schema["url"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
@@ -159,7 +159,7 @@ def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFr
 
 def with_language(pages: DataFrame, model: LanguageModel) -> DataFrame:
     """``(page, lang_pred, score)`` with the whole row of ``pages`` as the struct ``page``, so that no column name clashes."""
-    whole = pages.select(F.struct(*[pages[c] for c in pages.columns]).alias("page"))
+    whole = in_small_batches(pages).select(F.struct(*[pages[c] for c in pages.columns]).alias("page"))
     shared = pages.sparkSession.sparkContext.broadcast(model)
     schema = T.StructType([whole.schema["page"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 

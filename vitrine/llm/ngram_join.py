@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from vitrine.llm import scratch
 from vitrine.llm.bit_field import bit_field, place
-from vitrine.llm.columns import sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 from vitrine.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -245,7 +245,7 @@ def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75,
     are linked; rows that repeat a url stay. Texts are read whole, extra columns are not read, an empty table gives an empty
     result. ``draws`` is the number of sets that each list draws in the second round. Urls must be unique and not null.
     """
-    pages = crawled_pages.select("url", "text")
+    pages = in_small_batches(crawled_pages.select("url", "text"))
     counts = corpus_counts(pages, words, count_bits)
     sets = scratch.table(page_sets(pages, counts, words, percent, count_bits, hot_rows), "ngram-sets")
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm.byte_bpe import CACHE_PIECES, JOINED, PIECE, read_ranks
-from vitrine.llm.columns import per_process, sliced, texts_of
+from vitrine.llm.columns import in_small_batches, per_process, sliced, texts_of
 
 
 class RoomTree:
@@ -137,7 +137,7 @@ def pack_pages(crawled_pages: DataFrame, ranks_path: str, pattern: str, row_toke
     lengths are packed in the order of url and piece; repeated rows are packed as often as they occur. Extra columns are not
     read. Empty table: empty result.
     """
-    keep = crawled_pages.select("url", "text")
+    keep = in_small_batches(crawled_pages.select("url", "text"))
     total = keep.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // shard_bytes) or 1
     pieces = text_pieces(keep, ranks_path, pattern, row_tokens).withColumn("shard", F.pmod(F.xxhash64("url", "piece"), F.lit(shards)).cast("int"))

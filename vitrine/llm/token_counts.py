@@ -17,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import per_process, sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, per_process, sliced, texts_of, with_columns
 
 MARK = "▁"
 
@@ -94,7 +94,7 @@ def count_tokens(crawled_pages: DataFrame, model_path: str, chunk_chars: int = 2
     Repeated rows stay, extra columns are not read, an empty table gives an empty result. The model must be readable
     at ``model_path`` wherever Python workers run.
     """
-    keep = crawled_pages.select("url", "text")
+    keep = in_small_batches(crawled_pages.select("url", "text"))
     schema = T.StructType([keep.schema["url"], T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm import scratch
-from vitrine.llm.columns import sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -145,7 +145,7 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
     cut = F.when(F.col("hidden") == 1, int(min(1.0, half / max(1, sizes.get(1, 0))) * top)).otherwise(
         int(min(1.0, half / max(1, sizes.get(0, 0))) * top))
     chosen = F.broadcast(scratch.settled(known.filter(F.pmod(F.xxhash64("url"), F.lit(top)) < cut)))  # at most max_examples narrow rows
-    sample = scratch.table(crawled_pages.select("url", "text").join(chosen, "url"), "toxic-examples")
+    sample = scratch.table(in_small_batches(crawled_pages).select("url", "text").join(chosen, "url"), "toxic-examples")
     once = sample.dropDuplicates(["hidden", "text"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,7 +202,7 @@ def score_pages(crawled_pages: DataFrame, model: ToxicModel) -> DataFrame:
     Null and empty texts, and texts without a term of the vocabulary, get the base score and no evidence. Repeated rows stay and are scored alike,
     texts are read whole, extra columns are not read, an empty table gives an empty result.
     """
-    keep = crawled_pages.select("url", "text")
+    keep = in_small_batches(crawled_pages.select("url", "text"))
     shared = keep.sparkSession.sparkContext.broadcast(model)
     url = keep.schema["url"]
     evidence = T.ArrayType(T.StructType([T.StructField("url", url.dataType), T.StructField("cosine", T.DoubleType())]))
