@@ -110,6 +110,36 @@ def test_toxicity_without_reviews(spark):
     assert {x["score"] for x in toxic_neighbours.score_pages(odd_pages(spark), m).collect()} == {0.0}
 
 
+def test_toxicity_of_copies_without_telling_words(spark):
+    frame = reviewed(spark, ["awful", "horridness", "horridly"]).filter("url < 160")
+    rare = "one sentence that holds none of those terms"
+    more = spark.createDataFrame([(900, rare, "hidden"), (901, rare, None), (902, "those terms are sold here", None), (903, "unheard", None)], frame.schema)
+    frame = frame.unionByName(more)
+    m = toxic_neighbours.fit_examples(frame.select("url", "text"), frame.select("url", "status"))
+    got = {x["url"]: x for x in toxic_neighbours.score_pages(frame, m).collect()}
+    assert got[901]["score"] >= 0.3 and [e["url"] for e in got[901]["evidence"]] == [900] and got[901]["evidence"][0]["cosine"] > 1 - 1e-9
+    assert [e["url"] for e in got[902]["neighbours"]] == [900] and got[903]["neighbours"] == [] and got[903]["score"] == m.base
+    assert all(len(x["neighbours"]) == 7 for x in got.values() if x["url"] < 160)
+    assert len(m.urls) == 161
+
+
+def test_block_max_with_frequent_and_rare_terms():
+    r, n = np.random.default_rng(3), 900
+    vectors = []
+    for _ in range(1500):
+        p = np.unique(np.minimum(n - 1, r.zipf(1.3, 80) - 1))
+        w = r.random(len(p)) + 0.01
+        vectors.append((p, w / np.sqrt((w * w).sum())))
+    index = toxic_neighbours.BlockMaxIndex(vectors, n)
+    dense = np.zeros((1500, n))
+    for i, (p, w) in enumerate(vectors):
+        dense[i, p] = w
+    assert 0 < len(index.matrix) < n
+    for (p, w), got in zip(vectors[:80], index.nearest_of(vectors[:80], 7)):
+        best = sorted(((round(c, 9), -i) for i, c in enumerate(dense[:, p] @ w) if c > 0), reverse=True)[:7]
+        assert [(round(c, 9), -i) for c, i in got] == best
+
+
 def test_quality(spark):
     r = random.Random(6)
     rows = []

@@ -101,7 +101,7 @@ def op2_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     found = toxic_neighbours.score_pages(pages_of(spark, folder), model)
     return found.select(F.col("url").alias("doc_id"), (fold("url", 4) == 2).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"),
-                        F.transform("evidence", lambda e: e["url"]).alias("neighbours"))
+                        F.transform("neighbours", lambda e: e["url"]).alias("neighbours"))
 
 
 @query()

@@ -1,18 +1,22 @@
 """Toxicity of page texts from the nearest reviewed examples.
 
-Examples are pages that reviewers have hidden or published. Their vocabulary is the words, and the first letters of longer words, that occur
-clearly more often in one class than in the other; vectors are TF-IDF over it, scaled to length 1. The nearest examples by
-cosine are found exactly with a block-max index: examples lie in blocks of 64, each term keeps its largest weight in each block, a
-page's bound for a block is the product with those, and blocks are read from the highest bound on until none can still beat the
-worst neighbour kept. Neighbours vote, nearer ones with more weight, and classes are weighted back to their share among
-all reviews, so that the score is a probability. The neighbours are returned as evidence.
+Examples are pages that reviewers have hidden or published. Their vocabulary is all their words, and the first letters of longer words; vectors
+are TF-IDF over it, scaled to length 1. A term that occurs clearly more often in one class than in the other weighs more, none is left out.
+The nearest examples by cosine are found exactly with a block-max index: examples lie in blocks of 64, and each term keeps its largest weight in each block.
+A
+page's bound for a block is the product with those, plus what the most frequent terms give there at most, which a matrix tells for many pages at once;
+blocks are read from the highest bound on until none can still beat the worst neighbour kept, and what may be among the nearest is compared in full. Neighbours vote, nearer ones with more weight, and
+classes are weighted back to their share among all reviews, so that the score is a probability. All neighbours are returned, and the hidden ones
+among them as evidence.
 """
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +30,10 @@ from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
 BLOCK = 64
+#: So many of the most frequent terms, of those that one in so many examples holds, are a matrix instead of lists. Results do not depend on it.
+COMMON, FREQUENT = 768, 32
+#: The matrix is in single precision: cosines from it are off by less than this. What may be among the nearest is compared again in full.
+OFF = 1e-4
 
 
 def terms_of(text: str) -> Counter:
@@ -39,81 +47,151 @@ def terms_of(text: str) -> Counter:
 
 @dataclass
 class Vocabulary:
-    """``place`` of each term, its ``idf``; ``stems`` are the starred terms without the star."""
-
-    place: dict[str, int]
-    idf: np.ndarray
-
-    def __post_init__(self) -> None:
-        self.words = frozenset(t for t in self.place if not t.endswith("*"))
-        self.stems = frozenset(t[:-1] for t in self.place if t.endswith("*"))
+    """``terms``, one a line, and the ``weight`` of each: inverse document frequency times how much it tells. Both are flat, so that they travel
+    in little memory; the place of each term is found where it is used."""
+
+    terms: str
+    weight: np.ndarray
+
+    @cached_property
+    def place(self) -> dict[str, int]:
+        return {t: i for i, t in enumerate(self.terms.split("\n"))} if self.terms else {}
+
+    def counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ascending order and how often each term occurs."""
+        place, counts = self.place.get, {}
+        for word, n in Counter(WORD.findall(text.lower())).items():
+            if (p := place(word)) is not None:
+                counts[p] = n
+            if len(word) > STEM and (p := place(word[:STEM] + "*")) is not None:
+                counts[p] = counts.get(p, 0) + n
+        places, often = np.fromiter(counts.keys(), np.int32, len(counts)), np.fromiter(counts.values(), np.int32, len(counts))
+        order = np.argsort(places)
+        return places[order], often[order]
+
+    def weights(self, places: np.ndarray, often: np.ndarray) -> np.ndarray:
+        return (1 + np.log(often)) * self.weight[places]
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Places in ascending order and weights, of length 1 or empty."""
-        found = WORD.findall(text.lower())
-        distinct = set(found)
-        counts: dict[int, int] = {self.place[w]: found.count(w) for w in distinct & self.words}
-        for word in distinct:
-            if len(word) > STEM and word[:STEM] in self.stems:
-                at = self.place[word[:STEM] + "*"]
-                counts[at] = counts.get(at, 0) + found.count(word)
-        places = np.array(sorted(counts), np.int64)
-        weights = np.array([1 + np.log(counts[p]) for p in places.tolist()]) * self.idf[places] if len(places) else np.zeros(0)
+        places, often = self.counts(text)
+        weights = self.weights(places, often)
         return places, weights / np.sqrt((weights * weights).sum()) if len(places) else weights
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them, one after the other."""
+    return np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
+
+
 class BlockMaxIndex:
-    """Inverted lists of unit vectors, in example order, with the largest weight of each term in each block."""
+    """Unit vectors in example order. The most frequent terms are a matrix, the others inverted lists with the largest weight of each term in each
+    block that holds it."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
-        self.size = len(vectors)
+        self._build(np.array([len(p) for p, _ in vectors], np.int64), np.concatenate([np.zeros(0, np.int32), *(p for p, _ in vectors)]).astype(np.int32),
+                    np.concatenate([np.zeros(0), *(w for _, w in vectors)]), terms)
+
+    @classmethod
+    def of(cls, lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> "BlockMaxIndex":
+        """From all vectors one after the other, and how many terms each has."""
+        index = cls.__new__(cls)
+        index._build(lengths, term, weight, terms)
+        return index
+
+    def _build(self, lengths: np.ndarray, term: np.ndarray, weight: np.ndarray, terms: int) -> None:
+        self.lengths, self.term, self.weight, self.terms, self.size = lengths, term, weight, terms, len(lengths)
         self.blocks = -(-self.size // BLOCK)
-        example = np.repeat(np.arange(self.size), [len(p) for p, _ in vectors])
-        term = np.concatenate([np.zeros(0, np.int64), *(p for p, _ in vectors)])
-        weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        order = np.lexsort((example, term))
-        self.example, self.weight = example[order], weight[order]
-        key = term[order] * max(1, self.blocks) + self.example // BLOCK
-        #: List of term t in block b: from starts[t * blocks + b] to the next.
-        self.starts = np.searchsorted(key, np.arange(terms * max(1, self.blocks) + 1))
-        self.most = np.zeros((terms, max(1, self.blocks)))
-        np.maximum.at(self.most.reshape(-1), key, self.weight)
+        self.begins = np.cumsum(lengths) - lengths
+        held_by = np.bincount(term, minlength=terms)
+        common = np.argsort(-held_by, kind="stable")[:COMMON]
+        common = common[held_by[common] * FREQUENT > self.size]
+        self.column = np.full(terms, -1, np.int32)
+        self.column[common] = np.arange(len(common))
+        example, column = np.repeat(np.arange(self.size, dtype=np.int32), lengths), self.column[term]
+        self.matrix = np.zeros((len(common), self.blocks * BLOCK), np.float32)
+        self.matrix[column[column >= 0], example[column >= 0]] = weight[column >= 0]
+        rest = np.flatnonzero(column < 0)
+        rest = rest[np.argsort(term[rest], kind="stable")]
+        held, self.example, self.listed = term[rest], example[rest], weight[rest].astype(np.float32)
+        block = self.example // BLOCK
+        begins = np.flatnonzero(np.concatenate([[True], (held[1:] != held[:-1]) | (block[1:] != block[:-1])])) if len(held) else np.zeros(0, np.int64)
+        self.block, self.most = block[begins], np.maximum.reduceat(self.listed, begins) if len(begins) else np.zeros(0, np.float32)
+        #: List i, of one term in one block: from starts[i] to the next. Lists of term t: from lists[t] to the next.
+        self.starts = np.append(begins, len(held))
+        self.lists = np.searchsorted(held[begins], np.arange(terms + 1))
+        self.page = np.zeros(terms)
 
     def nearest(self, places: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The ``k`` examples of the largest positive cosine, ties by example number."""
-        if not self.size or not len(places):
+        return self.nearest_of([(places, weights)], k)[0]
+
+    def nearest_of(self, pages: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[list[tuple[float, int]]]:
+        """``nearest`` of several pages: their frequent terms are one product of matrices."""
+        if not self.size:
+            return [[] for _ in pages]
+        out: list[list[tuple[float, int]]] = []
+        for at in range(0, len(pages), BLOCK):
+            few = pages[at:at + BLOCK]
+            asked = np.zeros((len(few), len(self.matrix)), np.float32)
+            for i, (places, weights) in enumerate(few):
+                column = self.column[places]
+                asked[i, column[column >= 0]] = weights[column >= 0]
+            out += [self._nearest(places, weights, common, k) for (places, weights), common in zip(few, asked @ self.matrix)]
+        return out
+
+    def _nearest(self, places: np.ndarray, weights: np.ndarray, common: np.ndarray, k: int) -> list[tuple[float, int]]:
+        if not len(places):
             return []
-        bounds = weights @ self.most[places]
+        rare = self.column[places] < 0
+        own, force = places[rare], weights[rare]
+        many = self.lists[own + 1] - self.lists[own]
+        lists, force = _ranges(self.lists[own], many), np.repeat(force, many)
+        block = self.block[lists]
+        bounds = common.reshape(-1, BLOCK).max(axis=1) + np.bincount(block, weights=force * self.most[lists], minlength=self.blocks)
         order = np.argsort(-bounds, kind="stable")
         order = order[:np.count_nonzero(bounds > 0)]
-        found, scores, done, step, worst = np.zeros(0, np.int64), np.zeros(0), 0, 4, 0.0
-        while done < len(order) and (len(found) < k or bounds[order[done]] >= worst - 1e-9):
-            more = self._scores(places, weights, order[done:done + step])
-            done, step = done + step, 2 * step
-            found, scores = np.concatenate([found, more[0]]), np.concatenate([scores, more[1]])
+        found, scores, done, step = np.zeros(0, np.int64), np.zeros(0), 0, 8
+        self.page[places] = weights
+        while done < len(order) and (len(found) < k or bounds[order[done]] >= scores[-1] - OFF):
+            read = order[done:done + step]
+            if len(found) == k:
+                read = read[bounds[read] >= scores[-1] - OFF]
+            slot = np.full(self.blocks, -1)
+            slot[read] = np.arange(len(read))
+            here = np.flatnonzero(slot[block] >= 0)
+            first, size = self.starts[lists[here]], self.starts[lists[here] + 1] - self.starts[lists[here]]
+            rows = _ranges(first, size)
+            example = self.example[rows]
+            sums = common.reshape(-1, BLOCK)[read].ravel() + np.bincount(
+                slot[example // BLOCK] * BLOCK + example % BLOCK, weights=np.repeat(force[here], size) * self.listed[rows], minlength=len(read) * BLOCK)
+            # The best k of these and what single precision cannot tell from them, compared in full.
+            least = max(0.0, np.partition(sums, -k)[-k] - 2 * OFF if k <= len(sums) else 0.0, scores[-1] - 2 * OFF if len(found) == k else 0.0)
+            at = np.flatnonzero((sums >= least) & (sums > 0))
+            more = read[at // BLOCK] * BLOCK + at % BLOCK
+            exact = self._scores(more)
+            found, scores = np.concatenate([found, more]), np.concatenate([scores, exact])
             keep = np.lexsort((found, -np.round(scores, 9)))[:k]
             found, scores = found[keep], scores[keep]
-            worst = scores[-1] if len(scores) else 0.0
+            done, step = done + step, 8 * step
+        self.page[places] = 0.0
         return list(zip(scores.tolist(), found.tolist()))
 
-    def _scores(self, places: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Examples of these blocks with a positive cosine, exactly: the lists of all terms in them, added up by example."""
-        at = (places[:, None] * self.blocks + blocks[None, :]).ravel()
-        first, size = self.starts[at], self.starts[at + 1] - self.starts[at]
-        rows = np.arange(size.sum()) + np.repeat(first - np.cumsum(size) + size, size)
-        example = self.example[rows]
-        slot = np.empty(self.blocks, np.int64)
-        slot[blocks] = np.arange(len(blocks))
-        sums = np.bincount(slot[example // BLOCK] * BLOCK + example % BLOCK, weights=np.repeat(np.repeat(weights, len(blocks)), size) * self.weight[rows],
-                           minlength=len(blocks) * BLOCK)
-        hit = np.flatnonzero(sums > 0)
-        return blocks[hit // BLOCK] * BLOCK + hit % BLOCK, sums[hit]
+    def _scores(self, examples: np.ndarray) -> np.ndarray:
+        """Cosines of these examples with the page, over all their terms."""
+        long = self.lengths[examples]
+        rows = _ranges(self.begins[examples], long)
+        return np.bincount(np.repeat(np.arange(len(examples)), long), weights=self.weight[rows] * self.page[self.term[rows]], minlength=len(examples))
 
 
 @dataclass
 class ToxicModel:
+    """Examples as the places and counts of their terms, one after the other; the index is made from them where it is used."""
+
     vocabulary: Vocabulary
-    index: BlockMaxIndex
+    lengths: np.ndarray
+    term: np.ndarray
+    often: np.ndarray
     urls: list
     hidden: np.ndarray
     class_weight: np.ndarray
@@ -121,8 +199,17 @@ class ToxicModel:
     k: int
     prior: float
 
-    def score(self, text: str) -> tuple[float, list[tuple[float, int]]]:
-        near = self.index.nearest(*self.vocabulary.vector(text), self.k)
+    @cached_property
+    def index(self) -> BlockMaxIndex:
+        weight = self.vocabulary.weights(self.term, self.often)
+        if len(self.lengths):
+            weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, np.cumsum(self.lengths) - self.lengths)), self.lengths)
+        return BlockMaxIndex.of(self.lengths, self.term, weight, len(self.vocabulary.weight))
+
+    def score(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]]]]:
+        return [self._vote(near) for near in self.index.nearest_of([self.vocabulary.vector(t) for t in texts], self.k)]
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list[tuple[float, int]]]:
         if not near:
             return self.base, []
         at = np.array([i for _, i in near])
@@ -130,13 +217,14 @@ class ToxicModel:
         return float((self.prior * self.base + votes @ self.hidden[at]) / (self.prior + votes.sum())), near
 
 
-def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int = 20_000, min_z: float = 5.0, min_lift: float = 5.0,
-                 min_share: float = 0.015, k: int = 7, prior: float = 1.0) -> ToxicModel:
+def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int = 20_000, k: int = 7, prior: float = 1.0) -> ToxicModel:
     """Learn from ``crawled_pages(url, text)`` and ``reviews(url, status)``, status hidden or published; others teach nothing.
 
     ``max_examples`` bounds the sample: equally many of each status where there are enough, by lowest hash of the url, read whole. Terms
-    are counted per task first, equal texts once; only telling ones and the examples' vectors come to the driver: a term must differ between
-    the statuses by ``min_z`` in a test of two shares and by a factor of ``min_lift``, and stand in ``min_share`` of one of them. A page without any such term gets the share of hidden among examples without one. Without reviews: 0.
+    are counted per task first, equal texts once; all terms and the examples' vectors come to the driver, so both are bounded by the sample.
+    A term's weight is its inverse document frequency times the factor by which it is at least more frequent in one status than in the
+    other: the lower bound of that factor, two standard errors off, and 1 for a term that tells nothing. A page without any known term gets the
+    share of hidden among examples without one. Without reviews: 0.
     """
     known = reviews.filter(F.col("status").isin("hidden", "published")).select("url", (F.col("status") == "hidden").cast("int").alias("hidden"))
     known = known.groupBy("url").agg(F.max("hidden").alias("hidden"))
@@ -161,30 +249,35 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
     n1, n0 = max(1, counts.get(1, 0)), max(1, counts.get(0, 0))
     by_term = (once.select("hidden", "text").mapInArrow(count, "term string, n long, hidden int").groupBy("term")
                .agg(F.sum(F.when(F.col("hidden") == 1, F.col("n")).otherwise(0)).alias("d1"), F.sum(F.when(F.col("hidden") == 0, F.col("n")).otherwise(0)).alias("d0")))
-    both = F.col("d1") + F.col("d0")
-    pooled = both / F.lit(n1 + n0)
-    z = (F.col("d1") / n1 - F.col("d0") / n0) / F.sqrt(pooled * (1 - pooled) * (1 / n1 + 1 / n0))
-    share1, share0 = (F.col("d1") + 0.5) / n1, (F.col("d0") + 0.5) / n0
-    tells = (F.abs(z) >= min_z) & (F.greatest(share1, share0) >= min_lift * F.least(share1, share0)) & (
-        F.greatest(F.col("d1") / n1, F.col("d0") / n0) >= min_share)
-    terms = by_term.filter((both >= 3) & (both < n1 + n0) & tells).select("term", both.alias("df")).orderBy("term").collect()
-    vocabulary = Vocabulary({r["term"]: i for i, r in enumerate(terms)}, np.array([np.log((n1 + n0) / r["df"]) for r in terms]))
-
-    vector_type = "places array<int>, weights array<double>"
+    terms = by_term.orderBy("term").toArrow()
+    d1, d0 = (np.asarray(terms.column(c).to_numpy(), float) for c in ("d1", "d0"))
+    lift = np.abs(np.log((d1 + 0.5) / n1) - np.log((d0 + 0.5) / n0)) - 2 * np.sqrt(1 / (d1 + 0.5) + 1 / (d0 + 0.5))
+    vocabulary = Vocabulary("\n".join(terms.column("term").to_pylist()), np.log(1 + (n1 + n0) / (d1 + d0)) * np.exp(np.maximum(0.0, lift)))
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [vocabulary.vector(t) for t in texts_of(batch)]
-            yield with_columns(batch, ["url", "hidden"], places=pa.array([p.astype(np.int32) for p, _ in found], pa.list_(pa.int32())),
-                               weights=pa.array([w for _, w in found], pa.list_(pa.float64())))
+            found = [known_terms.value.counts(t) for t in texts_of(batch)]
+            yield with_columns(batch, ["url", "hidden"], places=pa.array([p.tobytes() for p, _ in found], pa.binary()),
+                               often=pa.array([zlib.compress(n.tobytes(), 1) for _, n in found], pa.binary()))
 
-    schema = T.StructType([*sample.select("url", "hidden").schema.fields, *T._parse_datatype_string(vector_type).fields])
+    known_terms = sample.sparkSession.sparkContext.broadcast(vocabulary)
+    schema = T.StructType([*sample.select("url", "hidden").schema.fields, T.StructField("places", T.BinaryType()), T.StructField("often", T.BinaryType())])
     rows = sample.select("url", "hidden", "text").mapInArrow(vectors, schema).orderBy("url").collect()
     sampled = Counter(r["hidden"] for r in rows)
     share = {c: sizes.get(c, 0) / max(1, sampled[c]) for c in (0, 1)}
     class_weight = np.array([share[0], share[1]]) / max(1e-12, share[0] + share[1])
-    # Examples of like terms lie in one block, so that bounds are tight.
-    full = sorted((r for r in rows if r["places"]), key=lambda r: (r["places"][int(np.argmax(r["weights"]))], r["places"], r["url"]))
+    # Examples of like terms lie in one block, so that bounds are tight: by their strongest telling term, their most frequent one, and length.
+    telling, held_by = np.where(lift > 0, vocabulary.weight, 0.0), d1 + d0
+
+    def likeness(row: tuple) -> tuple:
+        places = np.frombuffer(row["places"], np.int32)
+        strong = (1 + np.log(counts_of(row))) * telling[places]
+        return int(places[int(np.argmax(strong))]) if strong.any() else -1, int(places[int(np.argmax(held_by[places]))]), len(places), row["url"]
+
+    def counts_of(row: tuple) -> np.ndarray:
+        return np.frombuffer(zlib.decompress(row["often"]), np.int32)
+
+    full = sorted((r for r in rows if r["places"]), key=likeness)
     blank = [r["hidden"] for r in rows if not r["places"]]
     hidden = np.array([r["hidden"] for r in full], np.int64)
     weight_of_blank = class_weight[blank] if blank else np.zeros(0)
@@ -192,27 +285,33 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
         base = float((weight_of_blank @ np.array(blank)) / weight_of_blank.sum())
     else:
         base = float(sizes.get(1, 0) / max(1, sum(sizes.values())))
-    index = BlockMaxIndex([(np.array(r["places"], np.int64), np.array(r["weights"])) for r in full], len(terms))
-    return ToxicModel(vocabulary, index, [r["url"] for r in full], hidden, class_weight, base, k, prior)
+    lengths = np.array([len(r["places"]) // 4 for r in full], np.int64)
+    term = np.frombuffer(b"".join(r["places"] for r in full), np.int32)
+    often = np.concatenate([np.zeros(0, np.int32), *map(counts_of, full)])
+    return ToxicModel(vocabulary, lengths, term, often, [r["url"] for r in full], hidden, class_weight, base, k, prior)
 
 
 def score_pages(crawled_pages: DataFrame, model: ToxicModel) -> DataFrame:
-    """``crawled_pages(url, text)`` -> ``(url, score, evidence)``: evidence holds the nearest examples' urls and cosines.
+    """``crawled_pages(url, text)`` -> ``(url, score, evidence, neighbours)``: neighbours holds the nearest examples' urls and cosines, evidence the hidden
+    ones among them.
 
-    Null and empty texts, and texts without a term of the vocabulary, get the base score and no evidence. Repeated rows stay and are scored alike,
+    Null and empty texts, and texts without a term of the vocabulary, get the base score and no neighbours. Repeated rows stay and are scored alike,
     texts are read whole, extra columns are not read, an empty table gives an empty result.
     """
     keep = in_small_batches(crawled_pages.select("url", "text"))
     shared = keep.sparkSession.sparkContext.broadcast(model)
     url = keep.schema["url"]
-    evidence = T.ArrayType(T.StructType([T.StructField("url", url.dataType), T.StructField("cosine", T.DoubleType())]))
-    schema = T.StructType([url, T.StructField("score", T.DoubleType()), T.StructField("evidence", evidence)])
+    examples = T.ArrayType(T.StructType([T.StructField("url", url.dataType), T.StructField("cosine", T.DoubleType())]))
+    schema = T.StructType([url, T.StructField("score", T.DoubleType()), T.StructField("evidence", examples), T.StructField("neighbours", examples)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [shared.value.score(t) for t in texts_of(batch)]
+            found = shared.value.score(texts_of(batch))
             kind = pa.list_(pa.struct([("url", batch.schema.field("url").type), ("cosine", pa.float64())]))
-            proof = [[{"url": shared.value.urls[i], "cosine": c} for c, i in near] for _, near in found]
-            yield with_columns(batch, ["url"], score=pa.array([s for s, _ in found], pa.float64()), evidence=pa.array(proof, kind))
+            urls, hidden = shared.value.urls, shared.value.hidden
+            near = [[{"url": urls[i], "cosine": c} for c, i in n] for _, n in found]
+            proof = [[{"url": urls[i], "cosine": c} for c, i in n if hidden[i]] for _, n in found]
+            yield with_columns(batch, ["url"], score=pa.array([s for s, _ in found], pa.float64()), evidence=pa.array(proof, kind),
+                               neighbours=pa.array(near, kind))
 
     return keep.mapInArrow(run, schema)
