@@ -38,3 +38,14 @@ def test_repeated_pages_and_odd_tables(spark, items):
     assert contaminated(odd_pages(spark), items).count() == 0
     assert contaminated(no_pages(spark), items).count() == 0
     assert contaminated(odd_pages(spark), items.filter("slug > 9")).count() == 0
+
+
+def test_finds_copies_of_numbers_and_names_in_any_case(spark):
+    sums = "12 + 7 = 19, 30 - 4 = 26, 5 * 9 = 45, 81 / 3 = 27"
+    names = "die Mutter kauft Brot und Käse beim Bäcker neben dem Bahnhof während der Vater Blumen auf dem Markt am Rathaus der Stadt sucht"
+    items = spark.createDataFrame([(1, sums), (2, names), (3, "Anna Bob Carl Dora"), (4, "Anna Bob Carl")], "slug long, text string")
+    texts = [invented(1, 60) + ". " + sums + ". " + invented(2, 40), names.upper(), names.lower(), names.title(), sums.replace("19", "18").replace("45", "44"),
+             "they met Anna Bob Carl Dora there"]
+    got = {(r["url"], r["slug"]): r for r in contaminated(pages(spark, texts), items).collect()}
+    assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 2), (5, 3)}
+    assert all(r["verbatim"] and r["share"] == 1 for r in got.values())

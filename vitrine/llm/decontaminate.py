@@ -1,7 +1,8 @@
 """Pages that hold a reference text, also with other numbers, names and units in it.
 
 Texts become templates: a number is a placeholder, so is a unit behind a number and a capitalised word that does not begin a sentence; all
-other words are lower-cased. Windows of template tokens are joined by hash. What stands in the slots must then be consistent:
+other words are lower-cased. Windows of template tokens are joined by hash, and beside them windows of the lower-cased tokens with all values
+kept, so that copies are found in any case of letters and however many numbers and names they hold. What stands in the slots must then be consistent:
 within one alignment of page and reference, one value of the reference is always the same value in the page. So a question
 asked again with other parameters is found, and a page that merely has numbers in like places is not.
 
@@ -33,12 +34,14 @@ UNITS = frozenset(
     "meters metres meter metre miles mile pounds pound people items units pieces".split())
 WORD, NUMBER, STOP, UNIT, CAPITAL = range(5)
 CACHE_TOKENS = 500_000
+#: Keeps the hashes of literal windows apart from those of template windows.
+LITERAL = 1 << 32
 _KIND = np.uint64(7)
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Codes(dict):
-    """A token as a 64-bit hash of its lower-cased form with its kind in the last three bits."""
+    """A token as a 64-bit hash of its case-folded form with its kind in the last three bits."""
 
     def __missing__(self, token: str) -> int:
         low = token.lower()
@@ -50,7 +53,7 @@ class _Codes(dict):
             kind = UNIT
         else:
             kind = CAPITAL if token[0].isupper() and token[1:].islower() else WORD
-        out = self[token] = xxhash.xxh3_64_intdigest(low) & ~7 | kind
+        out = self[token] = xxhash.xxh3_64_intdigest(token.casefold()) & ~7 | kind
         return out
 
 
@@ -61,6 +64,10 @@ class Templates:
 
     def of(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Template tokens, and for each the hash of the value in its slot, 0 for a literal word."""
+        return self.both(text)[:2]
+
+    def both(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``of``, and the tokens with their values kept."""
         if len(self.codes) > CACHE_TOKENS:
             self.codes.clear()
         found = TOKEN.findall(text)
@@ -69,20 +76,21 @@ class Templates:
         before = np.concatenate([[STOP], kind[:-1]]) if len(kind) else kind
         slot = {NUMBER: kind == NUMBER, UNIT: (kind == UNIT) & (before == NUMBER), CAPITAL: (kind == CAPITAL) & (before != STOP)}
         token = code & ~_KIND
+        literal = token.copy()
         value = np.zeros(len(code), np.uint64)
         for k, where in slot.items():
             value[where] = token[where] | np.uint64(1)
             token[where] = self.marks[k]
         keep = kind != STOP
-        return token[keep], value[keep]
+        return token[keep], value[keep], literal[keep]
 
 
-def windows_of(token: np.ndarray, value: np.ndarray, length: int, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every window with enough literal words."""
+def windows_of(token: np.ndarray, value: np.ndarray, length: int, min_words: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every window with enough literal words, those of value 0."""
     n = len(token) - length + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    out = np.full(n, length, np.uint64)
+    out = np.full(n, length + seed, np.uint64)
     for i in range(length):
         out = out * _FACTOR + token[i:n + i]
         out ^= out >> np.uint64(31)
@@ -97,35 +105,40 @@ def _place(h: np.ndarray, bits: int) -> np.ndarray:
 
 def template_windows(texts: DataFrame, key: str, lengths: Sequence[int] | None, window: int, min_words: int,
                      field: np.ndarray | None = None, bits: int = 0) -> DataFrame:
-    """``(key, h, at, slots, total)``: slots are the values in the window's slots, total the windows of the text. ``lengths``
-    None takes one length per text: the window, or the whole text if it is shorter."""
+    """``(key, h, at, slots, literal, length, total, places)``: slots are the values in the window's slots, none in a literal window; total is the template
+    windows of the text, places its literal ones. ``lengths`` None takes one length per text: the window, or the whole text if it is shorter."""
     shared = texts.sparkSession.sparkContext.broadcast(field) if field is not None else None
     schema = T.StructType([texts.schema[key], T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()),
-                           T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("length", T.IntegerType()),
-                           T.StructField("total", T.IntegerType())])
+                           T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("literal", T.BooleanType()),
+                           T.StructField("length", T.IntegerType()), T.StructField("total", T.IntegerType()), T.StructField("places", T.IntegerType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in sliced(batches):
-            row, hs, ats, slots, long, totals = [], [], [], [], [], []
+            row, hs, ats, slots, kinds, long, totals, places = [], [], [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch)):
-                token, value = templates.of(text)
+                token, value, literal = templates.both(text)
+                none = np.zeros_like(value)
                 for length in lengths or ([min(window, len(token))] if len(token) else []):
-                    h, at = windows_of(token, value, length, min_words)
-                    total = len(h)
-                    if shared is not None:
-                        passed = shared.value[_place(h, bits)]
-                        h, at = h[passed], at[passed]
-                    row += [i] * len(h)
-                    hs += h.tolist()
-                    ats += at.tolist()
-                    slots += [[int(v) for v in value[a:a + length].view(np.int64) if v] for a in at.tolist()]
-                    long += [length] * len(h)
-                    totals += [total] * len(h)
+                    found = [windows_of(token, value, length, min_words), windows_of(literal, none, length, min_words, LITERAL)]
+                    total, all_places = len(found[0][0]), len(found[1][0])
+                    for kind, (h, at) in enumerate(found):
+                        if shared is not None:
+                            passed = shared.value[_place(h, bits)]
+                            h, at = h[passed], at[passed]
+                        row += [i] * len(h)
+                        hs += h.tolist()
+                        ats += at.tolist()
+                        slots += [[]] * len(h) if kind else [[int(v) for v in value[a:a + length].view(np.int64) if v] for a in at.tolist()]
+                        kinds += [bool(kind)] * len(h)
+                        long += [length] * len(h)
+                        totals += [total] * len(h)
+                        places += [all_places] * len(h)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(pa.array(row, pa.int64())), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()),
-                 pa.array(slots, pa.list_(pa.int64())), pa.array(long, pa.int32()), pa.array(totals, pa.int32())],
-                names=[key, "h", "at", "slots", "length", "total"])
+                 pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.bool_()), pa.array(long, pa.int32()), pa.array(totals, pa.int32()),
+                 pa.array(places, pa.int32())],
+                names=[key, "h", "at", "slots", "literal", "length", "total", "places"])
 
     return in_small_batches(texts.select(key, "text")).mapInArrow(run, schema)
 
@@ -140,12 +153,13 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
     """``crawled_pages(url, text)``, ``references(slug, text)`` -> ``(url, slug, windows, share, verbatim, first, last)``, one row for
     each page and each reference it holds.
 
-    A page holds a reference if the windows they have in common at consistent alignments, each counted once, are ``min_run`` or more, or at
-    least ``min_share`` of the reference's windows. ``verbatim`` says that all slots have the reference's values; ``first`` and ``last`` are
+    A position of the reference counts once if the page has its literal window, or its template window at a consistent alignment. A page holds a
+    reference if such positions are ``min_run`` or more, or at least ``min_share`` of the reference's positions or of its template windows. ``verbatim`` says that all slots have the reference's values; ``first`` and ``last`` are
     the template tokens of the page between which the windows lie.
 
-    A reference shorter than the window is one window of its own length. One with fewer than ``min_words`` literal words proves
-    nothing and is never found, nor are null and empty texts on either side. A reference given twice under one slug counts
+    A reference shorter than the window is one window of its own length. Template windows need ``min_words`` literal
+    words, literal windows as many tokens of any kind: a reference of fewer tokens proves nothing and is never found, nor are null and empty
+    texts on either side. A reference given twice under one slug counts
     once. Repeated pages are one url. Texts are read whole; extra columns are not read; an empty table on either side gives
     an empty result.
     """
@@ -154,20 +168,21 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
     if not lengths:
         lengths = [window]
     ours = template_windows(crawled_pages, "url", lengths, window, min_words, _marked(theirs, bits), bits)
-    theirs = theirs.groupBy("slug", "h", "at", "length").agg(F.first("slots").alias("slots"), F.max("total").alias("total"))
-    hits = ours.select("url", "h", "length", F.col("at").alias("here"), F.col("slots").alias("mine")).join(
-        theirs.withColumnRenamed("at", "there"), ["h", "length"])
-    hits = hits.select("url", "slug", "here", "there", "length", "total", "mine", "slots", (F.col("here") - F.col("there")).alias("shift"))
+    theirs = theirs.groupBy("slug", "h", "at", "length", "literal").agg(F.first("slots").alias("slots"), F.max("total").alias("total"),
+                                                                        F.max("places").alias("places"))
+    hits = ours.select("url", "h", "length", "literal", F.col("at").alias("here"), F.col("slots").alias("mine")).join(
+        theirs.withColumnRenamed("at", "there"), ["h", "length", "literal"])
+    hits = hits.select("url", "slug", "here", "there", "length", "literal", "total", "places", "mine", "slots", (F.col("here") - F.col("there")).alias("shift"))
     hits = scratch.settled(hits.distinct())
     slots = hits.filter(F.size("slots") > 0).select("url", "slug", "shift", F.explode(F.arrays_zip("slots", "mine")).alias("z"))
     odd = (slots.groupBy("url", "slug", "shift", "z.slots").agg(F.min("z.mine").alias("lo"), F.max("z.mine").alias("hi"))
            .filter("lo <> hi").select("url", "slug", "shift").distinct())
     whole = hits.join(odd, ["url", "slug", "shift"], "left_anti").groupBy("url", "slug", "there").agg(
-        F.max("total").alias("total"), F.min((F.expr("slots = mine")).cast("int")).alias("same"),
+        F.max("total").alias("total"), F.max("places").alias("places"), F.max((~F.col("literal")).cast("int")).alias("template"), F.min((F.expr("slots = mine")).cast("int")).alias("same"),
         F.min("here").alias("first"), F.max(F.col("here") + F.col("length")).alias("last"))
     found = whole.groupBy("url", "slug").agg(
-        F.count(F.lit(1)).alias("windows"), F.max("total").alias("total"), (F.min("same") == 1).alias("verbatim"),
+        F.count(F.lit(1)).alias("windows"), F.max("total").alias("total"), F.max("places").alias("places"), F.sum("template").alias("templates"), (F.min("same") == 1).alias("verbatim"),
         F.min("first").alias("first"), F.max("last").alias("last"))
-    share = F.col("windows") / F.col("total")
+    share = F.greatest(F.col("windows") / F.col("places"), F.when(F.col("total") > 0, F.col("templates") / F.col("total")))
     return found.filter((F.col("windows") >= min_run) | (share >= min_share)).select(
         "url", "slug", "windows", share.alias("share"), "verbatim", "first", "last")
