@@ -49,3 +49,17 @@ def test_finds_copies_of_numbers_and_names_in_any_case(spark):
     got = {(r["url"], r["slug"]): r for r in contaminated(pages(spark, texts), items).collect()}
     assert set(got) == {(0, 1), (1, 2), (2, 2), (3, 2), (5, 3)}
     assert all(r["verbatim"] and r["share"] == 1 for r in got.values())
+
+
+def test_one_odd_value_drops_only_its_windows(spark):
+    def passage(*names):
+        parts = [invented(i, 20) for i in range(1, 5)]
+        return " ".join(f"{p} and then {n} went home with 12 more of them ." for p, n in zip(parts, names)).replace(" .", "")
+
+    fruit = "In the morning the farmer put {} apples into the old basket behind the house and carried it slowly to the market where people bought {} pears"
+    items = spark.createDataFrame([(1, passage("Anna", "Anna", "Anna", "Anna")), (2, fruit.format(3, 3))], "slug long, text string")
+    texts = [passage("Anna", "Anna", "Bob", "Anna"), passage("Carl", "Carl", "Dora", "Carl"), fruit.format(4, 5), fruit.format(4, 4)]
+    got = {(r["url"], r["slug"]): r for r in contaminated(pages(spark, texts), items).collect()}
+    assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2)}
+    total = got[1, 1]["windows"] / got[1, 1]["share"]
+    assert total - 10 < got[0, 1]["windows"] < total and got[3, 2]["windows"] > got[2, 2]["windows"]

@@ -3,7 +3,8 @@
 Texts become templates: a number is a placeholder, so is a unit behind a number and a capitalised word that does not begin a sentence; all
 other words are lower-cased. Windows of template tokens are joined by hash, and beside them windows of the lower-cased tokens with all values
 kept, so that copies are found in any case of letters and however many numbers and names they hold. What stands in the slots must then be consistent:
-within one alignment of page and reference, one value of the reference is always the same value in the page. So a question
+within one alignment of page and reference, one value of the reference is always the same value in the page; windows that hold another value
+than most places have are left out, the others stay. So a question
 asked again with other parameters is found, and a page that merely has numbers in like places is not.
 
 The references are read once to mark their windows in a bit field of fixed size; pages are read once and only windows that pass it
@@ -105,17 +106,17 @@ def _place(h: np.ndarray, bits: int) -> np.ndarray:
 
 def template_windows(texts: DataFrame, key: str, lengths: Sequence[int] | None, window: int, min_words: int,
                      field: np.ndarray | None = None, bits: int = 0) -> DataFrame:
-    """``(key, h, at, slots, literal, length, total, places)``: slots are the values in the window's slots, none in a literal window; total is the template
+    """``(key, h, at, slots, literal, length, total, places)``: slots are the values in the window's slots and spots their places in the text, none in a literal window; total is the template
     windows of the text, places its literal ones. ``lengths`` None takes one length per text: the window, or the whole text if it is shorter."""
     shared = texts.sparkSession.sparkContext.broadcast(field) if field is not None else None
     schema = T.StructType([texts.schema[key], T.StructField("h", T.LongType()), T.StructField("at", T.IntegerType()),
-                           T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("literal", T.BooleanType()),
+                           T.StructField("slots", T.ArrayType(T.LongType())), T.StructField("spots", T.ArrayType(T.IntegerType())), T.StructField("literal", T.BooleanType()),
                            T.StructField("length", T.IntegerType()), T.StructField("total", T.IntegerType()), T.StructField("places", T.IntegerType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         templates = Templates()
         for batch in sliced(batches):
-            row, hs, ats, slots, kinds, long, totals, places = [], [], [], [], [], [], [], []
+            row, hs, ats, slots, spots, kinds, long, totals, places = [], [], [], [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch)):
                 token, value, literal = templates.both(text)
                 none = np.zeros_like(value)
@@ -130,15 +131,16 @@ def template_windows(texts: DataFrame, key: str, lengths: Sequence[int] | None,
                         hs += h.tolist()
                         ats += at.tolist()
                         slots += [[]] * len(h) if kind else [[int(v) for v in value[a:a + length].view(np.int64) if v] for a in at.tolist()]
+                        spots += [[]] * len(h) if kind else [(a + np.flatnonzero(value[a:a + length])).tolist() for a in at.tolist()]
                         kinds += [bool(kind)] * len(h)
                         long += [length] * len(h)
                         totals += [total] * len(h)
                         places += [all_places] * len(h)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(key).take(pa.array(row, pa.int64())), pa.array(hs, pa.int64()), pa.array(ats, pa.int32()),
-                 pa.array(slots, pa.list_(pa.int64())), pa.array(kinds, pa.bool_()), pa.array(long, pa.int32()), pa.array(totals, pa.int32()),
+                 pa.array(slots, pa.list_(pa.int64())), pa.array(spots, pa.list_(pa.int32())), pa.array(kinds, pa.bool_()), pa.array(long, pa.int32()), pa.array(totals, pa.int32()),
                  pa.array(places, pa.int32())],
-                names=[key, "h", "at", "slots", "literal", "length", "total", "places"])
+                names=[key, "h", "at", "slots", "spots", "literal", "length", "total", "places"])
 
     return in_small_batches(texts.select(key, "text")).mapInArrow(run, schema)
 
@@ -153,7 +155,8 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
     """``crawled_pages(url, text)``, ``references(slug, text)`` -> ``(url, slug, windows, share, verbatim, first, last)``, one row for
     each page and each reference it holds.
 
-    A position of the reference counts once if the page has its literal window, or its template window at a consistent alignment. A page holds a
+    Where one value of the reference stands at several places of an alignment, the most frequent value there is right and template windows
+    that hold another one are left out; if two are equally frequent, none is right. A position of the reference counts once if the page has its literal window, or its template window with right values. A page holds a
     reference if such positions are ``min_run`` or more, or at least ``min_share`` of the reference's positions or of its template windows. ``verbatim`` says that all slots have the reference's values; ``first`` and ``last`` are
     the template tokens of the page between which the windows lie.
 
@@ -170,14 +173,21 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
     ours = template_windows(crawled_pages, "url", lengths, window, min_words, _marked(theirs, bits), bits)
     theirs = theirs.groupBy("slug", "h", "at", "length", "literal").agg(F.first("slots").alias("slots"), F.max("total").alias("total"),
                                                                         F.max("places").alias("places"))
-    hits = ours.select("url", "h", "length", "literal", F.col("at").alias("here"), F.col("slots").alias("mine")).join(
+    hits = ours.select("url", "h", "length", "literal", F.col("at").alias("here"), F.col("slots").alias("mine"), "spots").join(
         theirs.withColumnRenamed("at", "there"), ["h", "length", "literal"])
-    hits = hits.select("url", "slug", "here", "there", "length", "literal", "total", "places", "mine", "slots", (F.col("here") - F.col("there")).alias("shift"))
+    hits = hits.select("url", "slug", "here", "there", "length", "literal", "total", "places", "mine", "slots", "spots", (F.col("here") - F.col("there")).alias("shift"))
     hits = scratch.settled(hits.distinct())
-    slots = hits.filter(F.size("slots") > 0).select("url", "slug", "shift", F.explode(F.arrays_zip("slots", "mine")).alias("z"))
-    odd = (slots.groupBy("url", "slug", "shift", "z.slots").agg(F.min("z.mine").alias("lo"), F.max("z.mine").alias("hi"))
-           .filter("lo <> hi").select("url", "slug", "shift").distinct())
-    whole = hits.join(odd, ["url", "slug", "shift"], "left_anti").groupBy("url", "slug", "there").agg(
+    slots = hits.filter(F.size("slots") > 0).select("url", "slug", "shift", "here", "length", F.explode(F.arrays_zip("slots", "mine", "spots")).alias("z")).select(
+        "url", "slug", "shift", "here", "length", "z.*")
+    slot = ["url", "slug", "shift", "slots"]
+    often = slots.groupBy(*slot, "mine").agg(F.count_distinct("spots").alias("n"))
+    # The most frequent value of a slot, by places; the largest and the smallest of them are one value if there is only one.
+    odd = often.groupBy(*slot).agg(F.max(F.struct("n", "mine")).alias("most"), F.max(F.struct("n", F.expr("~mine").alias("not"))).alias("least"),
+                                   F.count(F.lit(1)).alias("values")).filter("values > 1")
+    odd = odd.select(*slot, F.expr("if(most.mine = ~least.not, most.mine, null)").alias("winner"))
+    bad = slots.join(odd, slot).filter("winner is null or mine <> winner").select("url", "slug", "shift", "here", "length").distinct()
+    kept = hits.filter("not literal").join(bad, ["url", "slug", "shift", "here", "length"], "left_anti").select(*hits.columns)
+    whole = kept.unionByName(hits.filter("literal")).groupBy("url", "slug", "there").agg(
         F.max("total").alias("total"), F.max("places").alias("places"), F.max((~F.col("literal")).cast("int")).alias("template"), F.min((F.expr("slots = mine")).cast("int")).alias("same"),
         F.min("here").alias("first"), F.max(F.col("here") + F.col("length")).alias("last"))
     found = whole.groupBy("url", "slug").agg(
