@@ -67,3 +67,24 @@ def test_envelopes(spark):
     assert tuple(out["i"]) == (900, 900, 900, 900, 100, 200)
     assert out["t"] == ["W 50–60 × H 70–80 cm", "Ø 90 × H 10–20 cm"]
     assert out["m"] == "กว้าง 500-600 x สูง 700-800 มม."
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("W 123456789012345678 x D 20 cm", {"d": [200, 200]}), ("1234567890123456 x 20 x 30 cm", {"d": [200, 200], "h": [300, 300]}),
+    (f"{'9' * 400} x {'8' * 30} cm", None), ("W 10-99999999999 x D 20 cm", {"d": [200, 200]}), ("W 1.2.3 x D 20 cm", {"w": [12, 12], "d": [200, 200]}),
+    ("2147483 x 1.5", {"w": [2147483, 2147483], "d": [2, 2]}), ("W ... x D ,,, cm", None)])
+def test_untidy_numbers_are_no_sizes(spark, text, expected):
+    assert run(spark, text)[0] == expected
+
+
+def test_rescaling_never_leaves_int(spark):
+    df = spark.sql("select named_struct('w', array(2147483000, 2147483647), 'd', array(20, 20), 'h', array(30, 30), 'dia', cast(null as array<int>)) as raw")
+    out = sizes.with_plausible_size(df, "raw", "mm", "flag").first()
+    assert out["flag"] == "dims-suspect" and out["mm"]["d"] in ([20, 20], [200, 200])
+
+
+@pytest.mark.parametrize("text, expected", [
+    ("1.2.3 mm", None), ("... mm", None), ("12345678901234567 mm", None), ("2147483 m", [2147483000, 2147483000]), ("700 - 1.2.3 mm", None),
+    ("700 - 900 mm", [700, 900]), ("70 cm", [700, 700])])
+def test_axis_measure_of_untidy_text(value, text, expected):
+    assert value(sizes.axis_measure, text) == expected

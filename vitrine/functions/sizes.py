@@ -32,6 +32,8 @@ AXIS_LABELS = {
     "width": "w", "depth": "d", "height": "h", "length": "w", "diameter": "dia", "dia": "dia",
     "seat height": "seat_h", "arm height": "arm_h",
 }
+#: The largest number that is read as a size.
+LARGEST = 2_147_483
 UNIT_FACTORS = {"mm": 1.0, "cm": 10.0, "m": 1000.0}
 
 # The Thai axis words used when a size text is generated.
@@ -39,13 +41,21 @@ AXIS_TH = {"w": "กว้าง", "d": "ลึก", "h": "สูง", "dia": "
 
 
 def _number(text: Column) -> Column:
-    return F.replace(text, F.lit(","), F.lit(".")).cast("double")
+    """The number, or null if it is none or so large that even in metres its millimetres are no int: untidy text holds no size then."""
+    value = F.replace(text, F.lit(","), F.lit(".")).try_cast("double")
+    return F.when(value <= LARGEST, value)
+
+
+def whole_mm(pair: Column) -> Column:
+    """[min, max] rounded half-even to int, null where an end is missing or outside int."""
+    ends = F.transform(pair, lambda v: F.bround(v, 0).try_cast("int"))
+    return F.when(F.forall(ends, lambda v: v.isNotNull()), ends)
 
 
 def _span(lo: Column, hi: Column) -> Column:
-    """struct(lo, hi), hi defaulting to lo; null without lo."""
-    low = _number(lo)
-    return F.when(low.isNotNull(), F.struct(low.alias("lo"), F.coalesce(_number(hi), low).alias("hi")))
+    """struct(lo, hi), hi defaulting to lo; null without lo, or where hi is written but is no size."""
+    low, high = _number(lo), _number(hi)
+    return F.when(low.isNotNull() & (hi.isNull() | high.isNotNull()), F.struct(low.alias("lo"), F.coalesce(high, low).alias("hi")))
 
 
 def with_parsed_size(df: DataFrame, text: str, out: str = "mm") -> DataFrame:
@@ -81,15 +91,15 @@ def with_parsed_size(df: DataFrame, text: str, out: str = "mm") -> DataFrame:
 
     def pair(axis: str) -> Column:
         c = F.col(f"__{axis}")
-        return F.when(c.isNotNull(), F.array(*[
-            F.bround(c[e] * F.col("__factor"), 0).cast("int") for e in ("lo", "hi")])).alias(axis)
+        return F.when(c.isNotNull(), whole_mm(F.array(c["lo"] * F.col("__factor"), c["hi"] * F.col("__factor")))).alias(axis)
 
     df = df.withColumn(out, F.when(F.col("__biggest").isNotNull(), F.struct(*[pair(a) for a in PARSED_AXES])))
     return df.drop(*[f"__{a}" for a in PARSED_AXES], "__bare", "__biggest", "__fraction", "__factor")
 
 
 def _times(pair: Column, factor: float) -> Column:
-    return F.transform(pair, lambda v: F.bround(v * F.lit(float(factor)), 0).cast("int"))
+    """The scaled pair, rounded but not cut to int, so that a value that leaves int is judged as it is."""
+    return F.transform(pair, lambda v: F.bround(v * F.lit(float(factor)), 0))
 
 
 def _implausible(pair: Column, axis: str) -> Column:
@@ -106,12 +116,12 @@ def with_plausible_size(df: DataFrame, mm: str, out: str = "mm", flag: str = "di
     df = df.withColumn("__factor", F.array_min(F.array(*[
         F.struct(n.alias("bad"), F.lit(i).alias("i"), F.lit(f).alias("f"))
         for i, (n, f) in enumerate(zip(bad_counts, options))]))["f"])
-    scaled = {a: F.transform(c[a], lambda v: F.bround(v * F.col("__factor"), 0).cast("int")) for a in PARSED_AXES}
+    scaled = {a: whole_mm(F.transform(c[a], lambda v: v * F.col("__factor"))) for a in PARSED_AXES}
     df = df.withColumns({f"__{a}": scaled[a] for a in PARSED_AXES})
 
     def shrunk(axis: str) -> Column:
         p = F.col(f"__{axis}")
-        small = F.transform(p, lambda v: F.bround(v / F.lit(10.0), 0).cast("int"))
+        small = whole_mm(F.transform(p, lambda v: v / F.lit(10.0)))
         use = _implausible(p, axis) & (p[1] > PLAUSIBLE[axis][1]) & ~_implausible(small, axis)
         return F.when(use, small)
 
@@ -123,7 +133,8 @@ def with_plausible_size(df: DataFrame, mm: str, out: str = "mm", flag: str = "di
     df = df.withColumns({f"__{a}": F.coalesce(F.col(f"__s_{a}"), F.col(f"__{a}")) for a in PARSED_AXES})
     suspect = F.lit(False)
     for a in PARSED_AXES:
-        suspect = suspect | _implausible(F.col(f"__{a}"), a)
+        # An axis that left int under the chosen factor is gone; that is suspect, too.
+        suspect = suspect | _implausible(F.col(f"__{a}"), a) | (c[a].isNotNull() & F.col(f"__{a}").isNull())
     verdict = F.when(c.isNull(), None).when(suspect, "dims-suspect").when(F.col("__fixed"), "dims-fixed")
     df = df.withColumn(flag, verdict).withColumn(
         out, F.when(c.isNotNull(), F.struct(*[F.col(f"__{a}").alias(a) for a in PARSED_AXES])))
@@ -151,8 +162,8 @@ def brochure_size(text: Column) -> Column:
     unit = F.when(matches(text, r"\bcm\b|ซม"), 10).otherwise(1)
 
     def pair(raw: Column) -> Column:
-        ends = F.transform(F.split(F.trim(raw), r"\s*[-–]\s*"), lambda p: F.bround(_number(p), 0).cast("int") * unit)
-        return F.when(raw.isNotNull(), F.array(ends[0], F.element_at(ends, -1)))
+        ends = F.transform(F.split(F.trim(raw), r"\s*[-–]\s*"), lambda p: F.bround(_number(p), 0) * unit)
+        return F.when(raw.isNotNull(), whole_mm(F.array(ends[0], F.element_at(ends, -1))))
 
     group = lambda i: extracted(text, BROCHURE_SIZE, i)
     round_top = group(7)
@@ -165,15 +176,16 @@ def brochure_size(text: Column) -> Column:
 
 
 def axis_measure(text: Column) -> Column:
-    """[min, max] of ``700 - 900 mm``, ``70 cm`` or ``1.2 m``; millimetres when no unit is given."""
+    """[min, max] of ``700 - 900 mm``, ``70 cm`` or ``1.2 m``; millimetres when no unit is given. Digits and points that make no number
+    (``1.2.3``, ``...``) or one outside int are no measure."""
     bare = F.replace(text, F.lit(","), F.lit(""))
     rx = r"(?i)^([\d.]+)\s*(?:[-–]\s*([\d.]+))?\s*(mm|cm|m)?"
-    lo, hi = extracted(bare, rx, 1).cast("double"), extracted(bare, rx, 2).cast("double")
+    first, last = extracted(bare, rx, 1), extracted(bare, rx, 2)
+    lo, hi = _number(first), _number(last)
     factor = F.try_element_at(
         F.create_map(*[F.lit(x) for kv in UNIT_FACTORS.items() for x in kv]),
         F.coalesce(F.lower(extracted(bare, rx, 3)), F.lit("mm")))
-    to_mm = lambda v: F.bround(v * factor, 0).cast("int")
-    return F.when(lo.isNotNull(), F.array(to_mm(lo), to_mm(F.coalesce(hi, lo))))
+    return F.when(lo.isNotNull() & (last.isNull() | hi.isNotNull()), whole_mm(F.array(lo * factor, F.coalesce(hi, lo) * factor)))
 
 
 def axis_of_label(label: Column) -> Column:

@@ -211,7 +211,8 @@ def size_sets(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     earlier one; sets without axes are dropped."""
     bare = F.replace(F.col("value"), F.lit(","), F.lit(""))
     factor = F.when(F.lower(F.regexp_extract(bare, L.SIZE_TRIPLE, 4)) == "cm", 10).otherwise(1)
-    edge = lambda i: F.bround(extracted(bare, L.SIZE_TRIPLE, i).cast("double") * factor, 0).cast("int")
+    # Digits and points that make no number, or none that fits, are no edge.
+    edge = lambda i: F.bround(extracted(bare, L.SIZE_TRIPLE, i).try_cast("double") * factor, 0).try_cast("int")
     named = F.when(F.col("variant").isNotNull() & (F.col("variant") != F.col("name")),
                    F.concat_ws(" · ", "variant", "label")).otherwise(F.col("label"))
     entry = lambda a, pair: F.struct(a.alias("axis"), pair.alias("mm"))

@@ -89,7 +89,7 @@ def free_slugs(new_rows: DataFrame, existing: DataFrame, base: str, order: Seque
 
 
 def code_number(code: Column) -> Column:
-    return F.regexp_extract(code, r"-(\d+)$", 1).cast("long")
+    return F.regexp_extract(code, r"-(\d+)$", 1).try_cast("long")
 
 
 def code_range(code: Column) -> Column:
