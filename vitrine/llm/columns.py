@@ -14,11 +14,15 @@ SLICE_ROWS = 256
 #: Rows that go to a Python worker together. Spark's default of 10,000 is for narrow rows; with texts it holds hundreds of megabytes
 #: in each task, once on either side.
 BATCH_ROWS = 1_000
+#: Bytes after which such a batch ends, however few rows it has: very long texts would end a worker otherwise.
+BATCH_BYTES = 16 << 20
 
 
 def in_small_batches(df: DataFrame) -> DataFrame:
-    """``df``, after telling its session to keep batches of whole texts small."""
+    """``df``, after telling its session to keep batches of whole texts small, in rows and in bytes. The session keeps these settings,
+    since batches are cut when the result is read; they change no result."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df
 
 

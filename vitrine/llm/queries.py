@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, packing, quality_ranking, token_counts,
-                         toxic_neighbours)
+from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, packing, piece_encoding, quality_ranking,
+                         token_counts, toxic_neighbours)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -163,3 +163,12 @@ def op10_pairwise_quality(spark: SparkSession, folder: str) -> DataFrame:
     found = quality_ranking.rank_pages(pages_of(spark, folder), ranking)
     return found.select(F.col("url").alias("doc_id"), (fold("url", 3) == 1).alias("held_out"), "score",
                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query()
+def op13_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_encoding.decode_pages(piece_encoding.encode_pages(pages_of(spark, folder), model), model)
+    return decoded.select(F.col("url").alias("doc_id"), "n_tokens",
+                          F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+                          F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
