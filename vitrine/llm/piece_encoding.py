@@ -24,6 +24,7 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -51,6 +52,7 @@ class PieceEncoder:
         #: Text and length of each token that can come out, by id.
         self.text = {i: p for p, i in self.ids.items() if any(q in p for q in self.tied) or self.merged(p) == [p]}
         self.size = {i: len(p) for i, p in self.text.items()}
+        self.sizes = np.array([self.size.get(i, 0) for i in every], np.int64)
         for i, piece in self.text.items():
             self.tokens.add_word(piece, i)
         self.tokens.make_automaton()
@@ -190,21 +192,72 @@ class PieceEncoder:
                 run = i + 1
         return array("i", ids).tobytes()
 
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode new pieces together: one pass of the automaton over all of them, pairs looked at once. Those that the longest tokens do not fit,
+        and those of other kinds, go one by one."""
+        gap = next((chr(c) for c in range(128) if chr(c) not in self.ids), None)
+        plain = [p for p in pieces if not any(t in p for t in self.tied)] if gap else []
+        found = np.array(list(self.tokens.iter_long(gap.join(plain))) if plain else [], np.int64).reshape(-1, 2)
+        ends, ids = found[:, 0], found[:, 1]
+        size = self.sizes[ids]
+        long = np.fromiter(map(len, plain), np.int64, len(plain))
+        begins = np.cumsum(long + 1) - long - 1
+        of = np.searchsorted(begins, ends - size + 1, "right") - 1  # the piece each token belongs to
+        pairs, at = np.unique((ids[:-1] << 32 | ids[1:])[of[:-1] == of[1:]], return_inverse=True)
+        fits = np.fromiter((self.compatible(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()), bool, len(pairs))
+        good = np.bincount(of, weights=size, minlength=len(plain)) == long
+        good[of[:-1][of[:-1] == of[1:]][~fits[at]]] = False
+        edges = np.searchsorted(of, np.arange(len(plain) + 1)) * 4
+        whole = ids.astype(np.int32).tobytes()
+        done = {p: whole[a:b] for p, ok, a, b in zip(plain, good.tolist(), edges[:-1].tolist(), edges[1:].tolist()) if ok}
+        self.pieces.update(done)
+        for piece in pieces:
+            if piece not in done:
+                self.pieces[piece] = self._encode(piece)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of every text as 32-bit integers in the machine's byte order."""
+        if len(self.pieces) > CACHE_PIECES:
+            self.older, self.pieces = self.pieces, {}  # what was not asked for since goes with the next exchange
+        cut = [self.cut.findall(self.library.normalize(text)) if text else [] for text in texts]
+        new = set().union(*cut).difference(self.pieces)
+        for piece in new & self.older.keys():
+            self.pieces[piece] = self.older[piece]
+        self._learn([p for p in new if p not in self.pieces])
+        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        for piece in new:
+            if len(piece) > PIECE_LETTERS:
+                del self.pieces[piece]
+        return out
+
+
+class PieceDecoder:
+    """Texts of ids: the bytes of all tokens of a batch are taken from one table, so that a text is a stretch of them."""
+
+    def __init__(self, path: str):
+        self.library = lib = sentencepiece.SentencePieceProcessor(model_file=path)
+        every = range(lib.get_piece_size())
+        special = [lib.is_control(i) or lib.is_unknown(i) or lib.is_unused(i) for i in every]
+        self.special = np.array(special)
+        self.table = pa.array([bytes([int(lib.id_to_piece(i)[1:-1], 16)]) if lib.is_byte(i) else lib.id_to_piece(i).replace(SPACE, " ").encode()
+                               for i in every], pa.binary())
+        self.begins = np.array([not lib.is_byte(i) and lib.id_to_piece(i).startswith(SPACE) for i in every])
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """Text ``i`` has the ids from ``ends[i]`` to ``ends[i + 1]``."""
+        taken = self.table.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset:taken.offset + len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        data = taken.buffers()[2].to_pybytes() if len(ids) and taken.buffers()[2] is not None else b""
+        odd = np.concatenate([[0], np.cumsum(self.special[ids])])
         out = []
-        for text in texts:
-            if len(self.pieces) > CACHE_PIECES:
-                self.older, self.pieces = self.pieces, {}  # what was not asked for since goes with the next exchange
-            cut = self.cut.findall(self.library.normalize(text)) if text else []
-            kept, older = self.pieces, self.older
-            new = set(cut).difference(kept)
-            for piece in new:
-                kept[piece] = older.get(piece) or self._encode(piece)
-            out.append(b"".join(map(kept.__getitem__, cut)))
-            for piece in new:
-                if len(piece) > PIECE_LETTERS:
-                    del kept[piece]
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            try:
+                if odd[b] > odd[a]:
+                    raise UnicodeError
+                # Encoding puts a space in front of a text; it is part of the first token or a token of its own.
+                out.append(data[offsets[a] + bool(b > a and self.begins[ids[a]]):offsets[b]].decode())
+            except UnicodeError:  # control tokens and bytes that make no character are the library's business
+                out.append(self.library.decode(ids[a:b].tolist()))
         return out
 
 
@@ -243,12 +296,11 @@ def decode_pages(encoded_pages: DataFrame, model_path: str) -> DataFrame:
     keep = [f.name for f in schema.fields[:-1]]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        library = loaded_library(model_path)
+        decoder = per_process(("piece_decoding", model_path), lambda: PieceDecoder(model_path))
         for batch in sliced(batches):
-            yield with_columns(batch, keep, decoded=pa.array([library.decode(i) if i else "" for i in batch.column("ids").to_pylist()], pa.string()))
+            lists = batch.column("ids")
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            decoded = decoder.decode(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32), np.cumsum([0, *sizes.tolist()]))
+            yield with_columns(batch, keep, decoded=pa.array(decoded, pa.string()))
 
     return in_small_batches(encoded_pages).select(*keep).mapInArrow(run, schema)
-
-
-def loaded_library(path: str) -> sentencepiece.SentencePieceProcessor:
-    return per_process(("piece_library", path), lambda: sentencepiece.SentencePieceProcessor(model_file=path))
