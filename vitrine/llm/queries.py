@@ -5,8 +5,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, packing, piece_encoding, quality_ranking,
-                         token_counts, toxic_neighbours)
+from vitrine.llm import (byte_bpe, decontaminate, exact_dedup, host_reputation, language_id, ngram_join, packing, piece_encoding,
+                         quality_ranking, source_divergence, token_counts, toxic_neighbours, whitening)
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -172,3 +172,33 @@ def op13_piece_encoding(spark: SparkSession, folder: str) -> DataFrame:
     return decoded.select(F.col("url").alias("doc_id"), "n_tokens",
                           F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
                           F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query("""
+with d as (select coalesce(lang, '') as lang, coalesce(source, '') as source, row_number() over () as id,
+  translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text from documents),
+t as (select lang, source, id, unnest(regexp_extract_all(text, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from d),
+c as (select lang, source, term, count(*) as n, count(distinct id) as docs from t group by all),
+k as (select lang, term, sum(n) as whole from c group by all having sum(docs) >= 30),
+v as (select lang, count(*) as v, sum(whole) as n from k group by all),
+g as (select distinct lang, source from d),
+dense as (select g.lang, g.source, k.term, coalesce(c.n, 0) as n, k.whole from g join k using (lang) left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+total as (select lang, source, sum(n) as total from dense group by all),
+p as (select lang, source, term, dense.n, 1 + (1000000000::hugeint * (dense.n + 5)) // (total + 5 * v) as p, 1 + (1000000000::hugeint * (whole + 5)) // (v.n + 5 * v) as q
+  from dense join total using (lang, source) join v using (lang)),
+pair as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+rows as (select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+    left join pair on pair.lang = a.lang and pair.source = a.source and pair.item = b.source
+  union all select lang, source, 'term', term, (p - q)::bigint from p where n > 0 and p > q)
+select * from (select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank from rows) where part = 'pair' or rank <= 50""")
+def op12_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence.audit_sources(spark.read.parquet(f"{folder}/documents.parquet"))
+
+
+@query()
+def op11_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    images = spark.read.parquet(f"{folder}/embeddings.parquet").select(F.col("vec_id").alias("image_id"), "embedding")
+    found = whitening.whiten_images(images)
+    return found.select("image_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened")).select(
+        F.col("image_id").alias("vec_id"), (F.col("at") + 1).alias("component"), "n", "deviation", "whitened",
+        F.col("explained")[F.col("at")].alias("explained"), "identity_error")
