@@ -8,6 +8,9 @@ from vitrine.plans import workload
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
+#: Queries that SQL cannot say: tests/test_segment.py
+BRUTE_FORCE = {"segmented_words", "unknown_letters", "mended_pages"}
+
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
 
@@ -30,9 +33,11 @@ def generated_code(spark):
 
 @pytest.mark.parametrize("name", list(workload.QUERIES))
 def test_query(spark, con, name):
-    assert name in workload.ORACLES
     df = workload.QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    if name not in workload.ORACLES:  # compared with brute force by a test of its own
+        assert name in BRUTE_FORCE
+        return
     problem, _ = compare(df, con, workload.ORACLES[name])
     assert problem is None

@@ -1,22 +1,45 @@
 """Queries for single steps of the import: cleaning, labels, flags, spelling, lines of a page."""
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vitrine.functions import language, textclean
-from vitrine.operators import classify, extract, identity, merge, spelling
+from vitrine.operators import classify, extract, identity, merge, segment, spelling
 from vitrine.plans.tables import Tables, query
 
-DAMAGED = "\u00a0ËÁÒÂàËµØ μm"
+# Letters of the documents in the script that the cleaning steps are for: four marks, sara aa, sara am, and consonants.
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+SCRIPT_LETTERS = "\u0e32" + "".join(chr(0x0E01 + i) for i in range(6)) + "\u0e48" + "".join(chr(0x0E10 + i) for i in range(1)) + "\u0e4d" + "".join(
+    chr(0x0E14 + i) for i in range(10)) + "\u0e49" + "".join(chr(0x0E22 + i) for i in range(3)) + "\u0e33" + "\u0e2a"
+MARKS = textclean.TONE_MARKS
 
 
-@query("""
-select page_id, url || ' หมายเหตุ µm' as repaired, replace(url, ' ', '') || 'เกาอีทา' as skeleton, '\u0e49\u0e49' as tones, url || ' โต๊ะทำงาน' as spaced from pages""")
+def in_script(text: Column) -> Column:
+    return F.translate(F.lower(text), LETTERS, SCRIPT_LETTERS)
+
+
+def _sql_script(text: str) -> str:
+    return f"translate({text}, '{LETTERS}', '{SCRIPT_LETTERS}')"
+
+
+_SQL_AM = "regexp_replace(replace({0}, '\u0e4d\u0e32', '\u0e33'), '\u0e4d([\u0e48-\u0e4b])\u0e32', '\\1\u0e33', 'g')"
+
+
+@query(f"""
+with t as (select doc_id, regexp_replace(lower(text), '[^a-z]+', '', 'g') as letters, trim(regexp_replace(regexp_replace(lower(text), '[^a-z ]+', '', 'g'), ' +', ' ', 'g')) as words from documents),
+s as (select doc_id, {_sql_script("letters")} as script, length(letters) as n, {_sql_script("words")} as words from t)
+select doc_id, case when n < 2 then translate(script, '{textclean.THAI_FORM}', '{textclean.LATIN_FORM}') else {_SQL_AM.format("script")} end || ' \u00b5m' as repaired,
+  replace(translate(words, '\u0e33{MARKS}', '\u0e32'), ' ', '') as skeleton, regexp_replace(script, '[^{MARKS}]', '', 'g') as tones,
+  replace(replace(words, ' ', ''), '\u0e4d\u0e32', '\u0e33') as spaced from s""")
 def repaired_texts(t: Tables):
-    text = F.concat("url", F.lit(DAMAGED))
-    chair = F.concat("url", F.lit(" เก้าอี้ ทำ"))
-    return t.pages.select("page_id", textclean.normalize(text).alias("repaired"), textclean.skeleton(chair).alias("skeleton"),
-                          textclean.tone_sequence(chair).alias("tones"), textclean.fix_thai_spacing(F.concat("url", F.lit(" โต๊ะ ทำงาน"))).alias("spaced"))
+    """Each document's letters read in the wrong code page, and its words with spaces."""
+    lower = F.lower("text")
+    letters = in_script(F.regexp_replace(lower, "[^a-z]+", ""))
+    words = in_script(F.trim(F.regexp_replace(F.regexp_replace(lower, "[^a-z ]+", ""), " +", " ")))
+    damaged = F.concat(F.translate(letters, textclean.THAI_FORM, textclean.LATIN_FORM), F.lit(" \u03bcm"))
+    return t.documents.select("doc_id", textclean.normalize(damaged).alias("repaired"), textclean.skeleton(words).alias("skeleton"),
+                              textclean.tone_sequence(letters).alias("tones"), textclean.fix_thai_spacing(words).alias("spaced"))
 
 
 @query("""
@@ -71,15 +94,55 @@ def material_sets(t: Tables):
     return t.part.select("p_partkey", F.array_join(classify.materials(F.col("p_name"), STUFF), ",").alias("materials"))
 
 
-@query("""
-select p_partkey, case p_size % 3 when 0 then 'เก้าอี้' when 1 then 'โต๊ะ' else p_name end as spelling from part""")
+@query(f"""
+with w as (select {_sql_script("word")} as word, count(*) as freq from (select unnest(string_split_regex(lower(text), '[^a-z]+')) as word from documents) where word <> '' group by 1),
+d as (select *, replace(translate(word, '\u0e33{MARKS}', '\u0e32'), ' ', '') as skeleton, translate(word, '{MARKS}', '') as token from w),
+tokens as (select distinct token, replace(token, '\u0e33', '\u0e32') as skeleton from d),
+c as (select t.token, coalesce(d.word, t.token) as word, coalesce(d.freq, 0) as freq from tokens t left join (select * from d where length(word) between 1 and 24) d using (skeleton)),
+s as (select *, length(regexp_replace(word, '[^\u0e33]', '', 'g')) <> length(regexp_replace(token, '[^\u0e33]', '', 'g')) as vowels, length(regexp_replace(word, '[^{MARKS}]', '', 'g')) as marks from c)
+select token, arg_min(word, row(vowels, word <> token, -freq, marks, word)) as spelling from s group by token""")
 def repair_words(t: Tables):
-    damaged = F.when(F.col("p_size") % 3 == 0, "เกาอี").when(F.col("p_size") % 3 == 1, "โต๊ะ").otherwise(F.col("p_name"))
-    rows = t.part.select("p_partkey", damaged.alias("token"))
-    known = t.part.select(F.when(F.col("p_size") % 2 == 0, "เก้าอี้").otherwise("โต๊ะ").alias("token"))
-    freq = spelling.word_frequency(known)
-    index = spelling.dictionary_index(known.select(F.col("token").alias("word")))
-    return rows.join(spelling.choose_spelling(rows, index, freq), "token", "left").select("p_partkey", "spelling")
+    """All words of the documents without their marks, spelled again by a dictionary of these words."""
+    words = spelling.word_frequency(spelling.words(t.documents, "text", [], split="[^a-z]+").select(in_script(F.col("token")).alias("token")))
+    damaged = words.select(F.translate("token", MARKS, "").alias("token"))
+    index = spelling.dictionary_index(words.select(F.col("token").alias("word")))
+    return spelling.choose_spelling(damaged, index, words)
+
+
+def _benchmark_words(t: Tables):
+    return spelling.words(t.benchmark, "text", [], split="[^a-z]+").select(in_script(F.col("token")).alias("word"))
+
+
+def _unspaced(t: Tables):
+    """Each document as one line in the script, without spaces: runs end at other characters only."""
+    return t.documents.select("doc_id", F.replace(in_script(F.col("text")), F.lit(" "), F.lit("")).alias("line"))
+
+
+@query()
+def segmented_words(t: Tables):
+    """Words that the cheapest cut of all documents without spaces is made of, by the words of the benchmark; letters outside words under the empty one."""
+    pages = _unspaced(t).select("doc_id", F.array("line").alias("lines"))
+    dictionary = _benchmark_words(t).distinct()
+    costs = segment.with_costs(dictionary, segment.word_contexts(_unspaced(t), "line", segment.dictionary_words(dictionary)))
+    parts = segment.cut_lines(pages, ["doc_id"], "lines", costs).select(F.explode("parts.skeleton").alias("skeleton"))
+    return parts.groupBy(F.coalesce("skeleton", F.lit("")).alias("skeleton")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query()
+def unknown_letters(t: Tables):
+    """Share of each document, without its spaces, that no cut into words of the benchmark covers."""
+    return segment.unknown_share(_unspaced(t), ["doc_id"], "line", _benchmark_words(t)).withColumn("unknown_ratio", F.round("unknown_ratio", 6))
+
+
+@query()
+def mended_pages(t: Tables):
+    """All documents without their marks and with a space after every fifth letter, repaired by the words of the benchmark and the contexts of the documents."""
+    whole = in_script(F.col("text"))
+    damaged = F.regexp_replace(F.translate(whole, MARKS, ""), "([\u0e00-\u0e7f]{5})", "$1 ")
+    pages = t.documents.select("doc_id", F.split(damaged, "\n").alias("lines"))
+    trusted = t.documents.select(whole.alias("text"))
+    out = segment.repair_pages(pages, ["doc_id"], "lines", _benchmark_words(t), trusted)
+    return out.select("doc_id", F.array_join("lines", "\n").alias("text"))
 
 
 WORDS_PER_PAGE, WORDS_PER_LINE = 400, 8
