@@ -6,7 +6,7 @@ from pyspark.sql.window import Window as W
 from vitrine.operators import ordered
 
 ORDER = ["o", "id"]
-#: Coarse in three ways: the default (one piece here), ten pieces with empty ones between, one piece per value and null.
+#: Sampled ranges, ten pieces with empty ones between, one piece per value and null.
 PIECES = [None, "floor(o / 4)", "o"]
 
 
@@ -42,20 +42,31 @@ def test_global_order(rows, piece):
     assert got == want
 
 
-@pytest.mark.parametrize("kind", ["long", "double", "string", "timestamp", "date", "boolean", "decimal(20,3)"])
-def test_coarse_value_never_falls(spark, kind):
-    df = spark.range(-3000, 3000).select((F.col("id") * 12345 - 7).alias("x"), "id")
-    df = df.select(F.when(F.col("id") % 97 > 0, F.col("x").cast(kind) if kind not in ("timestamp", "date") else F.timestamp_seconds("x").cast(kind)).alias("o"), "id")
-    coarse = [r["c"] for r in df.select("o", "id", ordered.coarse(df, ["o", "id"]).alias("c")).orderBy("o", "id").collect()]
-    key = [tuple((x is not None, x) if x is not None else (False, 0) for x in c) for c in coarse]
-    assert key == sorted(key) and len(set(key)) > 1
-
-
-def test_no_job_while_building(spark, rows):
+@pytest.mark.parametrize("order", [["code"], ["at", "code"], ["ordinal"]])
+def test_orders_that_begin_alike_are_spread(spark, order):
+    """All keys begin with the same letters, one number comes first for all rows, or the order is a struct: pieces are even all the same."""
+    df = spark.range(20_000).select(F.concat(F.lit("SRC-CH-NT-"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("code"), F.lit(1).alias("at"),
+                                    F.struct(F.lit(7).alias("feed_no"), F.hash("id").alias("h"), "id").alias("ordinal"), (F.col("id") % 3 > 0).alias("k")).repartition(8, "code")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "10")
+    try:
+        for keys in ([], ["k"]):
+            sizes = [r["count"] for r in ordered.in_ranges(df, keys, order, "piece").groupBy("piece").count().collect()]
+            assert len(sizes) == 10 and max(sizes) < 2 * sorted(sizes)[5]
+        got = ordered.number_rows(df, [], order, "r")
+        assert got.join(got.select(F.col("r").alias("r2"), *[F.col(c).alias(f"{c}2") for c in order]), F.col("r") + 1 == F.col("r2")).filter(
+            F.struct(*order) >= F.struct(*[f"{c}2" for c in order])).count() == 0
+        assert got.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first()[:] == (1, 20_000, 20_000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+
+
+def test_no_job_while_building_with_given_pieces(spark, rows):
     tracker = spark.sparkContext.statusTracker()
     spark.sparkContext.setJobGroup("building", "plans only")
-    ordered.number_rows(rows, ["k"], ORDER, "r")
-    ordered.with_neighbours(ordered.carry_forward(rows, ["k"], ORDER, F.col("v"), "r"), [], ORDER, F.col("r"))
+    ordered.number_rows(rows, ["k"], ORDER, "r", F.col("o"))
     assert list(tracker.getJobIdsForGroup("building")) == []
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 

@@ -1,14 +1,13 @@
 """Ordered computations inside groups that stay distributed when one group is huge.
 
-A plain window sorts each group in one task. Here a group is cut into pieces along its order: the piece of a row
-is a coarse value of its first order columns (the upper bits of a number, the day of a time, the first letters of a text), so rows
-of a later piece never come before rows of an earlier one. Rows are worked on inside their piece, one summary row
-per piece carries what the pieces before it contribute, and both are joined on the piece by which the rows are already
-partitioned. There is one plan whatever the data: no job runs while it is built, pieces depend on the row alone, so
-a lost executor changes nothing, and a group with a third of all rows is spread over its pieces.
-
-The default piece holds at most 65,536 numbers, one day or the texts with the same first letters. Where an order begins
-with few distinct values, pass ``piece``: any expression that never falls along the order.
+A plain window sorts each group in one task. Here rows are first dealt into ranges of keys and all order columns together, with borders that Spark
+samples from the rows themselves, and written once with their range as the piece: a group with a third of all rows spreads over many
+pieces, keys that begin alike or orders by a struct do no harm, and rows of a later piece never come before rows of an earlier one. Rows are then worked on
+inside their piece, one summary row per piece carries what the pieces before it contribute, and both are joined on the piece. Pieces are read from the written
+rows, so a lost executor changes nothing.
+
+Rows that are equal in keys and order stay together; an order that ends in an identifier has none. ``piece``, any expression that never
+falls along the order, takes the place of the sampled ranges and of the written rows.
 """
 from __future__ import annotations
 
@@ -16,46 +15,26 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from vitrine.session import materialize
+
 GROUP = "__group"
-PIECE_BITS = 16
-PIECE_LETTERS = 3
 
 
 def _cols(names: Sequence[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 
 
-def coarse(df: DataFrame, order: Sequence[str]) -> Column:
-    """A coarse value of the order columns that never falls along the order; leading flags are kept as they are."""
-    parts: list[Column] = []
-    for name in order:
-        kind, col = df.schema[name].dataType, F.col(name)
-        if isinstance(kind, T.BooleanType):
-            parts.append(col)
-            continue
-        if isinstance(kind, T.IntegralType):
-            col = F.shiftright(col.cast("long"), PIECE_BITS)
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            col = col.cast("date")
-        elif isinstance(kind, T.StringType):
-            col = F.substring(col, 1, PIECE_LETTERS)
-        elif isinstance(kind, (T.FloatType, T.DoubleType, T.DecimalType)):
-            col = F.when(F.isnan(col.cast("double")), F.lit(1e9)).otherwise(
-                F.signum(col.cast("double")) * F.floor(8 * F.log2(1 + F.abs(col.cast("double")))))
-        else:
-            col = F.lit(0)
-        parts.append(col)
-        break
-    return F.struct(*[p.alias(f"c{i}") for i, p in enumerate(parts)])
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Rows written once with the number of their range of keys and order; ranges ascend with both, nulls first."""
+    return materialize(df.repartitionByRange(*_cols([*keys, *order])).withColumn(out, F.spark_partition_id()))
 
 
 def _pieces(df: DataFrame, keys: Sequence[str], order: Sequence[str], piece: Column | None) -> DataFrame:
     """Rows with the struct (k0, k1, ..., piece) that names their piece; null keys are equal inside a struct."""
-    at = coarse(df, order) if piece is None else piece
-    return df.withColumn(GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], at.alias("piece")))
+    dealt = in_ranges(df, keys, order, "__range") if piece is None else df.withColumn("__range", piece)
+    return dealt.withColumn(GROUP, F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)], F.col("__range").alias("piece"))).drop("__range")
 
 
 def _along(keys: Sequence[str]):

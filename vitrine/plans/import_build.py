@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from vitrine.functions import language, sizes, textclean
 from vitrine.functions.patterns import flags as flag_array
 from vitrine.functions.patterns import mapped
-from vitrine.operators import classify, extract, identity
+from vitrine.operators import classify, extract, identity, segment
 from vitrine.rules import categories as C
 from vitrine.rules import labels as L
 from vitrine.schemas import CATALOG_RECORD, MM, SOURCE
@@ -66,10 +66,27 @@ def _primary(size_sets: Column) -> Column:
     return F.get(F.filter(F.transform(size_sets, lambda s: s["mm"]), lambda m: m.isNotNull()), F.lit(0))
 
 
-def sheet_records(lines: DataFrame, v: Vocabulary, kind: str = "pdf") -> DataFrame:
-    """Spec-sheet lines (brand, folder, file, page, line_no, line) -> records ordered by (file, page)."""
+def repaired_lines(lines: DataFrame, keys: Sequence[str], dictionary: DataFrame, trusted: DataFrame) -> DataFrame:
+    """Lines in dictionary spelling. ``trusted(folder, file, page, text)`` is recognised text of the same pages and of others; it says what is frequent, on
+    the page first. Lines with ``exact`` false (exports in which sara am and sara aa look alike) have no reliable vowels."""
+    exact = F.bool_and(F.coalesce("exact", F.lit(True))) if "exact" in lines.columns else F.lit(True)
+    pages = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("__rows"), exact.alias("__exact"))
+    trusted = trusted.withColumn("text", textclean.normalize(F.col("text")))
+    own = trusted.groupBy("folder", "file", "page").agg(F.array_join(F.array_sort(F.collect_list("text")), "\n").alias("__own"))
+    pages = pages.join(own, ["folder", "file", "page"], "left").select(
+        *keys, F.transform("__rows", lambda r: r["line_no"]).alias("__numbers"), F.transform("__rows", lambda r: r["line"]).alias("__lines"), "__own", "__exact")
+    mended = segment.repair_pages(pages, keys, "__lines", dictionary, trusted, page_text="__own", reliable_vowels=F.col("__exact"))
+    return mended.select(*keys, F.explode(F.arrays_zip("__numbers", "__lines")).alias("__row")).select(
+        *keys, F.col("__row.__numbers").alias("line_no"), F.col("__row.__lines").alias("line"))
+
+
+def sheet_records(lines: DataFrame, v: Vocabulary, kind: str = "pdf", dictionary: DataFrame | None = None, trusted: DataFrame | None = None) -> DataFrame:
+    """Spec-sheet lines (brand, folder, file, page, line_no, line) -> records ordered by (file, page). With a ``dictionary(word)`` and ``trusted`` text, damaged
+    words are repaired first."""
     keys = ["brand", "folder", "file", "page"]
     clean = lines.withColumn("line", textclean.normalize(F.col("line")))
+    if dictionary is not None and trusted is not None:
+        clean = repaired_lines(clean, keys, dictionary, trusted)
     pages = extract.parse_sheets(clean, keys)
     rows = pages.withColumnRenamed("sizes", "size_lines").join(_size_sets(pages, keys, "sizes", v), keys, "left")
     values = F.flatten(F.transform("specs", lambda s: s["values"]))
