@@ -33,7 +33,7 @@ from vitrine.llm.columns import in_small_batches, per_process, sliced, texts_of,
 
 SPACE = "▁"
 #: Distinct pieces that a worker keeps, and how long they may be; compatible pairs that it keeps.
-CACHE_PIECES, PIECE_LETTERS, CACHE_PAIRS = 200_000, 64, 400_000
+CACHE_PIECES, PIECE_LETTERS, CACHE_PAIRS = 350_000, 64, 400_000
 
 
 class PieceEncoder:
@@ -56,7 +56,8 @@ class PieceEncoder:
         for i, piece in self.text.items():
             self.tokens.add_word(piece, i)
         self.tokens.make_automaton()
-        self.shorter: dict[int, int | None] = {}
+        #: The next shorter token that each token begins with.
+        self.shorter = {i: next((j for k in range(len(p) - 1, 0, -1) if (j := self.ids.get(p[:k])) in self.text), None) for i, p in self.text.items()}
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -132,14 +133,6 @@ class PieceEncoder:
             found = self.pairs[key] = self.merged(left + right) == [left, right]
         return found
 
-    def prefix(self, token: int) -> int | None:
-        """The next shorter token that ``token`` begins with."""
-        if token not in self.shorter:
-            text = self.text[token]
-            ids = (self.ids.get(text[:k]) for k in range(len(text) - 1, 0, -1))
-            self.shorter[token] = next((i for i in ids if i in self.text), None)
-        return self.shorter[token]
-
     def ids_of(self, text: str) -> list[int] | None:
         """Ids of a text, None if it holds a character without a token."""
         for several in self.tied:
@@ -157,16 +150,22 @@ class PieceEncoder:
 
     def _backtracked(self, text: str, out: list[int], token: int) -> list[int]:
         """The ids of a text of which ``out`` are the first so far and ``token`` is the longest one next."""
-        sizes, known, longest = self.size, self.pairs.get, self.tokens.iter_long
+        sizes, known, shorter, longest = self.size, self.pairs.get, self.shorter, self.tokens.iter_long
         at, size, trial = sum(map(sizes.__getitem__, out)), len(text), token
         failed = bytearray(size // 8 + 1)  # one bit a place: nothing fits from there on
         while at < size:
-            last = out[-1] if out else None
+            before = out[-1] << 32 if out else -1
             while trial is not None:
                 end = at + sizes[trial]
-                if not failed[end >> 3] >> (end & 7) & 1 and (last is None or known(last << 32 | trial) or self.compatible(last, trial)):
-                    break
-                trial = self.prefix(trial)
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if before < 0:
+                        break
+                    fits = known(before | trial)
+                    if fits is None:
+                        fits = self.compatible(before >> 32, trial)
+                    if fits:
+                        break
+                trial = shorter[trial]
             if trial is not None:
                 out.append(trial)
                 at = end
@@ -206,10 +205,15 @@ class PieceEncoder:
         pairs, at = np.unique((ids[:-1] << 32 | ids[1:])[of[:-1] == of[1:]], return_inverse=True)
         fits = np.fromiter((self.compatible(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()), bool, len(pairs))
         good = np.bincount(of, weights=size, minlength=len(plain)) == long
-        good[of[:-1][of[:-1] == of[1:]][~fits[at]]] = False
-        edges = np.searchsorted(of, np.arange(len(plain) + 1)) * 4
-        whole = ids.astype(np.int32).tobytes()
-        done = {p: whole[a:b] for p, ok, a, b in zip(plain, good.tolist(), edges[:-1].tolist(), edges[1:].tolist()) if ok}
+        misfit = np.flatnonzero(of[:-1] == of[1:])[~fits[at]]  # tokens that do not fit the next one
+        edges = np.searchsorted(of, np.arange(len(plain) + 1))
+        whole, flat, done = ids.astype(np.int32).tobytes(), ids.tolist(), {}
+        # The first misfit of each piece, the number of tokens if there is none.
+        first = edges[1:].copy()
+        np.minimum.at(first, of[misfit], misfit + 1)
+        for piece, ok, a, b, fit in zip(plain, good.tolist(), edges[:-1].tolist(), edges[1:].tolist(), first.tolist()):
+            if ok:
+                done[piece] = whole[4 * a:4 * b] if fit == b else array("i", self._backtracked(piece, flat[a:fit], flat[fit])).tobytes()
         self.pieces.update(done)
         for piece in pieces:
             if piece not in done:
