@@ -60,17 +60,25 @@ def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_i
     asked = queries.select(F.col(query_id).alias("query_id"), unit_vector(F.col(vector)).alias("v"))
     have = images.filter(F.col(vector).isNotNull()).select(
         F.col(image_id).alias("image_id"), F.col(product).alias("product"), F.col(vector).cast("array<double>").alias("v"))
-    types = {**{f.name: f.dataType.simpleString() for f in have.schema.fields}, **{f.name: f.dataType.simpleString() for f in asked.schema.fields}}
-    schema = f"query_id {types['query_id']}, image_id {types['image_id']}, product {types['product']}, distance double"
 
     def blocks(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    def dealt(key: str, n: int):
-        return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    return nearest_in_cells(
+        asked.withColumn("qb", dealt("query_id", query_blocks)).withColumn("ib", blocks(image_blocks)),
+        have.withColumn("ib", dealt("image_id", image_blocks)).withColumn("qb", blocks(query_blocks)), k)
+
+
+def dealt(key: str, n: int):
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+
 
-    rows = asked.withColumns({"qb": dealt("query_id", query_blocks), "kind": F.lit(0)}).withColumn("ib", blocks(image_blocks)).unionByName(
-        have.withColumns({"ib": dealt("image_id", image_blocks), "kind": F.lit(1)}).withColumn("qb", blocks(query_blocks)), allowMissingColumns=True)
+def nearest_in_cells(asked: DataFrame, have: DataFrame, k: int) -> DataFrame:
+    """(query_id, image_id, product, distance, rank) of the k nearest pictures among those that a query meets: ``asked(query_id, v, ib, qb)`` and
+    ``have(image_id, product, v, ib, qb)`` meet where both block numbers are equal. A query and a picture must not meet twice."""
+    types = {**{f.name: f.dataType.simpleString() for f in have.schema.fields}, **{f.name: f.dataType.simpleString() for f in asked.schema.fields}}
+    schema = f"query_id {types['query_id']}, image_id {types['image_id']}, product {types['product']}, distance double"
+    rows = asked.withColumn("kind", F.lit(0)).unionByName(have.withColumn("kind", F.lit(1)), allowMissingColumns=True)
     cells = rows.repartition("ib", "qb").sortWithinPartitions("ib", "qb", "kind")
 
     def scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -92,8 +100,12 @@ def nearest_images(images: DataFrame, queries: DataFrame, image_id: str, query_i
         if best is not None:
             yield best
 
-    local = cells.mapInPandas(scan, schema).withColumn("salt", dealt("image_id", MERGE_SALTS))
-    fewer = top_per_key(local, ["query_id", "salt"], ["distance", "image_id"], k).drop("rank", "salt")
+    return merged_nearest(cells.mapInPandas(scan, schema), k)
+
+
+def merged_nearest(found: DataFrame, k: int) -> DataFrame:
+    """The k nearest of all (query_id, image_id, product, distance), in two steps, so that no task gets all candidates of one query."""
+    fewer = top_per_key(found.withColumn("salt", dealt("image_id", MERGE_SALTS)), ["query_id", "salt"], ["distance", "image_id"], k).drop("rank", "salt")
     return top_per_key(fewer, ["query_id"], ["distance", "image_id"], k)
 
 

@@ -2,12 +2,15 @@
 because the given documents hold no label lines."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitrine.functions import sizes
-from vitrine.operators import extract, ordered, similar
+from vitrine.operators import extract, ordered, similar, vector_index
 from vitrine.functions.vectors import unit_vector
 from vitrine.plans.tables import Tables, query
+from vitrine.session import ensure_checkpoint_dir
 
 # ---------------------------------------------------------------- markup
 
@@ -258,6 +261,20 @@ def vector_topk(t: Tables):
     return near.select("query_id", "image_id", F.round("distance", 6).alias("distance"))
 
 
+def _indexed(t: Tables):
+    queries, index = _photo_queries(t)
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
+    vector_index.build_index(index, "vec_id", "embedding", "label", folder)
+    return vector_index.indexed_nearest(t.spark, folder, queries, "vec_id", "embedding")
+
+
+@query(f"with {SQL_NEAR} select query_id, image_id, round(distance, 6) as distance from near")
+def indexed_vector_topk(t: Tables):
+    """The rows of vector_topk, from clusters that are read by their bounds."""
+    near, _ = _indexed(t)
+    return near.select("query_id", "image_id", F.round("distance", 6).alias("distance"))
+
+
 def _ranked(t: Tables):
     queries, near = _near(t)
     # A product counts as published when its first picture points to the positive side of the first axis.
