@@ -40,6 +40,29 @@ def test_stages(spark, tmp_path):
     assert sorted(r["doc_id"] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == [1, 2, 3, 9]
 
 
+def stage(spark, folder, name, rows):
+    """Rows (doc_id, text) that a stage keeps."""
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)[name](spark, docs, folder)
+    assert out.columns == docs.columns
+    return sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+
+
+def test_repeated_and_null_ids_in_each_stage(spark, tmp_path):
+    item, t, u, v = invented(77, 30), invented(5, 60), invented(6, 60), invented(7, 60)
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows, near = [(1, t), (1, t), (2, u), (2, t), (None, u), (None, u), (None, v), (3, None), (3, "")], t + " more"
+    assert stage(spark, str(tmp_path), "language", rows) == sorted(((i, x) for i, x in rows if x), key=str)
+    assert stage(spark, str(tmp_path), "exact_copies", rows) == sorted([(2, u), (2, t), (None, v), (3, "")], key=str)
+    assert stage(spark, str(tmp_path), "near_copies", [*rows, (2, near)]) == sorted([(1, t), (None, u), (None, v), (3, None), (3, "")], key=str)
+    bad = item + " " + t
+    assert stage(spark, str(tmp_path), "decontamination", [(1, t), (1, bad), (None, bad), (None, u), (None, u), (4, None)]) == sorted(
+        [(1, t), (None, u), (None, u), (4, None)], key=str)
+    tokens = dict(corpus_pipeline.STAGES)["tokens"](spark, spark.createDataFrame(
+        [(i, x, "en", "s", 0) for i, x in rows], "doc_id long, text string, lang string, source string, n_chars long"), str(tmp_path))
+    assert sorted(map(str, (r["doc_id"] for r in tokens.collect()))) == sorted(str(i) for i, _ in rows)
+
+
 @pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 @pytest.mark.parametrize("name", list(queries.ORACLES))
 def test_query(spark, name):

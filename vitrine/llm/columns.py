@@ -48,3 +48,12 @@ def per_process(key: tuple, build: Callable[[], Any]) -> Any:
     if key not in held:
         held[key] = build()
     return held[key]
+
+
+def latest(kind: str, key: str, build: Callable[[], Any]) -> Any:
+    """As ``per_process``, but only the value of the last key of a kind is kept: models of earlier jobs are let go."""
+    held = per_process(("latest", kind), dict)
+    if key not in held:
+        held.clear()
+        held[key] = build()
+    return held[key]

@@ -48,6 +48,10 @@ class LanguageModel:
     part_scores: dict[int, np.ndarray]
     seen: dict[str, np.ndarray | None] = field(default_factory=dict)
 
+    def plain(self) -> tuple:
+        """What is broadcast: lists, dicts and arrays, which a worker can read without this package. ``LanguageModel(*plain)`` is the model again."""
+        return self.langs, self.words, self.word_scores, self.parts, self.part_scores
+
     def back_off(self, word: str) -> np.ndarray | None:
         """Score of a word outside the lexicon; None without a letter."""
         if not any(c.isalpha() for c in word):
@@ -145,12 +149,13 @@ def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFr
     columns are not read; an empty table gives an empty result.
     """
     keep = in_small_batches(crawled_pages.select("url", "text"))
-    shared = keep.sparkSession.sparkContext.broadcast(model)
+    shared = keep.sparkSession.sparkContext.broadcast(model.plain())
     schema = T.StructType([keep.schema["url"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = LanguageModel(*shared.value)
         for batch in sliced(batches):
-            found = [shared.value.predict(t) for t in texts_of(batch)]
+            found = [known.predict(t) for t in texts_of(batch)]
             yield with_columns(batch, ["url"], lang_pred=pa.array([f[0] for f in found], pa.string()),
                                score=pa.array([f[1] for f in found], pa.float64()))
 
@@ -160,12 +165,13 @@ def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFr
 def with_language(pages: DataFrame, model: LanguageModel) -> DataFrame:
     """``(page, lang_pred, score)`` with the whole row of ``pages`` as the struct ``page``, so that no column name clashes."""
     whole = in_small_batches(pages).select(F.struct(*[pages[c] for c in pages.columns]).alias("page"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = pages.sparkSession.sparkContext.broadcast(model.plain())
     schema = T.StructType([whole.schema["page"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = LanguageModel(*shared.value)
         for batch in sliced(batches):
-            found = [shared.value.predict(t or "") for t in batch.column("page").field("text").to_pylist()]
+            found = [known.predict(t or "") for t in batch.column("page").field("text").to_pylist()]
             yield with_columns(batch, ["page"], lang_pred=pa.array([f[0] for f in found], pa.string()),
                                score=pa.array([f[1] for f in found], pa.float64()))
 

@@ -12,6 +12,7 @@ among them as evidence.
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.llm import scratch
-from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, latest, sliced, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -206,6 +207,15 @@ class ToxicModel:
             weight /= np.repeat(np.sqrt(np.add.reduceat(weight * weight, np.cumsum(self.lengths) - self.lengths)), self.lengths)
         return BlockMaxIndex.of(self.lengths, self.term, weight, len(self.vocabulary.weight))
 
+    def plain(self) -> tuple:
+        """What is broadcast: strings, lists and arrays, which a worker can read without this package."""
+        return ((self.vocabulary.terms, self.vocabulary.weight), self.lengths, self.term, self.often, self.urls, self.hidden, self.class_weight, self.base,
+                self.k, self.prior)
+
+    @classmethod
+    def of(cls, plain: tuple) -> "ToxicModel":
+        return cls(Vocabulary(*plain[0]), *plain[1:])
+
     def score(self, texts: list[str]) -> list[tuple[float, list[tuple[float, int]]]]:
         return [self._vote(near) for near in self.index.nearest_of([self.vocabulary.vector(t) for t in texts], self.k)]
 
@@ -256,11 +266,12 @@ def fit_examples(crawled_pages: DataFrame, reviews: DataFrame, max_examples: int
 
     def vectors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            found = [known_terms.value.counts(t) for t in texts_of(batch)]
+            terms = latest("toxic-terms", key, lambda: Vocabulary(*known_terms.value))
+            found = [terms.counts(t) for t in texts_of(batch)]
             yield with_columns(batch, ["url", "hidden"], places=pa.array([p.tobytes() for p, _ in found], pa.binary()),
                                often=pa.array([zlib.compress(n.tobytes(), 1) for _, n in found], pa.binary()))
 
-    known_terms = sample.sparkSession.sparkContext.broadcast(vocabulary)
+    known_terms, key = sample.sparkSession.sparkContext.broadcast((vocabulary.terms, vocabulary.weight)), uuid.uuid4().hex
     schema = T.StructType([*sample.select("url", "hidden").schema.fields, T.StructField("places", T.BinaryType()), T.StructField("often", T.BinaryType())])
     rows = sample.select("url", "hidden", "text").mapInArrow(vectors, schema).orderBy("url").collect()
     sampled = Counter(r["hidden"] for r in rows)
@@ -299,16 +310,17 @@ def score_pages(crawled_pages: DataFrame, model: ToxicModel) -> DataFrame:
     texts are read whole, extra columns are not read, an empty table gives an empty result.
     """
     keep = in_small_batches(crawled_pages.select("url", "text"))
-    shared = keep.sparkSession.sparkContext.broadcast(model)
+    shared, key = keep.sparkSession.sparkContext.broadcast(model.plain()), uuid.uuid4().hex
     url = keep.schema["url"]
     examples = T.ArrayType(T.StructType([T.StructField("url", url.dataType), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([url, T.StructField("score", T.DoubleType()), T.StructField("evidence", examples), T.StructField("neighbours", examples)])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = latest("toxic-model", key, lambda: ToxicModel.of(shared.value))
         for batch in sliced(batches):
-            found = shared.value.score(texts_of(batch))
+            found = model.score(texts_of(batch))
             kind = pa.list_(pa.struct([("url", batch.schema.field("url").type), ("cosine", pa.float64())]))
-            urls, hidden = shared.value.urls, shared.value.hidden
+            urls, hidden = model.urls, model.hidden
             near = [[{"url": urls[i], "cosine": c} for c, i in n] for _, n in found]
             proof = [[{"url": urls[i], "cosine": c} for c, i in n if hidden[i]] for _, n in found]
             yield with_columns(batch, ["url"], score=pa.array([s for s, _ in found], pa.float64()), evidence=pa.array(proof, kind),
