@@ -2,14 +2,17 @@
 order lines for a product's ordered pictures."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from vitrine.functions.sizes import envelope_text
 from vitrine.functions.textclean import search_key
-from vitrine.operators import browse, ordered, reports, search
+from vitrine.operators import browse, gram_index, ordered, reports, search
 from vitrine.operators.classify import keep_same_main
-from vitrine.plans.tables import Tables, query
+from vitrine.plans.tables import ORACLES, Tables, query
 from vitrine.rules import categories as C
+from vitrine.session import ensure_checkpoint_dir
 from vitrine.sources.feeds import unite
 
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
@@ -158,6 +161,32 @@ def trigram_match(t: Tables):
     return best.select("term", "key", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long"))
 
 
+def _gram_index(t: Tables):
+    """Index of all parts, as the first import and a later one leave it."""
+    folder = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/gram-index-{uuid.uuid4().hex}"
+    keyed = t.part.withColumn("key", search_key(F.col("p_name"))).withColumn("code", F.concat_ws("|", "p_name", F.format_string("%012d", "p_partkey")))
+    for late in (False, True):
+        gram_index.write_index(keyed.filter((F.col("p_size") > 40) == late), "p_partkey", "key", ["p_name", "p_type", "code"], folder)
+    return folder, keyed
+
+
+@query(ORACLES["text_search"])
+def indexed_text_search(t: Tables):
+    """The rows of text_search, from the lists of its trigrams."""
+    folder, keyed = _gram_index(t)
+    found = gram_index.indexed_text_search(folder, keyed, "p_partkey", "red w", ["p_name", "p_type"], "code", "key")
+    return found.select("p_partkey", "p_name", F.round("similarity", 6).alias("similarity"), "prefix")
+
+
+@query(ORACLES["trigram_match"])
+def indexed_trigram_match(t: Tables):
+    """The rows of trigram_match, from the lists of the terms' rarest trigrams."""
+    folder, keyed = _gram_index(t)
+    terms = t.part.select(F.explode(F.split(F.upper("p_name"), " ")).alias("term"))
+    best = search.best_matches(gram_index.indexed_matches(t.spark, folder, keyed, "p_partkey", "key", terms, "term"), "term", "key")
+    return best.select("term", "key", F.round("similarity", 6).alias("similarity"), F.col("rank").cast("long"))
+
+
 @query("""
 select p_type as material, count(*)::bigint as n, arg_min(p_name, struct_pack(a := p_size > 25, b := p_name, c := p_partkey)) as cover
 from part where p_type is not null group by p_type""")
