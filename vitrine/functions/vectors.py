@@ -27,10 +27,6 @@ def unit_vector(v: Column, decimals: int = 6) -> Column:
     return let(scale, lambda s: F.transform(v, lambda x: F.round(x.cast("double") / s, decimals)))
 
 
-def dot(a: Column, b: Column) -> Column:
-    return _sum(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")))
-
-
 def above_mean_bits(v: Column) -> Column:
     """Fingerprint: one bit per element, set where it exceeds the mean; packed into 32-bit words as longs."""
     words = F.sequence(F.lit(0), F.ceil(F.size(v) / 32).cast("int") - 1)

@@ -2,11 +2,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.operators.ordered import first_per_key, number_rows, top_per_key
+from vitrine.operators.search import like_pattern
+from vitrine.session import materialize
 
 
 # ---------------------------------------------------------------- categories
@@ -40,11 +43,6 @@ def category_tree(counts: DataFrame, roots: DataFrame, parent: str, sort: str, c
         cover: F.coalesce(own, F.col("__child_cover"))}).drop("__child_cover")
 
 
-def children_of(categories: DataFrame, slug: str, parent: str, wanted: str) -> DataFrame:
-    """The leaf itself, or the children of a root: category rows a listing covers."""
-    return categories.filter((F.col(parent) == wanted) | ((F.col(slug) == wanted) & F.col(parent).isNotNull()))
-
-
 def listing(products: DataFrame, categories: DataFrame, key: str, shown: Column | str | None = None) -> DataFrame:
     """Products of the given categories; empty categories drop out by themselves. Order when writing."""
     rows = products.filter(shown) if shown is not None else products
@@ -91,16 +89,87 @@ def siblings(products: DataFrame, series: str, code: str, key: str, n: int = 12)
     )
 
 
+#: Rows up to which a page is taken from the head of the order; pages behind are located by ranges.
+HEAD_ROWS = 10_000
+
+
 def filtered_page(products: DataFrame, conditions: Sequence[Column], order: Sequence[str | Column],
-                  page: int = 1, size: int = 50) -> DataFrame:
-    """One page of the rows meeting every condition, with ``total`` and ``pages`` (at least 1)."""
+                  page: int = 1, size: int = 50, key: str | None = None) -> DataFrame:
+    """One page of the rows meeting every condition, with ``total`` and ``pages`` (at least 1).
+
+    With a unique ``key`` no place keeps all rows before a deep page: key and order columns are dealt into ranges of the order, whose sizes tell in
+    which of them the page lies (and the total); only those are sorted, and the rows of the page are fetched by key.
+    """
     rows = products
     for c in conditions:
         rows = rows.filter(c)
-    total = rows.agg(F.count(F.lit(1)).alias("n"))
     start = (max(1, page) - 1) * size
-    return rows.orderBy(*order).offset(start).limit(size).withColumn("total", total.scalar()).withColumn(
-        "pages", F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long"))
+    pages = F.greatest(F.lit(1), F.ceil(F.col("total") / size)).cast("long")
+    if key is None or start + size <= HEAD_ROWS:
+        total = rows.agg(F.count(F.lit(1)).alias("n"))
+        return rows.orderBy(*order).offset(start).limit(size).withColumn("total", total.scalar()).withColumn("pages", pages)
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = materialize(rows.select(*rows.columns).repartitionByRange(*columns).select(key, F.spark_partition_id().alias("__range")))
+    sizes = sorted((r["__range"], r["count"]) for r in ranged.groupBy("__range").count().collect())  # one row per range
+    before, wanted, skipped = 0, [], 0
+    for piece, n in sizes:
+        if before + n > start and before < start + size:
+            skipped = before if not wanted else skipped
+            wanted.append(piece)
+        before += n
+    near = rows.join(ranged.filter(F.col("__range").isin(wanted)).select(key), key, "left_semi").select(*rows.columns)
+    return near.orderBy(*columns).offset(start - skipped).limit(size).withColumn("total", F.lit(before).cast("long")).withColumn("pages", pages)
+
+
+@dataclass(frozen=True)
+class ListFilter:
+    """What an editor's list shows. ``category`` is a slug whose subcategories belong to it; ``open`` means that nobody has checked the product; ``q`` may hold
+    the wildcards ``%`` and ``_``; ``sort`` is ``code`` or ``updated``, latest first."""
+    status: str | None = None
+    brand: str | None = None
+    category: str | None = None
+    flag: str | None = None
+    open: bool = False
+    q: str | None = None
+    page: int = 1
+    sort: str = "code"
+
+
+def listed_products(products: DataFrame, brands: DataFrame, categories: DataFrame, wanted: ListFilter) -> DataFrame:
+    """Products that a list filter lets through, with ``brand_slug`` and ``brand`` (its name); an unknown category filters nothing."""
+    rows = products.join(brands.select(F.col("id").alias("brand_id"), F.col("slug").alias("brand_slug"), F.col("name").alias("brand")), "brand_id")
+    if wanted.status:
+        rows = rows.filter(F.col("status") == wanted.status)
+    if wanted.brand:
+        rows = rows.filter(F.col("brand_slug") == wanted.brand)
+    if wanted.flag:
+        rows = rows.filter(F.array_contains("flags", wanted.flag))
+    if wanted.open:
+        rows = rows.filter(F.col("edited_at").isNull())
+    if wanted.q:
+        like = F.lit(like_pattern(wanted.q))
+        hit = F.lit(False)
+        for c in ("code", "type_th", "type_en"):
+            hit = hit | F.coalesce(F.ilike(F.col(c), like), F.lit(False))
+        rows = rows.filter(hit)
+    top = categories.filter(F.col("slug") == wanted.category).select("id").first() if wanted.category else None
+    if top is not None:
+        tree = categories.filter((F.col("id") == top["id"]) | (F.col("parent_id") == top["id"])).select(F.col("id").alias("category_id"))
+        rows = rows.join(tree, "category_id", "left_semi")
+    return rows
+
+
+def admin_list(products: DataFrame, brands: DataFrame, categories: DataFrame, images: DataFrame, wanted: ListFilter, size: int = 50) -> DataFrame:
+    """One page of an editor's list: slug, code, type_th, status, flags, edited_at, updated_at, brand, category, thumb, total, pages. Equal codes and times are ordered by slug."""
+    rows = listed_products(products, brands, categories, wanted)
+    order = [F.col("updated_at").desc(), F.col("slug")] if wanted.sort == "updated" else [F.col("code"), F.col("slug")]
+    shown = filtered_page(rows, [], order, wanted.page, size, "id")
+    # Names and pictures are only looked up for the rows of the page.
+    first = images.join(shown.select(F.col("id").alias("product_id")), "product_id", "left_semi").groupBy("product_id").agg(
+        F.min_by("thumb_url", F.struct("sort", "thumb_url")).alias("thumb"))
+    named = shown.join(categories.select(F.col("id").alias("category_id"), F.col("name_th").alias("category")), "category_id", "left")
+    return named.join(first, named["id"] == first["product_id"], "left").select(
+        "slug", "code", "type_th", "status", "flags", "edited_at", "updated_at", "brand", "category", "thumb", "total", "pages")
 
 
 def keyset_next(products: DataFrame, order: Sequence[str], after: Sequence[object], keep: Sequence[str]) -> DataFrame:
@@ -146,10 +215,6 @@ def band_of(value: Column, bands: Sequence[tuple[str, float, float]]) -> Column:
     return chain
 
 
-def has_all(values: Column, selected: Sequence[str]) -> Column:
-    return F.size(F.array_except(F.array(*[F.lit(s) for s in selected]), values)) == 0
-
-
 def owners_with_all(df: DataFrame, owner: str, value: str, selected: Sequence[str]) -> DataFrame:
     """Owners that have every selected value in a long table: one flag per value, nothing collected."""
     seen = [F.max((F.col(value) == s).cast("int")).alias(f"__s{i}") for i, s in enumerate(selected)]
@@ -184,7 +249,7 @@ def own_and_cross_listed(items: DataFrame, range_code: str, also: str) -> DataFr
 def contents_tiles(items: DataFrame, taxonomy: DataFrame, range_code: str, main: str, cover: str,
                    order: Sequence[str]) -> DataFrame:
     """Per main category: number of items and the first cover there is in catalogue order."""
-    joined = items.join(F.broadcast(taxonomy.select(F.col("range").alias(range_code), main)), range_code)
+    joined = items.join(taxonomy.select(F.col("range").alias(range_code), main), range_code)
     counted = joined.groupBy(main).agg(
         F.count(F.lit(1)).alias("n"),
         F.min_by(cover, F.when(F.col(cover).isNotNull(), F.struct(*order))).alias("cover"))

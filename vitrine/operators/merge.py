@@ -238,11 +238,6 @@ def product_issues(c=F.col) -> list[Column]:
     ]
 
 
-def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str) -> DataFrame:
-    keys = parent.select(F.col(parent_key).alias(child_key)).distinct()
-    return child.join(keys, child_key, "left_anti")
-
-
 def repeated(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > 1)
 
@@ -258,7 +253,7 @@ def audit_listing(listing: DataFrame, products: DataFrame, main_of: DataFrame) -
     hidden = joined.filter(F.col("status") != "published").select("slug", F.lit("not published").alias("issue"))
     twice = listing.join(repeated(listing, ["code"]).select("code"), "code", "left_semi").select(
         "slug", F.lit("repeated code").alias("issue"))
-    mains = F.broadcast(main_of)
+    mains = main_of
     cross = (
         listing.select("slug", "range", F.explode("also").alias("a"))
         .join(mains.select(F.col("range"), F.col("main").alias("m")), "range", "left")

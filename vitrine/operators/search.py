@@ -14,6 +14,11 @@ from vitrine.operators.ordered import top_per_key
 SIMILAR = 0.3
 
 
+def like_pattern(query: str) -> str:
+    """Pattern of texts that contain the query; a backslash that escapes nothing stands for itself."""
+    return "%" + re.sub(r"\\([%_\\])?", lambda m: m.group() if m.group(1) else r"\\", query) + "%"
+
+
 def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str, key: str | None = None,
                 shown: Column | str | None = None, limit: int = 60) -> DataFrame:
     """Products whose texts or code contain the query, whose code key begins with the query's key, or is
@@ -21,7 +26,7 @@ def text_search(products: DataFrame, query: str, texts: Sequence[str], code: str
     backslash before one makes it a plain character, any other backslash stands for itself.
     """
     rows = products.filter(shown) if shown is not None else products
-    like = F.lit("%" + re.sub(r"\\([%_\\])?", lambda m: m.group() if m.group(1) else r"\\", query.strip()) + "%")
+    like = F.lit(like_pattern(query.strip()))
     wanted = "".join(ch for ch in query.upper() if ch.isascii() and ch.isalnum())
     hit = F.lit(False)
     for c in [*texts, code]:

@@ -410,3 +410,60 @@ def nested_export(t: Tables):
     places = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("owner"), "n_name")
     return feeds.join(places, "owner", "left").select("feed", F.coalesce("n_name", F.lit("—")).alias("category"), "id", "label", "extra")
 
+
+
+# Customers as products of an editor's list: segments are brands, regions with their nations the category tree, orders the pictures.
+def _editor_tables(t: Tables):
+    key = F.col("c_custkey")
+    flags = F.array_compact(F.array(F.when(F.col("c_acctbal") < 2000, "no-dimensions"), F.when(key % 3 == 0, "ocr-import")))
+    products = t.customer.select(
+        key.alias("id"), F.concat(F.lit("s"), key).alias("slug"), F.col("c_mktsegment").alias("brand_id"), F.col("c_nationkey").alias("category_id"),
+        F.col("c_name").alias("code"), F.col("c_mktsegment").alias("type_th"), F.lower("c_name").alias("type_en"), F.when(F.col("c_acctbal") > 0, "published").otherwise("review").alias("status"),
+        flags.alias("flags"), F.when(key % 5 == 0, F.timestamp_seconds(key)).alias("edited_at"), F.timestamp_seconds(F.lit(1_700_000_000) + key * 7919 % 400).alias("updated_at"))
+    brands = t.customer.select(F.col("c_mktsegment").alias("id"), F.lower("c_mktsegment").alias("slug"), F.col("c_mktsegment").alias("name")).distinct()
+    region = t.region.select((F.col("r_regionkey") + 1000).alias("id"), F.lit(None).cast("int").alias("parent_id"), F.lower("r_name").alias("slug"), F.col("r_name").alias("name_th"))
+    nation = t.nation.select(F.col("n_nationkey").alias("id"), (F.col("n_regionkey") + 1000).alias("parent_id"), F.lower("n_name").alias("slug"), F.col("n_name").alias("name_th"))
+    images = t.orders.select(F.col("o_custkey").alias("product_id"), F.col("o_orderkey").cast("string").alias("thumb_url"), F.col("o_orderdate").alias("sort"))
+    return products, brands, region.unionByName(nation), images
+
+
+_SQL_EDITOR = """
+with p as (select c_custkey as id, 's' || c_custkey as slug, c_name as code, c_mktsegment as type_th, case when c_acctbal > 0 then 'published' else 'review' end as status,
+  list_filter([case when c_acctbal < 2000 then 'no-dimensions' end, case when c_custkey % 3 = 0 then 'ocr-import' end], lambda x: x is not null) as flags,
+  case when c_custkey % 5 = 0 then c_custkey end as edited, 1700000000 + c_custkey * 7919 % 400 as updated, c_mktsegment as brand, n_name as category, r_name
+  from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey),
+f as (select * from p where {where}),
+i as (select o_custkey, arg_min(o_orderkey::varchar, struct_pack(a := o_orderdate, b := o_orderkey::varchar)) as thumb from orders group by 1)
+select slug, code, type_th, status, array_to_string(flags, ',') as flags, edited, updated, brand, category, thumb,
+  (select count(*) from f)::bigint as total, greatest(1, ceil((select count(*) from f) / {size}.0))::bigint as pages
+from f left join i on o_custkey = id order by {order} limit {size} offset {offset}"""
+
+
+def _shown(found):
+    at = lambda c: F.unix_seconds(c).alias(c.removesuffix("_at"))
+    return found.select("slug", "code", "type_th", "status", F.array_join("flags", ",").alias("flags"), at("edited_at"), at("updated_at"), "brand", "category", "thumb", "total", "pages")
+
+
+@query(_SQL_EDITOR.format(where="r_name = 'ASIA' and list_contains(flags, 'ocr-import') and edited is null and status = 'published'", order="updated desc, slug", size=10, offset=10))
+def admin_list_updated(t: Tables):
+    """Second page of the unchecked products of a category tree with a flag, latest first."""
+    wanted = browse.ListFilter(status="published", category="asia", flag="ocr-import", open=True, page=2, sort="updated")
+    return _shown(browse.admin_list(*_editor_tables(t), wanted, size=10))
+
+
+@query(_SQL_EDITOR.format(where="brand = 'MACHINERY' and (code ilike '%er#%1%' or type_th ilike '%er#%1%' or lower(code) ilike '%er#%1%')", order="code, slug", size=10, offset=0))
+def admin_list_brand(t: Tables):
+    """First page of a brand's products whose code or type has a pattern, by code."""
+    return _shown(browse.admin_list(*_editor_tables(t), browse.ListFilter(brand="machinery", q="er#%1"), size=10))
+
+
+@query("""
+select l_orderkey, l_linenumber::bigint as l_linenumber, l_partkey, count(*) over ()::bigint as total, greatest(1, ceil(count(*) over () / 50.0))::bigint as pages from
+  (select *, row_number() over (order by l_extendedprice desc, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) as r from lineitem where l_discount < 0.09)
+qualify r > (select count(*) * 9 // 10 from lineitem where l_discount < 0.09) // 50 * 50 order by r limit 50""")
+def deep_page(t: Tables):
+    """A page nine tenths down all order lines, most expensive first, located by ranges."""
+    rows = t.lineitem.filter(F.col("l_discount") < 0.09).withColumn("id", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"))
+    order = [F.col("l_extendedprice").desc(), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    out = browse.filtered_page(rows, [], order, page=rows.count() * 9 // 10 // 50 + 1, key="id")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long"), "l_partkey", "total", "pages")
