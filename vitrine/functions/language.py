@@ -23,6 +23,11 @@ def translate_phrases(text: Column, phrases: Sequence[tuple[str, str]], foreign:
     glossary = F.from_json(F.lit(json.dumps(ordered, ensure_ascii=False)), "array<struct<s:string,t:string>>")
     replaced = F.aggregate(glossary, text, lambda out, p: F.replace(out, p["s"], p["t"]))
 
+    return tidy_translation(text, replaced, foreign)
+
+
+def tidy_translation(text: Column, replaced: Column, foreign: str = THAI) -> Column:
+    """The replaced text with its spaces put right and a capital letter, null where source script is left; ``text`` itself if it had none."""
     def tidy(out: Column) -> Column:
         done = F.regexp_replace(out, r"\s+-seater", "-seater")
         done = F.regexp_replace(done, r"(\d)\s+-tier", "$1-tier")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from vitrine.functions import language, textclean
+from vitrine.functions import glossary, language, textclean
 from vitrine.operators import classify, extract, identity, merge, segment, spelling
 from vitrine.plans.tables import Tables, query
 
@@ -62,6 +62,21 @@ def quality_flag_sets(t: Tables):
     return t.part.select("p_partkey", F.array_join(found, ",").alias("flags"))
 
 
+def _glossary_sql(words: str) -> str:
+    return f"""g as (select list(row(w, ' ' || upper(w) || ' ') order by length(w) desc, w) as phrases from ({words}))"""
+
+
+@query(f"""
+with {_glossary_sql("select distinct unnest(string_split_regex(lower(text), '[^a-z]+')) as w from benchmark")},
+p as (select list_filter(phrases, lambda x: x[1] <> '') as phrases from g)
+select doc_id, list_reduce(phrases, lambda t, x: row(replace(t[1], x[1], x[2]), ''), row(lower(text), ''))[1] as replaced from documents, p""")
+def glossary_texts(t: Tables):
+    """All documents after a glossary of all words of the benchmark, longest first."""
+    words = spelling.words(t.benchmark, "text", [], split="[^a-z]+").distinct()
+    phrases = [(r["token"], r["token"].upper()) for r in words.orderBy("token").collect()]  # a glossary, here as long as the benchmark's vocabulary
+    return t.documents.select("doc_id", glossary.replaced_phrases(F.lower("text"), phrases).alias("replaced"))
+
+
 LABELS_TH = {"โครงขา": "Leg frame", "สี": "Colour"}
 LABELS_EN = {"leg frame": "โครงขา", "colour": "สี"}
 
