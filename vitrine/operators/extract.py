@@ -6,10 +6,13 @@ partitioning.
 """
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from vitrine.functions.patterns import extracted, matches
@@ -334,36 +337,66 @@ CODE_WORD = r"^(?=[A-Z0-9./-]*\d)(?=[A-Z0-9./-]*[A-Z])[A-Z0-9][A-Z0-9./-]{2,}$"
 CODE_HEAD = r"^[A-Z]{1,4}$"
 
 
+def lines_of_page(words: list[tuple]) -> list[tuple]:
+    """Words (x0, y0, x1, y1, text) of one page -> lines (band, part, x0, y0, x1, y1, texts), by one sweep from top to bottom and one along each band."""
+    order = lambda text: (text is not None, text or "")
+    by_y = sorted(((y0 + y1) / 2, x0, order(text), x1, y0, y1, max(8, y1 - y0), text) for x0, y0, x1, y1, text in words)
+    bands: list[list[tuple]] = []
+    first = 0.0
+    for w in by_y:
+        if not bands or w[0] - first >= w[6] * 0.55:
+            bands.append([])
+            first = w[0]
+        bands[-1].append(w)
+    out = []
+    for band, found in enumerate(bands):
+        part, reach, line = 0, None, []
+        for w in sorted(found, key=lambda w: (w[1], w[3], w[2])):
+            if reach is not None and w[1] - reach >= w[6] * 1.6:
+                out.append((band, part, line))
+                part, line = part + 1, []
+            line.append(w)
+            reach = w[3] if reach is None else max(reach, w[3])
+        out.append((band, part, line))
+    return [(band, part, min(w[1] for w in line), min(w[4] for w in line), max(w[3] for w in line), max(w[5] for w in line), [w[7] for w in line])
+            for band, part, line in out]
+
+
+#: Pages whose words are Python values at one time.
+PAGES_AT_ONCE = 64
+
+
 def word_lines(words: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Words (x0, y0, x1, y1, text) -> text lines (line, x0, y0, x1, y1, words, text).
+    """Words (x0, y0, x1, y1, text) -> text lines (band, part, x0, y0, x1, y1, words, text).
 
     Independent of reading order: a vertical band holds the centres that lie less than 0.55 of the word height below its
     first one, so lines of one column never share a band; within a band a line ends at a horizontal gap of 1.6 heights.
-    ``keys`` name a page, whose words are gathered and folded in order.
+    ``keys`` name a page, whose words are gathered and swept once in an Arrow batch; words without a box are left out.
     """
-    height = F.greatest(F.lit(8), F.col("y1") - F.col("y0"))
-    centre = ((F.col("y0") + F.col("y1")) / 2).cast("double")
-    page = words.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(centre.alias("cy"), "x0", "text", "x1", "y0", "y1", height.cast("int").alias("h")))).alias("__w"))
-
-    def step(state: Column, w: Column) -> Column:
-        begins = state["first"].isNull() | (w["cy"] - state["first"] >= w["h"] * 0.55)
-        band = F.when(begins, state["band"] + 1).otherwise(state["band"])
-        return F.struct(F.when(begins, w["cy"]).otherwise(state["first"]).alias("first"), band.alias("band"),
-                        F.concat(state["bands"], F.array(band)).alias("bands"))
-
-    start = F.struct(F.lit(None).cast("double").alias("first"), F.lit(-1).alias("band"), F.array().cast("array<int>").alias("bands"))
-    bands = F.aggregate("__w", start, step, lambda state: state["bands"])
-    df = page.select(*keys, F.explode(F.arrays_zip(F.col("__w").alias("w"), bands.alias("band"))).alias("z")).select(
-        *keys, F.col("z.band").alias("__band"), "z.w.x0", "z.w.y0", "z.w.x1", "z.w.y1", "z.w.text", F.col("z.w.h").alias("__h"))
-    right = W.partitionBy(*keys, "__band").orderBy("x0", "x1", "text")
-    reach = F.max("x1").over(right.rowsBetween(W.unboundedPreceding, -1))
-    df = df.withColumn("__gap", F.coalesce((F.col("x0") - reach >= F.col("__h") * 1.6).cast("int"), F.lit(0)))
-    df = df.withColumn("__part", F.sum("__gap").over(right.rowsBetween(W.unboundedPreceding, 0)))
-    packed = F.array_sort(F.collect_list(F.struct("x0", "x1", "text")))
-    lines = df.groupBy(*keys, "__band", "__part").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.transform(packed, lambda w: w["text"]).alias("words"))
-    return lines.withColumn("text", fix_thai_spacing(F.array_join("words", " "))).withColumnsRenamed({"__band": "band", "__part": "part"})
+    boxes = [F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]
+    whole = words.filter(F.col("x0").isNotNull() & F.col("y0").isNotNull() & F.col("x1").isNotNull() & F.col("y1").isNotNull())
+    page = whole.groupBy(*keys).agg(F.collect_list(F.struct(*boxes, "text")).alias("__w"))
+    numbers = [T.StructField(c, T.IntegerType()) for c in ("x0", "y0", "x1", "y1")]
+    schema = T.StructType([*(page.schema[k] for k in keys), T.StructField("band", T.IntegerType()), T.StructField("part", T.LongType()), *numbers,
+                           T.StructField("words", T.ArrayType(T.StringType()))])
+    names, kinds = [f.name for f in schema], [pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.list_(pa.string())]
+
+    def sweep(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                some = batch.slice(at, PAGES_AT_ONCE)
+                boxes = some.column(len(keys))
+                flat, end = list(zip(*(f.to_pylist() for f in boxes.flatten().flatten()))), 0
+                rows, of = [], []
+                for i, size in enumerate(pc.list_value_length(boxes).to_pylist()):
+                    rows += (found := lines_of_page(flat[end:end + size]))
+                    of += [i] * len(found)
+                    end += size
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                take = pa.array(of, pa.int64())
+                yield pa.RecordBatch.from_arrays([*(c.take(take) for c in some.columns[:len(keys)]), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=names)
+
+    return page.mapInArrow(sweep, schema).withColumn("text", fix_thai_spacing(F.array_join("words", " ")))
 
 
 def with_code_line(lines: DataFrame) -> DataFrame:

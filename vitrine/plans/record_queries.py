@@ -175,3 +175,49 @@ def page_lines(t: Tables):
         (row * 20 + column % 3).cast("int").alias("y0"), (row * 20 + column % 3 + 12).cast("int").alias("y1"))
     lines = extract.word_lines(words, ["doc_id", "page"])
     return lines.select("doc_id", "page", F.col("band").cast("long").alias("line"), "text", F.size("words").cast("long").alias("words"))
+
+
+PAGE_W, PAGE_H = 1000, 1100
+_SQL_BOXES = f"""
+w as (select doc_id, unnest(string_split(text, ' ')) as word, generate_subscripts(string_split(text, ' '), 1) - 1 as n from documents),
+b as (select doc_id, n // {WORDS_PER_PAGE} as page, n % {WORDS_PER_LINE} as col, (n % {WORDS_PER_PAGE}) // {WORDS_PER_LINE} as line, word, n from w),
+l as (select doc_id, page, n, col * 120 as x0, col * 120 + 100 as x1, line * 50 + col % 3 as y0, line * 50 + col % 3 + 12 as y1, word,
+  case when n % 5 = 0 then 'C-' || (n % 90 + 10) end as code, case when n % 5 = 3 then 'W600*D450*H' || (700 + n % 100) end as size from b)"""
+
+
+def _boxes(t: Tables):
+    """Words of a document set on pages of 50 rows and 8 columns; every fifth begins a code line, every fifth is a size line."""
+    n, at = F.col("n"), F.col("n") % WORDS_PER_PAGE
+    column, row = at % WORDS_PER_LINE, F.floor(at / WORDS_PER_LINE)
+    code, size = F.concat(F.lit("C-"), n % 90 + 10), F.concat(F.lit("W600*D450*H"), n % 100 + 700)
+    words = F.when(n % 5 == 0, F.array(code, F.col("word"))).when(n % 5 == 3, F.array(size)).otherwise(F.array("word"))
+    rows = t.documents.select("doc_id", F.posexplode(F.split("text", " ")).alias("n", "word"))
+    out = rows.select("doc_id", F.floor(n / WORDS_PER_PAGE).alias("page"), F.lit(PAGE_W).alias("page_w"), F.lit(PAGE_H).alias("page_h"), "n", words.alias("words"),
+                      (column * 120).cast("int").alias("x0"), (column * 120 + 100).cast("int").alias("x1"), (row * 50 + column % 3).cast("int").alias("y0"),
+                      (row * 50 + column % 3 + 12).cast("int").alias("y1"))
+    return out.withColumn("text", F.array_join("words", " "))
+
+
+@query(f"""
+with {_SQL_BOXES},
+s as (select * from l where size is not null), c as (select * from l where code is not null),
+j as (select s.doc_id, s.page, s.n, s.size, arg_max(c.code, struct_pack(a := c.y1, b := -c.x0)) as code from s join c on s.doc_id = c.doc_id and s.page = c.page
+  and c.y1 <= s.y0 + 4 and s.y0 - c.y1 < {PAGE_H} * 0.05 and c.x0 < s.x1 and c.x1 > s.x0 - {PAGE_W} * 0.02 group by all)
+select doc_id, page, size as size_text, code, count(*) as lines from j group by all""")
+def nearest_code(t: Tables):
+    """The code line above each size line of all pages, by size and code."""
+    found = extract.nearest_code_above(_boxes(t), ["doc_id", "page"], "page_w", "page_h", F.col("text").rlike("^W600"))
+    return found.groupBy("doc_id", "page", "size_text", "code").agg(F.count(F.lit(1)).alias("lines"))
+
+
+@query(f"""
+with {_SQL_BOXES},
+c as (select *, case when y0 - lag(y0) over (partition by doc_id, page order by y0, x0) >= {PAGE_H} * 0.04 then 1 else 0 end as jump from l where code is not null),
+r as (select *, sum(jump) over (partition by doc_id, page order by y0, x0 rows unbounded preceding) as row from c)
+select doc_id, n::bigint as n, greatest(0, x0 - {PAGE_W * 3 // 100}, lag(x0) over w + {PAGE_W * 5 // 100})::int as "left",
+  least({PAGE_W}, coalesce(lead(x0) over w - {PAGE_W * 15 // 1000}, least({PAGE_W}, x0 + {PAGE_W * 34 // 100})))::int as "right"
+from r window w as (partition by doc_id, page, row order by x0, y0)""")
+def column_neighbours(t: Tables):
+    """Bounds of each code line of all pages, between its neighbours in the row."""
+    out = extract.column_spans(_boxes(t).filter(F.col("n") % 5 == 0), ["doc_id", "page"], "page_w", "page_h")
+    return out.select("doc_id", F.col("n").cast("long"), "left", "right")
