@@ -64,6 +64,26 @@ def test_odd_tables(spark):
     assert ngram_join.near_duplicates(no_pages(spark), count_bits=12).count() == 0
 
 
+def test_hot_centres_go_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRS_TOGETHER", 3)
+    texts = variants(4, 25, 80, 2)
+    frame = pages(spark, texts)
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 25)] + [(3, 4), (5, 9)], "a long, b long")
+    got = {(r["a"], r["b"]) for r in ngram_join.verified(frame, pairs, 5, 75).collect()}
+
+    def linked(i, j):
+        x, y = ({tuple(texts[k].lower().split()[p:p + 5]) for p in range(76)} for k in (i, j))
+        return 100 * len(x & y) >= 75 * len(x | y)
+    assert got == {(r["a"], r["b"]) for r in pairs.collect() if linked(r["a"], r["b"])} and got
+
+
+def test_repeated_rows_and_struct_urls(spark):
+    near = invented(3, 60)
+    frame = spark.createDataFrame([((1, "x"), near), ((1, "x"), near), ((1, "y"), invented(8, 60)), ((2, "z"), near + " more")], "url struct<i: long, d: string>, text string")
+    got = sorted((tuple(r["url"]), tuple(r["component"])) for r in ngram_join.near_duplicates(frame, count_bits=12).collect())
+    assert got == [((1, "x"), (1, "x")), ((1, "x"), (1, "x")), ((1, "y"), (1, "y")), ((2, "z"), (1, "x"))]
+
+
 def test_components(spark):
     r = random.Random(5)
     edges = [(i, i + 1) for i in range(100, 130)] + [(r.randrange(60), r.randrange(60)) for _ in range(40)] + [(3, 3), (7, 8), (8, 7), (7, 8)]

@@ -208,32 +208,60 @@ def _suffix_filter(pairs: DataFrame, groups: DataFrame, percent: int) -> DataFra
     return pairs.filter(most >= needed_overlap(F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
+#: Pairs of one text that a task compares; a text with more of them goes to several tasks.
+PAIRS_TOGETHER = 2_000
+
+
+def _arranged(pairs: DataFrame, url: T.StructField) -> DataFrame:
+    """``(centre, salt, url, first)`` for the texts that have to meet: of each pair the end with more pairs is the centre, named by ``first`` once per salt, and
+    the other end comes to one salt of it."""
+    count = F.count(F.lit(1))
+    degree = scratch.settled(pairs.select(F.explode(F.array("a", "b")).alias("u")).groupBy("u").agg(count.alias("d")))
+    for side in "ab":
+        pairs = pairs.join(degree.select(F.col("u").alias(side), F.col("d").alias(f"d{side}")), side)
+    swap = F.col("db") > F.col("da")
+    pairs = pairs.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("centre"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("url"),
+                         F.greatest("da", "db").alias("d"))
+    salts = F.ceil(F.col("d") / PAIRS_TOGETHER).cast("int")
+    others = pairs.select("centre", F.pmod(F.xxhash64("url"), salts).cast("int").alias("salt"), "url", F.lit(False).alias("first"))
+    return others.unionByName(others.select("centre", "salt", F.col("centre").alias("url"), F.lit(True).alias("first")).distinct())
+
+
 def verified(crawled_pages: DataFrame, pairs: DataFrame, words: int, percent: int, bits: int = 20) -> DataFrame:
-    """Those ``pairs(a, b)`` of urls whose whole sets are similar. A pair of sets is compared once."""
+    """Those ``pairs(a, b)`` of urls whose whole sets are similar. A pair of sets is compared once.
+
+    Texts travel, not their sets, which are several times larger: each text that has pairs is dealt by url once, and from there to the text that it is compared
+    with, which comes first in its cell. Their sets are made where they meet.
+    """
     ends = pairs.select(F.explode(F.array("a", "b")).alias("u")).select(place(F.col("u"), bits).alias("k"))
     shared = crawled_pages.sparkSession.sparkContext.broadcast(bit_field(ends, bits))
     url = crawled_pages.schema["url"]
-    schema = T.StructType([url, T.StructField("set", T.BinaryType())])
+    schema = T.StructType([url, T.StructField("text", T.StringType())])
 
-    def sets(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler, wanted = Shingler(words), shared.value
+    def asked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(wanted[batch.column("k").to_numpy(zero_copy_only=False)]))
-            for some in sliced([batch]):
-                yield with_columns(some, ["url"], set=pa.array([x.tobytes() for x in shingler.sets(texts_of(some))], pa.binary()))
+            yield batch.filter(pa.array(shared.value[batch.column("k").to_numpy(zero_copy_only=False)])).select(["url", "text"])
 
     def similar(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, cell, centre = Shingler(words), None, None
         for batch in sliced(batches):
             keep = []
-            for x, y in zip(batch.column("sa").to_pylist(), batch.column("sb").to_pylist()):
-                common = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                keep.append(100 * common >= percent * ((len(x) + len(y)) // 8 - common))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    whole = crawled_pages.select("url", "text", place(F.col("url"), bits).alias("k")).mapInArrow(sets, schema)
-    both = pairs.join(whole.select(F.col("url").alias("a"), F.col("set").alias("sa")), "a").join(
-        whole.select(F.col("url").alias("b"), F.col("set").alias("sb")), "b")
-    return both.select("a", "b", "sa", "sb").mapInArrow(similar, T.StructType([T.StructField(c, url.dataType) for c in "ab"]))
+            sets = shingler.sets(texts_of(batch))
+            for c, salt, first, found in zip(*(batch.column(k).to_pylist() for k in ("centre", "salt", "first")), sets):
+                if first:
+                    cell, centre = (c, salt), found
+                    keep.append(False)
+                else:
+                    assert cell == (c, salt), "a cell begins with its centre"
+                    common = len(np.intersect1d(centre, found, assume_unique=True))
+                    keep.append(100 * common >= percent * (len(centre) + len(found) - common))
+            yield batch.select(["centre", "url"]).rename_columns(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    whole = crawled_pages.select("url", "text", place(F.col("url"), bits).alias("k")).mapInArrow(asked, schema)
+    met = _arranged(pairs, url).join(whole, "url").select("centre", "salt", F.col("first"), "url", "text")
+    cells = met.repartition("centre", "salt").sortWithinPartitions("centre", "salt", F.col("first").desc())
+    found = cells.mapInArrow(similar, T.StructType([T.StructField(c, url.dataType) for c in "ab"]))
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75, draws: int = 4, count_bits: int = 20,
@@ -242,8 +270,9 @@ def near_duplicates(crawled_pages: DataFrame, words: int = 5, percent: int = 75,
 
     Two pages are linked if ``100 * common >= percent * united`` n-grams; ``component`` is the smallest url reachable by links. Null
     or empty texts, and texts of white space only, have no n-gram and are linked with nothing, not even one another. Equal texts
-    are linked; rows that repeat a url stay. Texts are read whole, extra columns are not read, an empty table gives an empty
-    result. ``draws`` is the number of sets that each list draws in the second round. Urls must be unique and not null.
+    are linked. Texts are read whole, extra columns are not read, an empty table gives an empty
+    result. ``draws`` is the number of sets that each list draws in the second round. A url must not be null, and where it is repeated it has to stand for the
+    same text; such rows all stay and get the same component. It may be a struct of an id and a digest of the text.
     """
     pages = in_small_batches(crawled_pages.select("url", "text"))
     counts = corpus_counts(pages, words, count_bits)
