@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import random
+import time
+
 import pytest
 
 from tests.llm.texts import invented, no_pages, odd_pages, pages
@@ -63,3 +66,33 @@ def test_one_odd_value_drops_only_its_windows(spark):
     assert set(got) == {(0, 1), (1, 1), (2, 2), (3, 2)}
     total = got[1, 1]["windows"] / got[1, 1]["share"]
     assert total - 10 < got[0, 1]["windows"] < total and got[3, 2]["windows"] > got[2, 2]["windows"]
+
+
+def test_plain_windows_against_all_places(spark):
+    """Texts of few words, full of repeats: every place of a reference is looked for at every place of a page."""
+    r = random.Random(7)
+    text = lambda n: " ".join(r.choice(["red", "blue", "old", "box"]) for _ in range(n))
+    refs = [text(r.randrange(9, 40)) for _ in range(12)] + [" ".join(["red box"] * 10)]
+    texts = [text(r.randrange(1, 80)) for _ in range(25)] + [" ".join(["red box"] * 60)]
+    texts += [text(20) + " " + ref for ref in refs[:4]]
+    want = {}
+    for u, page in enumerate(texts):
+        p = page.split()
+        for s, ref in enumerate(refs):
+            w = ref.split()
+            places = len(w) - 7
+            hits = {there: [here for here in range(len(p) - 7) if p[here:here + 8] == w[there:there + 8]] for there in range(places)}
+            hits = {t: h for t, h in hits.items() if h}
+            if len(hits) >= 5 or hits and len(hits) / places >= 0.5:
+                want[u, s] = (len(hits), len(hits) / places, True, min(map(min, hits.values())), max(map(max, hits.values())) + 8)
+    items = spark.createDataFrame(list(enumerate(refs)), "slug long, text string")
+    got = {(r["url"], r["slug"]): tuple(r)[2:] for r in contaminated(pages(spark, texts), items).collect()}
+    assert got == want and len(want) > 3
+
+
+def test_repeated_phrases_on_both_sides_stay_in_proportion(spark):
+    phrase = "the same eight words of one phrase again "
+    items = spark.createDataFrame([(1, phrase * 50)], "slug long, text string")
+    start = time.perf_counter()
+    got = contaminated(pages(spark, [phrase * 5000, "nothing of that kind"]), items).collect()
+    assert [(r["url"], r["slug"], r["share"]) for r in got] == [(0, 1, 1.0)] and time.perf_counter() - start < 30

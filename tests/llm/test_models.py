@@ -1,7 +1,9 @@
 """Language, toxicity and quality: held-out accuracy, and exactness of the search behind the toxicity score."""
 from __future__ import annotations
 
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -51,15 +53,82 @@ def test_language_without_examples(spark):
 
 
 def test_longer_parts_first():
-    m = language_id.LanguageModel(["a", "b"], {"xyz": 0}, np.array([[-1.0, -2.0]]),
-                                  {n: {} for n in range(1, 5)} | {3: {"<xy": 0}, 1: {"x": 0, "q": 1}},
-                                  {n: np.zeros((0, 2)) for n in range(1, 5)} | {3: np.array([[-5.0, -1.0]]), 1: np.array([[0.0, -9.0], [-3.0, -9.0]])})
+    def table(n, rows):
+        rows = sorted((language_id.hashed(k, n), v) for k, v in rows.items())
+        return np.array([h for h, _ in rows], np.int64), np.array([v for _, v in rows], float).reshape(-1, 2)
+    parts = {0: {"xyz": [-1.0, -2.0]}, 3: {"<xy": [-5.0, -1.0]}, 1: {"x": [0.0, -9.0], "q": [-3.0, -9.0]}}
+    m = language_id.LanguageModel(["a", "b"], {n: table(n, parts.get(n, {})) for n in range(5)})
     assert m.predict("xyz xyz")[0] == "a"
     assert m.unseen("xyw").tolist() == [-5.0, -1.0] and m.predict("xyw")[0] == "b"
     assert m.unseen("xq").tolist() == [-1.5, -9.0]
     assert m.unseen("ww").tolist() == [0.0, 0.0] and m.unseen("²") is None
 
 
+def test_language_scores_against_plain_counts(spark):
+    """The whole fit and back-off once more, with counts in dictionaries."""
+    r = random.Random(11)
+    known = [("".join(r.choice("abcé ") for _ in range(r.randrange(40))), r.choice(["en", "fr", "de"])) for _ in range(60)]
+    asked = ["".join(r.choice("abcéz ²") for _ in range(r.randrange(25))) for _ in range(80)]
+    langs, tables = ["de", "en", "fr"], {n: {} for n in range(5)}
+    for text, lang in known:
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            parts = {0: [w]} | {n: [f"<{w}>"[i:i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w) for n in range(1, 5)}
+            for n, found in parts.items():
+                for g in found:
+                    tables[n].setdefault(g, {k: 0 for k in langs})[lang] += 1
+
+    def rate(n, g, lang):
+        return math.log((tables[n][g][lang] + 0.1) / (sum(c[lang] for c in tables[n].values()) + 0.1 * len(tables[n])))
+
+    def score(text):
+        total, any_word = dict.fromkeys(langs, 0.0), False
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            if not any(c.isalpha() for c in w):
+                continue
+            any_word = True
+            rows = [(0, w)] if w in tables[0] else []
+            for n in range(4, 0, -1):
+                rows = rows or [(n, g) for g in ([f"<{w}>"[i:i + n] for i in range(len(w) + 3 - n)] if n > 1 else list(w)) if g in tables[n]]
+            for lang in langs:
+                total[lang] += sum(rate(n, g, lang) for n, g in rows) / len(rows) if rows else 0.0
+        if not any_word:
+            return "und", 0.0
+        best = max(langs, key=lambda k: total[k])
+        return best, 1 / sum(math.exp(total[k] - total[best]) for k in langs)
+
+    fitted = language_id.fit_languages(spark.createDataFrame([(i, *x) for i, x in enumerate(known)], "url long, text string, lang string"))
+    for text in asked:
+        lang, share = fitted.predict(text)
+        want, want_share = score(text)
+        assert abs(share - want_share) < 1e-9 and (lang == want or abs(share - 1 / 2) < 1e-9 or abs(share - 1 / 3) < 1e-9)
+
+
+def test_votes_of_neighbours_against_all_cosines(spark):
+    """The score from all examples: cosines of whole TF-IDF vectors, the seven nearest, distance-weighted votes."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join(r.choice(words[:30] if i % 3 else words[10:]) for _ in range(r.randrange(1, 20))), "published" if i % 3 else "hidden") for i in range(60)]
+    pages = spark.createDataFrame(rows, "url long, text string, status string")
+    model = toxic_neighbours.fit_examples(pages.select("url", "text"), pages.select("url", "status"))
+    asked = [" ".join(r.choice(words) for _ in range(12)) for _ in range(20)]
+    weight = dict(zip(model.vocabulary.terms.split("\n"), model.vocabulary.weight))
+    text_of, hidden_of = {u: t for u, t, _ in rows}, {u: s == "hidden" for u, _, s in rows}
+
+    def vector(text):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in toxic_neighbours.terms_of(text).items() if t in weight}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / size for t, x in v.items()}
+
+    examples = {u: vector(text_of[u]) for u in model.urls}
+    for text, (score, near) in zip(asked, model.score(asked)):
+        mine = vector(text)
+        cosines = sorted(((round(sum(x * v.get(t, 0.0) for t, x in mine.items()), 9), -i, u) for i, (u, v) in enumerate((u, examples[u]) for u in model.urls)), reverse=True)[:model.k]
+        assert [round(c, 9) for c, _ in near] == pytest.approx([c for c, _, _ in cosines], abs=1e-8)
+        votes = [(model.class_weight[int(hidden_of[u])] / (1.05 - min(1.0, c)), hidden_of[u]) for c, _, u in cosines]
+        want = (model.prior * model.base + sum(v for v, h in votes if h)) / (model.prior + sum(v for v, _ in votes))
+        assert score == pytest.approx(want, abs=1e-6)
+
+
 def test_block_max_is_exact():
     r = np.random.default_rng(3)
     vectors = []

@@ -3,14 +3,18 @@ from __future__ import annotations
 
 import hashlib
 import os
+import zlib
 
+import public_tokenizers
 import pytest
+import sentencepiece
+import tiktoken
 
 import corpus_pipeline
 from tests.llm.test_ngram_join import brute
 from tests.llm.texts import invented
 from tests.oracle import compare, connect
-from vitrine.llm import queries
+from vitrine.llm import byte_bpe, queries
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -70,5 +74,57 @@ def test_query(spark, name):
     assert problem is None
 
 
+def crc(key, n):
+    return zlib.crc32(str(key).encode()) % n
+
+
+@pytest.fixture(scope="module")
+def documents(spark):
+    if not os.path.isdir(FOLDER):
+        pytest.skip("no test tables")
+    return {r["doc_id"]: r for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
+
+
+@pytest.mark.parametrize("name, modulus, rest, limit", [("op2_toxic_neighbours", 4, 2, 0.3), ("op10_pairwise_quality", 3, 1, 0.5)])
+def test_scoring_queries(spark, documents, name, modulus, rest, limit):
+    rows = queries.QUERIES[name](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    labels = {r["doc_id"]: r["toxic" if name.startswith("op2") else "quality"] for r in spark.read.parquet(f"{FOLDER}/labels.parquet").collect()}
+    for r in rows:
+        assert r["held_out"] == (crc(r["doc_id"], modulus) == rest) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= limit)
+    held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert sum(p == y for p, y in held) >= 0.8 * len(held)
+
+
+def test_language_query(spark, documents):
+    rows = queries.QUERIES["op4_language_backoff"](spark, FOLDER).collect()
+    assert sorted(r["doc_id"] for r in rows) == sorted(documents)
+    for r in rows:
+        text = documents[r["doc_id"]]["text"] or ""
+        assert r["held_out"] == (crc(r["doc_id"], 4) == 2) and (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text)) and 0 <= r["score"] <= 1
+    known = [(r["lang_pred"], documents[r["doc_id"]]["lang"]) for r in rows if r["held_out"] and r["lang_pred"] != "und" and documents[r["doc_id"]]["lang"]]
+    assert sum(p == y for p, y in known) >= 0.95 * len(known)
+
+
+def test_token_queries(spark, documents):
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    for r in queries.QUERIES["op5_resync_token_counts"](spark, FOLDER).collect():
+        text = documents[r["doc_id"]]["text"] or ""
+        n = len(library.encode(text))
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(text.encode()), n, n > 4096)
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    reference = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in queries.QUERIES["op6_byte_bpe"](spark, FOLDER).collect():
+        text = documents[r["doc_id"]]["text"] or ""
+        ids = reference.encode_ordinary(text)
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(b"".join(i.to_bytes(4, "little") for i in ids)).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
+
+
+def test_near_copies_query(spark, documents):
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in queries.QUERIES["op8_ngram_join"](spark, FOLDER).collect())
+    assert got == brute([(u, r["text"]) for u, r in documents.items()])
+
+
 def test_names():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))

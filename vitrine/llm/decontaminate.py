@@ -173,11 +173,16 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
     ours = template_windows(crawled_pages, "url", lengths, window, min_words, _marked(theirs, bits), bits)
     theirs = theirs.groupBy("slug", "h", "at", "length", "literal").agg(F.first("slots").alias("slots"), F.max("total").alias("total"),
                                                                         F.max("places").alias("places"))
-    hits = ours.select("url", "h", "length", "literal", F.col("at").alias("here"), F.col("slots").alias("mine"), "spots").join(
+    # Windows without slots only have to occur: of a page's equal ones the first and the last place are enough, however often a phrase repeats on either side.
+    ours = scratch.table(ours, "page-windows")
+    plain = ours.filter(F.col("literal") | (F.size("slots") == 0)).groupBy("url", "h", "length", "literal").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    found_plain = plain.join(theirs.withColumnRenamed("at", "there"), ["h", "length", "literal"]).select(
+        "url", "slug", "there", "total", "places", "literal", F.lit(True).alias("same"), "first", (F.col("last") + F.col("length")).alias("last"))
+    hits = ours.filter(~F.col("literal") & (F.size("slots") > 0)).select("url", "h", "length", "literal", F.col("at").alias("here"), F.col("slots").alias("mine"), "spots").join(
         theirs.withColumnRenamed("at", "there"), ["h", "length", "literal"])
     hits = hits.select("url", "slug", "here", "there", "length", "literal", "total", "places", "mine", "slots", "spots", (F.col("here") - F.col("there")).alias("shift"))
     hits = scratch.settled(hits.distinct())
-    slots = hits.filter(F.size("slots") > 0).select("url", "slug", "shift", "here", "length", F.explode(F.arrays_zip("slots", "mine", "spots")).alias("z")).select(
+    slots = hits.select("url", "slug", "shift", "here", "length", F.explode(F.arrays_zip("slots", "mine", "spots")).alias("z")).select(
         "url", "slug", "shift", "here", "length", "z.*")
     slot = ["url", "slug", "shift", "slots"]
     often = slots.groupBy(*slot, "mine").agg(F.count_distinct("spots").alias("n"))
@@ -186,10 +191,11 @@ def contaminated(crawled_pages: DataFrame, references: DataFrame, window: int =
                                    F.count(F.lit(1)).alias("values")).filter("values > 1")
     odd = odd.select(*slot, F.expr("if(most.mine = ~least.not, most.mine, null)").alias("winner"))
     bad = slots.join(odd, slot).filter("winner is null or mine <> winner").select("url", "slug", "shift", "here", "length").distinct()
-    kept = hits.filter("not literal").join(bad, ["url", "slug", "shift", "here", "length"], "left_anti").select(*hits.columns)
-    whole = kept.unionByName(hits.filter("literal")).groupBy("url", "slug", "there").agg(
-        F.max("total").alias("total"), F.max("places").alias("places"), F.max((~F.col("literal")).cast("int")).alias("template"), F.min((F.expr("slots = mine")).cast("int")).alias("same"),
-        F.min("here").alias("first"), F.max(F.col("here") + F.col("length")).alias("last"))
+    kept = hits.join(bad, ["url", "slug", "shift", "here", "length"], "left_anti").select(
+        "url", "slug", "there", "total", "places", "literal", F.expr("slots = mine").alias("same"), F.col("here").alias("first"), (F.col("here") + F.col("length")).alias("last"))
+    whole = kept.unionByName(found_plain).groupBy("url", "slug", "there").agg(
+        F.max("total").alias("total"), F.max("places").alias("places"), F.max((~F.col("literal")).cast("int")).alias("template"), F.min(F.col("same").cast("int")).alias("same"),
+        F.min("first").alias("first"), F.max("last").alias("last"))
     found = whole.groupBy("url", "slug").agg(
         F.count(F.lit(1)).alias("windows"), F.max("total").alias("total"), F.max("places").alias("places"), F.sum("template").alias("templates"), (F.min("same") == 1).alias("verbatim"),
         F.min("first").alias("first"), F.max("last").alias("last"))

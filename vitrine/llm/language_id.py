@@ -2,8 +2,8 @@
 
 A word of the lexicon counts with its log frequency in each language. A word outside it is looked up by its n-grams
 of the longest length for which at least one is known (four letters, then three, down to one; word ends are marked) and
-counts with their mean log frequency. Frequencies come from a bounded sample of pages of known language; every page
-is then read whole. The model is a few arrays of bounded size that all executors get.
+counts with their mean log frequency. Frequencies come from a bounded sample of pages of known language, with all of its words; every page
+is then read whole. The model is a few sorted arrays of 64-bit hashes with their scores, small enough for every task.
 """
 from __future__ import annotations
 
@@ -14,10 +14,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
 
@@ -37,29 +37,43 @@ def grams(word: str, n: int) -> Iterator[str]:
     return (marked[i:i + n] for i in range(len(marked) - n + 1))
 
 
+def hashed(text: str, n: int = 0) -> int:
+    """Signed 64-bit hash of a word (0) or of an n-gram."""
+    h = xxhash.xxh3_64_intdigest(text, seed=n)
+    return h - (1 << 64) if h >> 63 else h
+
+
 @dataclass
 class LanguageModel:
-    """``words`` and ``parts[n]`` give the row of ``word_scores`` and ``part_scores[n]``: one log frequency per language."""
+    """``tables[0]`` has the words, ``tables[n]`` the n-grams: hashes in ascending order, and one log frequency per language for each."""
 
     langs: list[str]
-    words: dict[str, int]
-    word_scores: np.ndarray
-    parts: dict[int, dict[str, int]]
-    part_scores: dict[int, np.ndarray]
+    tables: dict[int, tuple[np.ndarray, np.ndarray]]
     seen: dict[str, np.ndarray | None] = field(default_factory=dict)
 
     def plain(self) -> tuple:
         """What is broadcast: lists, dicts and arrays, which a worker can read without this package. ``LanguageModel(*plain)`` is the model again."""
-        return self.langs, self.words, self.word_scores, self.parts, self.part_scores
+        return self.langs, self.tables
+
+    def found(self, n: int, hashes: Iterable[int], size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes the table has, and the rows of those."""
+        keys, _ = self.tables[n]
+        wanted = np.fromiter(hashes, np.int64, size)
+        if not len(keys):
+            return np.zeros(size, bool), np.zeros(0, np.int64)
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        hit = keys[at] == wanted
+        return hit, at[hit]
 
     def back_off(self, word: str) -> np.ndarray | None:
         """Score of a word outside the lexicon; None without a letter."""
         if not any(c.isalpha() for c in word):
             return None
         for n in range(LONGEST, 0, -1):
-            rows = [r for g in grams(word, n) if (r := self.parts[n].get(g)) is not None]
-            if rows:
-                return self.part_scores[n][rows].mean(axis=0)
+            parts = list(grams(word, n))
+            _, rows = self.found(n, (hashed(g, n) for g in parts), len(parts))
+            if len(rows):
+                return self.tables[n][1][rows].mean(axis=0)
         return np.zeros(len(self.langs))
 
     def unseen(self, word: str) -> np.ndarray | None:
@@ -74,43 +88,31 @@ class LanguageModel:
         if not self.langs:
             return UNKNOWN, 0.0
         counts = Counter(words_of(text))
-        total, scored, rows, times = np.zeros(len(self.langs)), 0, [], []
-        for word, n in counts.items():
-            row = self.words.get(word)
-            if row is not None:
-                rows.append(row)
-                times.append(n)
-            elif (score := self.unseen(word)) is not None:
+        times = np.fromiter(counts.values(), float, len(counts))
+        hit, rows = self.found(0, map(hashed, counts), len(counts))
+        total, scored = times[hit] @ self.tables[0][1][rows], len(rows)
+        for word, n, known in zip(counts, times.tolist(), hit.tolist()):
+            if not known and (score := self.unseen(word)) is not None:
                 total += n * score
                 scored += 1
-        if not rows and not scored:
+        if not scored:
             return UNKNOWN, 0.0
-        if rows:
-            total += np.asarray(times, float) @ self.word_scores[rows]
         odds = np.exp(total - total.max())
         best = int(total.argmax())
         return self.langs[best], float(odds[best] / odds.sum())
 
 
-def _log_rates(counts: dict[str, np.ndarray], smoothing: float) -> tuple[dict[str, int], np.ndarray]:
-    names = sorted(counts)
-    table = np.array([counts[n] for n in names]) if names else np.zeros((0, 1))
-    rates = (table + smoothing) / (table.sum(axis=0) + smoothing * max(1, len(names)))
-    return {n: i for i, n in enumerate(names)}, np.log(rates)
-
-
-def fit_languages(known_pages: DataFrame, max_pages: int = 20_000, max_words: int = 50_000, smoothing: float = 0.1) -> LanguageModel:
+def fit_languages(known_pages: DataFrame, max_pages: int = 20_000, smoothing: float = 0.1) -> LanguageModel:
     """Learn from ``known_pages(url, text, lang)``; rows without lang or text teach nothing.
 
     ``max_pages`` bounds the sample: of each language the pages with the lowest hash of their url, in equal share, read whole.
-    ``max_words`` bounds the lexicon of one language to its most frequent words (ties in alphabetical order).
     Words are counted per task first. No known page: a model that answers ``und``.
     """
     known = in_small_batches(known_pages).select("url", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
-        return LanguageModel([], {}, np.zeros((0, 0)), {n: {} for n in range(1, LONGEST + 1)}, {})
+        return LanguageModel([], {})
     share, top = max(1, max_pages // len(langs)), 1 << 30
     cut = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(int(min(1.0, share / sizes[k]) * top)))])
     sample = known.filter(F.pmod(F.xxhash64("url"), F.lit(top)) < cut[F.col("lang")])
@@ -121,24 +123,29 @@ def fit_languages(known_pages: DataFrame, max_pages: int = 20_000, max_words: in
             for lang, text in zip(batch.column("lang").to_pylist(), texts_of(batch)):
                 tally.setdefault(lang, Counter()).update(words_of(text))
         for lang, words in tally.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(words)), pa.array(list(words)), pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
-
-    totals = sample.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    rank = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "word"))
-    most = totals.withColumn("rank", rank).filter(F.col("rank") <= max_words).collect()
-    place = {k: i for i, k in enumerate(langs)}
-    words: dict[str, np.ndarray] = {}
-    parts: dict[int, dict[str, np.ndarray]] = {n: {} for n in range(1, LONGEST + 1)}
-    for r in most:
-        words.setdefault(r["word"], np.zeros(len(langs)))[place[r["lang"]]] += r["n"]
-        for n in parts:
-            for g in grams(r["word"], n):
-                parts[n].setdefault(g, np.zeros(len(langs)))[place[r["lang"]]] += r["n"]
-    words = {w: n for w, n in words.items() if any(c.isalpha() for c in w)}
-    index, scores = _log_rates(words, smoothing)
-    tables = {n: _log_rates(p, smoothing) for n, p in parts.items()}
-    return LanguageModel(langs, index, scores, {n: t[0] for n, t in tables.items()}, {n: t[1] for n, t in tables.items()})
+            tables = {n: Counter() for n in range(LONGEST + 1)}
+            for word, times in words.items():
+                if any(c.isalpha() for c in word):
+                    tables[0][word] = times
+                for n in range(1, LONGEST + 1):
+                    for g in grams(word, n):
+                        tables[n][g] += times
+            for n, found in tables.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(found), pa.string()), pa.array([n] * len(found), pa.int32()), pa.array([hashed(g, n) for g in found], pa.int64()),
+                     pa.array(found.values(), pa.int64())], names=["lang", "kind", "h", "n"])
+
+    totals = sample.select("lang", "text").mapInArrow(count, "lang string, kind int, h long, n long").groupBy("kind", "h", "lang").agg(F.sum("n").alias("n")).toArrow()
+    kind, h, n = (totals.column(c).to_numpy() for c in ("kind", "h", "n"))
+    of = np.searchsorted(np.array(langs, object), totals.column("lang").to_numpy(zero_copy_only=False)) if len(h) else np.zeros(0, np.int64)
+    tables = {}
+    for k in range(LONGEST + 1):
+        keys, at = np.unique(h[kind == k], return_inverse=True)
+        counts = np.zeros((len(keys), len(langs)))
+        counts[at, of[kind == k]] = n[kind == k]
+        rates = (counts + smoothing) / (counts.sum(axis=0) + smoothing * max(1, len(keys)))
+        tables[k] = keys, np.log(rates)
+    return LanguageModel(langs, tables)
 
 
 def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFrame:

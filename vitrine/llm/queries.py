@@ -101,7 +101,7 @@ def op2_toxic_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     found = toxic_neighbours.score_pages(pages_of(spark, folder), model)
     return found.select(F.col("url").alias("doc_id"), (fold("url", 4) == 2).alias("held_out"), "score",
                         (F.col("score") >= 0.3).cast("int").alias("predicted"),
-                        F.transform("neighbours", lambda e: e["url"]).alias("neighbours"))
+                        F.transform("neighbours", lambda e: e["url"]).alias("neighbours"), F.transform("evidence", lambda e: e["url"]).alias("evidence"))
 
 
 @query()
@@ -126,9 +126,10 @@ def op5_resync_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = byte_bpe.encode_pages(pages_of(spark, folder), ranks, pattern)
-    return byte_bpe.decode_pages(encoded, ranks, pattern).select(
-        F.col("url").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    encoded = byte_bpe.encode_pages(pages_of(spark, folder), ranks, pattern, offsets=True)
+    narrow = encoded.select("url", "ids", "n_tokens", F.xxhash64("starts", "ends").alias("offsets_hash"))
+    return byte_bpe.decode_pages(narrow, ranks, pattern).select(
+        F.col("url").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "offsets_hash")
 
 
 @query()
