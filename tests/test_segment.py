@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from vitrine.functions.textclean import TONE_MARKS, plain_skeleton
 from vitrine.operators import segment
@@ -109,7 +110,6 @@ def test_repaired_pages(spark, seed):
     pages = [(i, 1, [damaged(t, r), None, "", damaged(t[::2], r)], t if i % 2 else None, i % 3 > 0) for i, t in enumerate(texts)]
     df = spark.createDataFrame(pages, "file int, page int, lines array<string>, own string, exact boolean")
     dictionary, trusted = spark.createDataFrame([(w,) for w in known], "word string"), spark.createDataFrame([(t,) for t in texts], "text string")
-    from pyspark.sql import functions as F
     out = segment.repair_pages(df, ["file", "page"], "lines", dictionary, trusted, page_text="own", reliable_vowels=F.col("exact"))
     assert out.columns == df.columns
     for row in out.orderBy("file").collect():
@@ -200,3 +200,25 @@ def test_mended_pages_of_the_documents(spark, tables):
     for key, text in docs.items():
         lost = re.sub("([฀-๿]{5})", r"\1 ", "".join(c for c in text if c not in TONE_MARKS))
         assert got[key] == "\n".join(plain.repair(line, "", True) for line in lost.split("\n"))
+
+
+def test_readable_names(spark):
+    words = spark.createDataFrame([("ตู้",), ("เอกสาร",), ("เหล็ก",)], "word string")
+    names = ["ตู้เอกสาร", "ตู้ เอกสาร เหล็ก", "ตู้กขค", "ตู้เอกสารเหล็กตู้เอกสารเหล็กตู้เอกสารเหล็กกขคง", "ตู้๕", "Cabinet", "", None]
+    rows = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "id int, name string")
+    got = {r["id"]: r["readable"] for r in segment.readable_names(rows, ["id"], "name", words).collect()}
+    assert got == {0: True, 1: True, 2: False, 3: True, 4: False, 5: False, 6: False, 7: False}
+
+
+def test_brochure_names_and_repaired_sheets(spark):
+    from vitrine.plans import import_build
+    boxes = [(10, 100, 40, 110, "FC-634"), (45, 100, 90, 110, "ตู้เอกสาร"), (10, 120, 200, 130, "W900*D450*H1800")]
+    df = spark.createDataFrame([("b.pdf", 1, 1000, 1400, *w) for w in boxes], "file string, page int, page_w int, page_h int, x0 int, y0 int, x1 int, y1 int, text string")
+    words = spark.createDataFrame([("ตู้",), ("เอกสาร",), ("เก้าอี้",), ("สำนักงาน",), ("เหล็ก",)], "word string")
+    v = import_build.Vocabulary()
+    assert [r["type_th"] for r in import_build.brochure_records(df, v, "x", words).collect()] == ["ตู้เอกสาร"]
+    lines = spark.createDataFrame([("b", "F", "s", 1, i, t) for i, t in enumerate(["ประเภทสินค้า : เกา อี้สานักงาน", "รหัสสินค้า : FG 1"])],
+                                  "brand string, folder string, file string, page int, line_no int, line string")
+    trusted = spark.createDataFrame([("F", "s", 1, "เก้าอี้สำนักงาน")], "folder string, file string, page int, text string")
+    got = import_build.sheet_records(lines.withColumn("exact", F.lit(False)), v, dictionary=words, trusted=trusted).collect()
+    assert [r["type_th"] for r in got] == ["เก้าอี้สำนักงาน"]

@@ -230,6 +230,20 @@ def cut_lines(pages: DataFrame, keep: Sequence[str], lines: str, costs: DataFram
     return pages.select(*keep, lines).mapInArrow(run, schema)
 
 
+def readable_names(names: DataFrame, keys: Sequence[str], name: str, dictionary: DataFrame, share: float = 0.9, digits: str = "[๐-๙]", script: str = SCRIPT) -> DataFrame:
+    """``(keys, readable)``: is a recognised name made of dictionary words, ``share`` of its pieces at least, and without native digits? A stretch of letters outside
+    words is one piece; a name without letters of the script is not readable."""
+    spark = names.sparkSession
+    costs = with_costs(dictionary, spark.createDataFrame([], "word string, prev string, next string, n long"))
+    cut = cut_lines(names.select(*keys, F.col(name).alias("__name"), F.array(name).alias("__lines")), [*keys, "__name"], "__lines", costs, script)
+    known = F.size(F.filter("parts", lambda p: p["skeleton"].isNotNull()))
+    before = lambda i: F.get(F.col("parts"), i - 1)
+    goes_on = lambda p, i: F.coalesce((i > 0) & before(i)["skeleton"].isNull() & (before(i)["end"] == p["first"]), F.lit(False))
+    unknown = F.size(F.filter("parts", lambda p, i: p["skeleton"].isNull() & ~goes_on(p, i)))
+    good = (known > 0) & (known >= share * (known + unknown)) & ~F.coalesce(F.col("__name").rlike(digits), F.lit(False))
+    return cut.select(*keys, F.coalesce(good, F.lit(False)).alias("readable"))
+
+
 def is_subsequence(small: str, big: str) -> bool:
     rest = iter(big)
     return all(c in rest for c in small)

@@ -187,8 +187,9 @@ def web_records(pages: DataFrame, brand: str) -> DataFrame:
     return _conform(out.withColumns({"at1": F.col("url"), "at2": F.lit(1)}), ["at1", "at2"])
 
 
-def brochure_records(words: DataFrame, v: Vocabulary, brand: str) -> DataFrame:
-    """Recognised word boxes (file, page, page_w, page_h, x0, y0, x1, y1, text) -> records."""
+def brochure_records(words: DataFrame, v: Vocabulary, brand: str, dictionary: DataFrame | None = None) -> DataFrame:
+    """Recognised word boxes (file, page, page_w, page_h, x0, y0, x1, y1, text) -> records. With a ``dictionary(word)`` a recognised name of four letters or more that is
+    made of its words is the product's type; otherwise the category's name is."""
     keys = ["file", "page"]
     lines = extract.word_lines(words, [*keys, "page_w", "page_h"])
     is_size = sizes.brochure_size(F.col("text")).isNotNull()
@@ -201,9 +202,16 @@ def brochure_records(words: DataFrame, v: Vocabulary, brand: str) -> DataFrame:
     rows = classify.with_category_provenance(first, "name", "code", default, code_rules=v.code_rules)
     names = {slug: th for slug, _, th, _ in C.CATEGORIES}
     full = sizes.as_full_mm(F.col("mm")).cast(MM)
+    of_category = F.coalesce(mapped(F.col("category"), names), F.lit(""))
+    type_th = of_category
+    if dictionary is not None:
+        rows = materialize(rows.withColumn("__name", F.trim(F.regexp_replace("name", "^[^\u0e00-\u0e7fA-Za-z]+", ""))))
+        readable = segment.readable_names(rows.select("code", "__name"), ["code"], "__name", dictionary)
+        rows = rows.join(readable, "code", "left")
+        type_th = F.when((F.length("__name") >= 4) & F.coalesce("readable", F.lit(False)), F.col("__name")).otherwise(of_category)
     out = rows.withColumn("__mm", full).select(
         *keys, "ordinal", F.lit(brand).alias("brand"), "code", textclean.series_of_file(F.col("file")).alias("series"),
-        F.coalesce(mapped(F.col("category"), names), F.lit("")).alias("type_th"), "category",
+        type_th.alias("type_th"), "category",
         F.array(F.struct(F.lit("ขนาด").alias("label_th"), F.lit("Size").alias("label_en"), sizes.mm_text(F.col("__mm")).alias("text_th"),
                          F.col("size_text").alias("text_en"), F.col("__mm").alias("mm"))).alias("sizes"),
         F.col("__mm").alias("dimensions_mm"), _source(F.col("file"), F.col("page"), "web").alias("source"), "flags")

@@ -1,12 +1,16 @@
 """Loading an import into the next version of the catalogue tables."""
 from __future__ import annotations
 
+from collections.abc import Sequence
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.functions import language, sizes, textclean
 from vitrine.operators import classify, identity, merge
 from vitrine.operators.ordered import number_rows
+from vitrine.rules import ranges as R
 from vitrine.session import materialize
 
 
@@ -25,13 +29,23 @@ def spec_text(specs: Column, features: Column, materials: Column) -> Column:
     return F.concat_ws(" ", F.array_join(rows, " "), F.array_join(features, " "), F.array_join(materials, " "))
 
 
-def product_rows(records: DataFrame, brands: DataFrame, categories: DataFrame, series: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class MaterialSources:
+    """Patterns of source files whose products are of steel or of wood; ``late_wood`` are product lines that count as wood where nothing else decides.
+    They belong to the suppliers at hand."""
+    steel: Sequence[str] = tuple(R.STEEL_SOURCES)
+    wood: Sequence[str] = tuple(R.WOOD_SOURCES)
+    late_wood: Sequence[str] = ()
+
+
+def product_rows(records: DataFrame, brands: DataFrame, categories: DataFrame, series: DataFrame, sources: MaterialSources = MaterialSources()) -> DataFrame:
     """Records -> rows of the products table, without id and stamps."""
     env = sizes.import_envelope(F.col("dimensions_mm"))
     kind = F.concat_ws(" ", F.coalesce("type_th", F.lit("")), F.coalesce("type_en", F.lit("")), F.col("code"))
     rows = records.withColumns({
         "__env": env, "series_slug": textclean.plain_slug(F.col("series")),
-        "material": classify.main_material(F.col("category"), kind, spec_text(F.col("specs"), F.col("features_th"), F.col("materials")), F.col("source.file"))})
+        "material": classify.main_material(F.col("category"), kind, spec_text(F.col("specs"), F.col("features_th"), F.col("materials")), F.col("source.file"),
+                                           sources.steel, sources.wood, sources.late_wood)})
     b = brands.select(F.col("id").alias("brand_id"), F.col("slug").alias("brand"))
     c = categories.select(F.col("id").alias("category_id"), F.col("slug").alias("category"))
     s = series.select(F.col("id").alias("series_id"), "brand_id", F.col("slug").alias("series_slug"))
@@ -46,7 +60,7 @@ def product_rows(records: DataFrame, brands: DataFrame, categories: DataFrame, s
 
 
 def load_catalog(snapshot: dict[str, DataFrame], records: DataFrame, brand_rows: DataFrame, category_rows: DataFrame,
-                 now: Column | None = None) -> dict[str, DataFrame]:
+                 now: Column | None = None, sources: MaterialSources = MaterialSources()) -> dict[str, DataFrame]:
     """The tables of the next version (brands, categories, series, products, images) and ``metrics``.
 
     ``snapshot`` holds the current version of those tables. Nothing is overwritten: write the result to a
@@ -68,7 +82,7 @@ def load_catalog(snapshot: dict[str, DataFrame], records: DataFrame, brand_rows:
     new_series = latest.join(b, "brand").select("brand_id", F.col("series_slug").alias("slug"), F.col("series").alias("name"))
     series = with_ids(merge.upsert(snapshot["series"], new_series, ["brand_id", "slug"]), ["brand_id", "slug"])
 
-    rows = product_rows(records, brands, cats, series)
+    rows = product_rows(records, brands, cats, series, sources)
     merged = materialize(merge.guarded_upsert(snapshot["products"], rows, ["slug"], stamp="updated_at", now=stamp, drop_stale=True))
     live = merged.filter(F.col("action") != "removed")
     products = with_ids(live.withColumn("created_at", F.coalesce("created_at", stamp)), ["slug"])

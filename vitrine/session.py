@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches of whole pages for Python workers end by size, not only by number of rows.
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 << 20),
 }
 
 
