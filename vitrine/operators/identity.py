@@ -173,6 +173,13 @@ def distinct_fingerprints(df: DataFrame, group: str, ordinal: str, vector: str,
     return kept.select(group, F.posexplode(F.transform("__kept", lambda k: k["id"])).alias("position", ordinal))
 
 
+def page_photos(pictures: DataFrame, page: Sequence[str], digest: str, ordinal: str, decoration: DataFrame, photo: Column) -> DataFrame:
+    """Photos of each page in their first place: pictures that are no decoration (``decoration(digest)``), look like photos, and do not repeat one before them on
+    the page. The first of equal pictures is an aggregate; decorations go by a join on their digest."""
+    kept = pictures.filter(photo).join(decoration.select(digest).distinct(), digest, "left_anti")
+    return first_per_key(kept, [*page, digest], [ordinal], pictures.columns).select(*pictures.columns)
+
+
 def hero_first(df: DataFrame, group: str, ordinal: str, area: Column) -> DataFrame:
     """0-based ``sort``: the largest picture first, the others in reading order."""
     hero = first_per_key(df.withColumn("__a", -area), [group], ["__a", ordinal], [ordinal]).withColumnRenamed(ordinal, "__hero")

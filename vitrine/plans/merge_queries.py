@@ -2,6 +2,7 @@
 negative balance stand for rows a person edited, market segments for what an import brings."""
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vitrine.functions import textclean
@@ -335,3 +336,17 @@ def manifest_diff(t: Tables):
     check = t.spark.createDataFrame([("healthcheck.txt", "0")], "key string, md5 string")
     return merge.manifest_diff(local, remote.unionByName(check))
 
+
+
+@query("""
+with p as (select l_orderkey, l_partkey, l_partkey % 7 as digest, l_extendedprice,
+  row_number() over (partition by l_orderkey order by l_linenumber, l_suppkey, l_shipdate, l_extendedprice) as place from lineitem)
+select l_orderkey, digest, min(place)::bigint as place, arg_min(l_partkey, place) as l_partkey from p where l_extendedprice >= 20000 and digest <> 3 group by 1, 2""")
+def exact_repeats(t: Tables):
+    """Lines as pictures of their order's page: cheap ones are no photos, one digest is a letterhead, of equal digests the first one stays."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice")
+    rows = t.lineitem.withColumns({"place": F.row_number().over(w).cast("long"), "digest": F.col("l_partkey") % 7})
+    letterhead = rows.filter("digest = 3").select("digest").distinct()
+    found = identity.page_photos(rows.select("l_orderkey", "digest", "place", "l_partkey", "l_extendedprice"), ["l_orderkey"], "digest", "place", letterhead,
+                                 F.col("l_extendedprice") >= 20000)
+    return found.select("l_orderkey", "digest", "place", "l_partkey")
