@@ -1,6 +1,8 @@
 """Helpers around Arrow batch functions."""
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable, Iterator
@@ -57,3 +59,16 @@ def latest(kind: str, key: str, build: Callable[[], Any]) -> Any:
         held.clear()
         held[key] = build()
     return held[key]
+
+
+def let_go() -> None:
+    """Forget what earlier jobs left in this worker (tokenizers, models) and hand the memory back. For functions that need none of it; where it is
+    wanted again it is loaded again."""
+    held = vars(sys.modules.get("vitrine_worker_values", types.ModuleType("none")))
+    for key in [k for k in held if isinstance(k, tuple)]:
+        del held[key]
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # other C libraries have no such call and give memory back by themselves

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, let_go, sliced, texts_of, with_columns
 
 WORD = re.compile(r"[^\W\d_]+")
 UNKNOWN = "und"
@@ -160,6 +160,7 @@ def identify_languages(crawled_pages: DataFrame, model: LanguageModel) -> DataFr
     schema = T.StructType([keep.schema["url"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = LanguageModel(*shared.value)
         for batch in sliced(batches):
             found = [known.predict(t) for t in texts_of(batch)]
@@ -176,6 +177,7 @@ def with_language(pages: DataFrame, model: LanguageModel) -> DataFrame:
     schema = T.StructType([whole.schema["page"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         known = LanguageModel(*shared.value)
         for batch in sliced(batches):
             found = [known.predict(t or "") for t in batch.column("page").field("text").to_pylist()]

@@ -26,7 +26,7 @@ from pyspark.sql.window import Window as W
 
 from vitrine.llm import scratch
 from vitrine.llm.bit_field import bit_field, place
-from vitrine.llm.columns import in_small_batches, sliced, texts_of, with_columns
+from vitrine.llm.columns import in_small_batches, let_go, sliced, texts_of, with_columns
 from vitrine.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -97,6 +97,7 @@ def corpus_counts(crawled_pages: DataFrame, words: int, bits: int) -> np.ndarray
     part = size // SLICES
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingler, total = Shingler(words), np.zeros(size, np.uint32)
         waiting, n = [], 0
         for batch in sliced(batches):
@@ -143,6 +144,7 @@ def page_sets(crawled_pages: DataFrame, counts: np.ndarray, words: int, percent:
     kind = pa.list_(pa.struct([("h", pa.int64()), ("part", pa.int32())]))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
         shingler, counted, listed = Shingler(words), shared.value, set()
         part_count = np.array([max(1, (1 << k) // hot_rows) for k in range(65)])
         for batch in sliced(batches):
